@@ -6,7 +6,7 @@ from parcelwise.functions.labels import (
     delivery_status,
     satisfaction_bucket,
 )
-from parcelwise.functions.numeric import average, average_where, pct, round_ratio, sum_where
+from parcelwise.functions.numeric import average, average_where, cents, from_cents, pct, round_ratio, sum_where
 from parcelwise.functions.temporal import calendar_year, days_between, month_start
 
 __all__ = [
@@ -16,8 +16,10 @@ __all__ = [
     "band",
     "calendar_year",
     "category_name",
+    "cents",
     "days_between",
     "delivery_status",
+    "from_cents",
     "month_start",
     "pct",
     "position",

@@ -21,6 +21,20 @@ def _hundredths(value: Column) -> Column:
     return (value.cast(_MONEY) * 100).cast(_INTEGER)
 
 
+def cents(amount: Column) -> Column:
+    """A ``decimal(12,2)`` amount as a BIGINT of hundredths.
+
+    Sums over item rows run on these: Spark adds wide decimals as objects, but BIGINTs in
+    generated code. Twelve digits fit a double's 53 bits, so the step through it is exact.
+    """
+    return F.rint(amount.cast("decimal(12,2)").cast("double") * 100).cast("bigint")
+
+
+def from_cents(total: Column) -> Column:
+    """Hundredths back to a two-place decimal."""
+    return (total.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast("decimal(20,2)")
+
+
 def round_ratio(numerator: Column, denominator: Column) -> Column:
     """``numerator / denominator`` to two places; NULL when the denominator is 0 or NULL.
 
@@ -30,8 +44,7 @@ def round_ratio(numerator: Column, denominator: Column) -> Column:
     d = F.nullif(_hundredths(denominator), F.lit(0).cast(_INTEGER))
     size = F.call_function("div", F.abs(n) * 200 + F.abs(d), F.abs(d) * 2)
     negative = (n < 0) != (d < 0)
-    signed = F.when(negative, -size).otherwise(size)
-    return (signed.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast("decimal(20,2)")
+    return from_cents(F.when(negative, -size).otherwise(size))
 
 
 def pct(part: Column, whole: Column) -> Column:

@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.functions import calendar_year, days_between, delivery_status, month_start, satisfaction_bucket
+from parcelwise.functions import (
+    calendar_year,
+    cents,
+    days_between,
+    delivery_status,
+    from_cents,
+    month_start,
+    satisfaction_bucket,
+)
 from parcelwise.functions.labels import DELIVERED
 from parcelwise.operators import latest_per_key
 from parcelwise.sources.tables import Tables
@@ -13,12 +21,12 @@ from parcelwise.sources.tables import Tables
 
 def order_value(order_items: DataFrame) -> DataFrame:
     """Item count and value per order, summed before any join so that joins cannot fan out."""
-    price, freight = F.col("price"), F.col("freight_value")
+    price, freight = cents(F.col("price")), cents(F.col("freight_value"))
     return order_items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("item_count"),
-        F.sum(price).alias("item_value"),
-        F.sum(freight).alias("freight_value"),
-        F.sum(price + freight).alias("order_value"),
+        from_cents(F.sum(price)).alias("item_value"),
+        from_cents(F.sum(freight)).alias("freight_value"),
+        from_cents(F.sum(price + freight)).alias("order_value"),
     )
 
 

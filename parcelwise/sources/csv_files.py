@@ -6,11 +6,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parcelwise.sources.multiline_csv import read_multiline_csv
 from parcelwise.sources.schema import TABLE_SPECS, struct_type
 from parcelwise.sources.tables import Tables, load_tables, write_tables
 
-# Only review text may hold line breaks. Reading quoted line breaks makes a file
-# unsplittable, so every other table stays splittable.
+# Only review text may hold line breaks; every other table takes Spark's own reader, which
+# splits files when no record spans lines.
 MULTILINE_TABLES = frozenset({"order_reviews"})
 
 # An unquoted empty field is NULL and a quoted one is an empty string. Spark maps both
@@ -32,12 +33,10 @@ def read_csv_table(
     """Lazy scan of one table's CSV file, folder or glob."""
     if multiline is None:
         multiline = name in MULTILINE_TABLES
-    return (
-        spark.read.schema(struct_type(name))
-        .options(**_OPTIONS)
-        .option("multiLine", multiline)
-        .csv(path)
-    )
+    schema = struct_type(name)
+    if multiline:
+        return read_multiline_csv(spark, path, schema, _OPTIONS)
+    return spark.read.schema(schema).options(**_OPTIONS).csv(path)
 
 
 def read_csv_tables(

@@ -1,0 +1,85 @@
+"""CSV whose quoted fields hold line breaks, read in parallel within a file.
+
+Spark reads such a file in one task, because a line break alone does not say where a
+record ends. It ends where the number of quotes so far is even, and that number is a
+prefix sum: over the lines of a block, then over the few blocks of a file.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_BLOCK = ("file", "block")
+
+
+def _quotes(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, '"', ""))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines in file order, with the parity of the quotes before each within its block."""
+    in_block = Window.partitionBy(*_BLOCK).orderBy("line")
+    earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        spark.read.option("lineSep", "\n")
+        .text(path)
+        .select(
+            "value",
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+        )
+        .withColumn("quotes", _quotes(F.col("value")))
+        .withColumn("odd", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+        .withColumn("header", (F.col("block") == 0) & (F.row_number().over(in_block) == 1))
+    )
+
+
+def _block_starts(lines: DataFrame) -> DataFrame:
+    """Per block: whether it begins inside quotes, and the record it then continues.
+
+    Which lines of a block start a record depends on the blocks before it, so the last
+    start is kept for both cases and chosen once the prefix sum is known.
+    """
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last_start = F.when(F.col("inside") == 0, F.col("last_if_outside")).otherwise(F.col("last_if_inside"))
+    return (
+        lines.groupBy(*_BLOCK)
+        .agg(
+            F.sum("quotes").alias("quotes"),
+            F.max(F.when(F.col("odd") == 0, F.col("line"))).alias("last_if_outside"),
+            F.max(F.when(F.col("odd") == 1, F.col("line"))).alias("last_if_inside"),
+        )
+        .withColumn("inside", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+        .withColumn("last_start", last_start)
+        .withColumn("continued", F.last("last_start", ignorenulls=True).over(earlier))
+        .select(*_BLOCK, "inside", "continued")
+    )
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """One row per CSV record below the header of each file, as its raw text."""
+    lines = _lines(spark, path)
+    so_far = Window.partitionBy(*_BLOCK).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.when(F.col("odd") == F.col("inside"), F.col("line"))
+    pieces = F.array_sort(F.collect_list(F.struct("line", "value")))
+    return (
+        lines.join(_block_starts(lines), list(_BLOCK))
+        .withColumn("record", F.coalesce(F.last(start, ignorenulls=True).over(so_far), F.col("continued")))
+        .groupBy("file", "record")
+        .agg(F.bool_or("header").alias("header"), pieces.alias("pieces"))
+        .filter(~F.col("header"))
+        .select(F.rtrim(F.array_join("pieces.value", "\n"), F.lit("\r")).alias("text"))
+        .filter(F.col("text") != "")
+    )
+
+
+def read_multiline_csv(
+    spark: SparkSession, path: str, schema: T.StructType, options: Mapping[str, str]
+) -> DataFrame:
+    parsed = F.from_csv("text", schema.toDDL(), dict(options))
+    return read_records(spark, path).select(parsed.alias("row")).select("row.*")
