@@ -11,17 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Without one, a local session gets a temporary folder of its own and remembers it; a
-    cluster session must name one, since a temporary folder of one machine is not shared.
+    Without one, a local session gets a temporary folder of its own; a cluster session must
+    name one, since a temporary folder of one machine is not shared.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="parcelwise-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="parcelwise-"))
+    return context.getCheckpointDir()
 
 
 def store(df: DataFrame, label: str) -> DataFrame:

@@ -1,0 +1,282 @@
+from datetime import date
+from decimal import Decimal
+
+import pytest
+from builders import by, customer, day, item, order, product, review, tables, translation
+from pyspark.sql import functions as F
+
+from parcelwise.functions import Bands
+from parcelwise.plans import findings as f
+from parcelwise.plans.findings import FINDINGS
+from parcelwise.plans.views import Views
+
+
+def views(spark, **rows) -> Views:
+    return Views(tables(spark, **{"customers": [customer("c1")], **rows}))
+
+
+@pytest.fixture(scope="module")
+def sample_views(sample, sample_fact):
+    return Views(sample, sample_fact)
+
+
+def column(df, name):
+    return [row[name] for row in df.collect()]
+
+
+# ---- denominators and NULL routing ----------------------------------------------------
+
+
+def test_review_shares_use_reviewed_orders_only(spark):
+    v = views(
+        spark,
+        orders=[order("a"), order("b"), order("c")],
+        order_reviews=[review("a", 1), review("b", 5)],
+    )
+    row = v.reliability_summary.first()
+    assert (row.order_count, row.pct_of_orders) == (3, Decimal("100.00"))
+    assert (row.pct_negative_reviews, row.pct_positive_reviews) == (Decimal("50.00"), Decimal("50.00"))
+    reviewed = f.satisfaction_by_status(v).first()
+    assert (reviewed.reviewed_orders, reviewed.pct_negative_reviews) == (2, Decimal("50.00"))
+
+
+def test_status_without_reviews(spark):
+    row = views(spark, orders=[order("a")]).reliability_summary.first()
+    assert (row.avg_review_score, row.pct_negative_reviews, row.pct_positive_reviews) == (None, None, None)
+    assert (row.avg_order_value, row.total_order_value) == (None, None)
+
+
+def test_averages_use_rounded_days(spark):
+    # 432 s is 0.005 day and rounds to 0.01 per order; the unrounded mean would be 0.00.
+    short = 432 / 86400
+    v = views(spark, orders=[order("a", delivered=short), order("b", delivered=short), order("c", delivered=0)])
+    assert v.reliability_summary.first().avg_delivery_days == Decimal("0.01")
+
+
+def test_value_at_risk_uses_the_rounded_percentage(spark):
+    v = views(
+        spark,
+        orders=[order("a", delivered=20), order("b"), order("c")],
+        order_items=[item(o, "99.00", "1.00") for o in "abc"],
+        products=[product("p1", "x")],
+    )
+    row = f.value_at_risk(v, min_orders=1).first()
+    assert (row.pct_late, row.total_order_value) == (Decimal("33.33"), Decimal("300.00"))
+    assert row.estimated_late_order_value == Decimal("99.99")
+
+
+def test_executive_summary_without_late_orders(spark):
+    row = f.executive_summary(views(spark, orders=[order("a")], order_items=[item("a")])).first()
+    assert row.asDict() == {
+        "total_delivered_orders": 1,
+        "pct_late": Decimal("0.00"),
+        "pct_on_time": Decimal("100.00"),
+        "overall_avg_review_score": None,
+        "avg_delay_among_late_orders": None,
+        "total_order_value": Decimal("11.00"),
+        "late_order_value": None,
+        "pct_order_value_late": None,
+    }
+
+
+def test_one_row_for_no_orders(spark):
+    empty = views(spark)
+    severe = f.severe_delays(empty).collect()
+    summary = f.executive_summary(empty).collect()
+    assert [list(r) for r in severe] == [[0, 0, None, None, None, None]]
+    assert [list(r) for r in summary] == [[0] + [None] * 7]
+
+
+@pytest.mark.parametrize("name", sorted(set(FINDINGS) - {"16_severe", "18_executive"}))
+def test_no_groups_for_no_orders(spark, name):
+    assert FINDINGS[name](views(spark)).collect() == []
+
+
+def test_severe_delay_threshold_is_exclusive(spark):
+    v = views(spark, orders=[order("a", delivered=17, due=10), order("b", delivered=17.01, due=10)])
+    assert f.severe_delays(v).first().severely_delayed_orders == 1
+    assert f.severe_delays(v, severe_days=6).first().severely_delayed_orders == 2
+
+
+def test_orders_without_a_value_are_in_the_top_group_and_not_in_its_average(spark):
+    v = views(
+        spark,
+        orders=[order(o) for o in "abcd"],
+        order_items=[item("a", "1.00", "0.00"), item("b", "2.00", "0.00"), item("c", "3.00", "0.00")],
+    )
+    groups = by(f.order_value_groups(v), "order_id")
+    assert {o: row.value_quartile for o, row in groups.items()} == {"a": 1, "b": 2, "c": 3, "d": 4}
+    quartiles = by(f.value_quartiles(v), "value_quartile")
+    assert (quartiles[4].order_count, quartiles[4].avg_order_value) == (1, None)
+
+
+def test_null_stage_days_are_in_the_last_band(spark):
+    v = views(
+        spark,
+        orders=[order("a", order_approved_at=None), order("b", order_delivered_carrier_date=None)],
+    )
+    handling = by(f.handling_bands(v), "seller_handling_band")
+    assert handling["7+ days"].order_count == 2
+    assert handling["7+ days"].avg_seller_handling_days is None
+    shipping = by(f.shipping_bands(v), "carrier_shipping_band")
+    assert (shipping["8+ days"].order_count, shipping["2-4 days"].order_count) == (1, 1)
+
+
+def test_band_edges_are_parameters(spark):
+    v = views(spark, orders=[order("a")])
+    got = f.handling_bands(v, Bands((1,), ("short", "long")))
+    assert column(got, "seller_handling_band") == ["long"]
+
+
+# ---- categories -----------------------------------------------------------------------
+
+
+def test_category_grain(spark):
+    v = views(
+        spark,
+        orders=[order("a"), order("b", delivered=20)],
+        order_items=[
+            item("a", "10.00", "1.00", 1, product_id="p1"),
+            item("a", "20.00", "2.00", 2, product_id="p2"),
+            item("a", "30.00", "3.00", 3, product_id="p3"),
+            item("b", "40.00", "4.00", 1, product_id="p1"),
+            item("b", "50.00", "5.00", 2, product_id="p4"),
+            item("b", "60.00", "6.00", 3, product_id="gone"),
+        ],
+        products=[product("p1", "x"), product("p2", "x"), product("p3", "y"), product("p4")],
+        product_category_translation=[translation("x", "Ex")],
+        order_reviews=[review("a", 5), review("b", 2)],
+    )
+    rows = by(v.category_performance, "product_category")
+    assert set(rows) == {"Ex", "y", "unknown"}
+    ex = rows["Ex"]
+    assert (ex.order_count, ex.total_order_value, ex.avg_category_order_value) == (
+        2,
+        Decimal("77.00"),
+        Decimal("38.50"),
+    )
+    # The review of order a counts once although two of its items are in the category.
+    assert (ex.avg_review_score, ex.pct_late) == (Decimal("3.50"), Decimal("50.00"))
+    assert (rows["unknown"].order_count, rows["unknown"].total_order_value) == (1, Decimal("121.00"))
+    assert rows["y"].avg_delivery_days == Decimal("5.00")
+
+
+def test_category_named_by_its_original_when_the_translation_is_null(spark):
+    v = views(
+        spark,
+        orders=[order("a")],
+        order_items=[item("a")],
+        products=[product("p1", "x")],
+        product_category_translation=[translation("x", None)],
+    )
+    assert column(v.category_performance, "product_category") == ["x"]
+
+
+def test_category_values_add_up_to_the_order_values(sample_views):
+    total = sample_views.category_performance.agg(F.sum("total_order_value")).first()[0]
+    assert total == sample_views.order_metrics.agg(F.sum("order_value")).first()[0]
+
+
+# ---- properties on the sample -----------------------------------------------------------
+
+
+def test_shares_add_up(sample_views):
+    for df, share in (
+        (f.overall_reliability(sample_views), "pct_of_orders"),
+        (f.value_by_status(sample_views), "pct_of_total_order_value"),
+        (f.delay_bands(sample_views), "pct_of_orders"),
+    ):
+        assert abs(sum(column(df, share)) - 100) <= Decimal("0.03")
+    per_status = f.score_distribution(sample_views).groupBy("delivery_status").agg(F.sum("pct_of_status_orders").alias("s"))
+    assert all(abs(s - 100) <= Decimal("0.03") for s in column(per_status, "s"))
+
+
+@pytest.mark.parametrize("name", ["state_performance", "monthly_performance", "category_performance"])
+def test_on_time_and_late_are_complementary(sample_views, name):
+    rows = getattr(sample_views, name).collect()
+    assert rows and all(abs(r.pct_on_time + r.pct_late - 100) <= Decimal("0.01") for r in rows)
+
+
+def test_quartiles_are_even(sample_views):
+    sizes = column(f.value_quartiles(sample_views), "order_count")
+    assert sum(sizes) == 975 and max(sizes) - min(sizes) <= 1
+
+
+def test_min_orders_filters_groups(sample_views):
+    assert f.worst_states(sample_views).isEmpty()
+    some = f.worst_states(sample_views, min_orders=50).collect()
+    assert 0 < len(some) < 25 and all(r.order_count >= 50 for r in some)
+
+
+# ---- order of rows ------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["01_overall", "02_satisfaction", "05_estimated_vs_actual", "12_contribution"])
+def test_late_comes_first(sample_views, name):
+    assert column(FINDINGS[name](sample_views), "delivery_status") == ["Late", "On Time"]
+
+
+def test_score_order_within_status(sample_views):
+    got = [(r.delivery_status, r.review_score) for r in f.score_distribution(sample_views).collect()]
+    assert got == [(s, n) for s in ("Late", "On Time") for n in range(1, 6)]
+
+
+def test_band_orders(sample_views):
+    assert column(f.handling_bands(sample_views), "seller_handling_band") == [
+        "Under 2 days",
+        "2-3 days",
+        "4-6 days",
+        "7+ days",
+    ]
+    assert column(f.shipping_bands(sample_views), "carrier_shipping_band") == [
+        "Under 2 days",
+        "2-4 days",
+        "5-7 days",
+        "8+ days",
+    ]
+    assert column(f.delay_bands(sample_views), "delay_band") == [
+        "On Time",
+        "1-2 days late",
+        "3-7 days late",
+        "8-14 days late",
+        "15+ days late",
+    ]
+
+
+def test_band_of_only_missing_days_comes_last(spark):
+    v = views(spark, orders=[order("a", order_approved_at=None), order("b", order_delivered_carrier_date=day(9))])
+    assert column(f.handling_bands(v), "order_count") == [2]
+    v = views(spark, orders=[order("a", order_approved_at=None), order("b")])
+    assert column(f.handling_bands(v), "seller_handling_band") == ["Under 2 days", "7+ days"]
+
+
+def test_descending_lists_put_nulls_first_then_fall(spark, sample_views):
+    v = views(spark, orders=[order("a"), order("b", delivered=20)], order_items=[item("a")])
+    assert column(f.value_by_status(v), "total_order_value") == [None, Decimal("11.00")]
+    for df, key in (
+        (f.worst_states(sample_views, 1), "pct_late"),
+        (f.best_states(sample_views, 1), "pct_on_time"),
+        (f.worst_categories(sample_views, 1), "pct_late"),
+        (f.value_at_risk(sample_views, 1), "estimated_late_order_value"),
+    ):
+        got = column(df, key)
+        assert len(got) >= 25 and got == sorted(got, reverse=True)
+
+
+def test_time_lists_rise(sample_views):
+    months = column(f.monthly_reliability(sample_views), "order_month")
+    years = column(f.yearly_reliability(sample_views), "order_year")
+    assert months == sorted(months) and isinstance(months[0], date)
+    assert years == sorted(years)
+
+
+def test_orders_without_a_purchase_time_form_the_last_month(spark):
+    v = views(spark, orders=[order("a"), order("b", order_purchase_timestamp=None)])
+    assert column(f.monthly_reliability(v), "order_month") == [date(2018, 3, 1), None]
+    assert column(f.yearly_reliability(v), "order_year") == [2018, None]
+
+
+def test_stored_fact_gives_the_same_findings(sample):
+    plain, stored = Views(sample), Views(sample).stored()
+    for name in ("01_overall", "09_value_at_risk", "15_delay_bands", "18_executive"):
+        assert FINDINGS[name](stored).collect() == FINDINGS[name](plain).collect()

@@ -1,0 +1,56 @@
+import os
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from parcelwise.operators import distributed_ntile
+
+
+def order():
+    return [F.col("v").asc_nulls_last(), F.col("id").asc()]
+
+
+def plain(df, n):
+    return df.withColumn("tile", F.ntile(n).over(Window.orderBy(*order())))
+
+
+def same(a, b):
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+@pytest.mark.parametrize("rows", [0, 1, 2, 3, 4, 5, 7, 1000, 1001, 1002, 1003])
+@pytest.mark.parametrize("n", [1, 4])
+def test_equals_plain_ntile(spark, rows, n):
+    # A tenth of the values are NULL, the rest tie heavily.
+    df = spark.range(rows).select("id", F.when(F.col("id") % 10 != 0, F.hash("id") % 17).alias("v"))
+    assert same(distributed_ntile(df, n, order(), "tile"), plain(df, n))
+
+
+@pytest.mark.parametrize("n", [3, 10, 5000])
+def test_other_group_numbers(spark, n):
+    df = spark.range(4321).select("id", (F.hash("id") % 1000).alias("v"))
+    assert same(distributed_ntile(df, n, order(), "tile"), plain(df, n))
+
+
+def test_one_value_in_a_third_of_the_rows_is_still_split_over_tasks(spark, conf):
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 3 != 0, F.hash("id")).alias("v"))
+    ours = distributed_ntile(df, 4, order(), "tile")
+    assert same(ours, plain(df, 4))
+    sizes = [r["count"] for r in ours.groupBy("tile").count().collect()]
+    assert sizes == [7500] * 4
+    # 10,000 rows share the NULL value, yet no sort partition holds nearly that many.
+    files = spark.read.parquet(os.path.dirname(ours.inputFiles()[0])).groupBy("_metadata.file_path").count()
+    assert files.count() == 8 and files.agg(F.max("count")).first()[0] < 5000
+
+
+def test_places_are_fixed_once_written(spark):
+    df = spark.range(1000).select("id", F.rand().alias("v"))
+    ours = distributed_ntile(df, 4, order(), "tile")
+    assert ours.collect() == ours.collect()
+
+
+def test_rejects_no_groups(spark):
+    with pytest.raises(ValueError, match="at least one"):
+        distributed_ntile(spark.range(1), 0, [F.col("id")], "tile")
