@@ -407,7 +407,7 @@ def _violations() -> str:
         for name, spec in TABLE_SPECS.items()
         if spec.key
     ]
-    parts.append(f"SELECT 'order_reviews: invalid score', ({_ISSUES['invalid_scores']})")
+    parts.append(f"SELECT 'order_reviews: review_score is invalid', ({_ISSUES['invalid_scores']})")
     parts.append(f"SELECT table_name || ': ' || column_name || ' is NULL', issue_count FROM ({_null_rows()})")
     parts.append(f"SELECT table_name || ': ' || column_name || ' is too long', issue_count FROM ({_length_rows()})")
     return f"SELECT check_name, issue_count FROM ({' UNION ALL '.join(parts)}) WHERE issue_count > 0"

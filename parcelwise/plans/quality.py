@@ -192,67 +192,83 @@ def untranslated_categories(tables: Tables) -> DataFrame:
     )
 
 
-def _per_column(
-    tables: Tables, columns: Callable[[str], list[tuple[str, Column, int | None]]]
-) -> DataFrame:
-    """(table_name, column_name, max_length, issue_count) from one pass per table."""
-
-    def one(name: str) -> DataFrame | None:
-        tests = columns(name)
-        if not tests:
-            return None
-        counts = tables[name].agg(*(F.count_if(test).alias(f"c{i}") for i, (_, test, _) in enumerate(tests)))
-        structs = [
+@dataclass(frozen=True)
+class ColumnRule:
+    """A declared rule on one column; ``broken`` tells a row that violates it."""
+
+    column: str
+    problem: str
+    broken: Callable[[], Column]
+    max_length: int | None = None
+
+
+def _null_rules(table: str) -> list[ColumnRule]:
+    return [
+        ColumnRule(name, "is NULL", lambda name=name: F.col(name).isNull()) for name in TABLE_SPECS[table].required
+    ]
+
+
+def _length_rules(table: str) -> list[ColumnRule]:
+    return [
+        ColumnRule(
+            field.name,
+            "is too long",
+            lambda field=field: F.length(F.rtrim(field.name)) > field.max_length,
+            field.max_length,
+        )
+        for field in TABLE_SPECS[table].bounded
+    ]
+
+
+def _broken_rules(tables: Tables, rules_of: Callable[[str], list[ColumnRule]]) -> DataFrame:
+    """(table_name, column_name, problem, max_length, issue_count) from one pass per table."""
+    frames = []
+    for table in TABLE_SPECS:
+        rules = rules_of(table)
+        if not rules:
+            continue
+        counts = tables[table].agg(*(F.count_if(rule.broken()).alias(f"c{i}") for i, rule in enumerate(rules)))
+        rows = [
             F.struct(
-                F.lit(name).alias("table_name"),
-                F.lit(column).alias("column_name"),
-                F.lit(limit).cast("int").alias("max_length"),
+                F.lit(table).alias("table_name"),
+                F.lit(rule.column).alias("column_name"),
+                F.lit(rule.problem).alias("problem"),
+                F.lit(rule.max_length).cast("int").alias("max_length"),
                 F.col(f"c{i}").alias("issue_count"),
             )
-            for i, (column, _, limit) in enumerate(tests)
+            for i, rule in enumerate(rules)
         ]
-        return counts.select(F.inline(F.array(*structs)))
-
-    frames = [frame for frame in map(one, TABLE_SPECS) if frame is not None]
+        frames.append(counts.select(F.inline(F.array(*rows))))
     return _union(frames)
 
 
 def null_violations(tables: Tables) -> DataFrame:
     """NULLs in columns declared NOT NULL or part of a key."""
-    return _per_column(
-        tables, lambda name: [(c, F.col(c).isNull(), None) for c in TABLE_SPECS[name].required]
-    ).drop("max_length")
+    return _broken_rules(tables, _null_rules).drop("problem", "max_length")
 
 
 def length_violations(tables: Tables) -> DataFrame:
     """Texts longer than declared; trailing blanks do not count."""
-    return _per_column(
-        tables,
-        lambda name: [
-            (f.name, F.length(F.rtrim(f.name)) > f.max_length, f.max_length)
-            for f in TABLE_SPECS[name].bounded
-        ],
-    )
+    return _broken_rules(tables, _length_rules).drop("problem")
 
 
 def constraint_violations(tables: Tables) -> DataFrame:
-    """(check_name, issue_count) of every rule a load enforces, violated ones only."""
-    single = [
-        _duplicates(f"{name}: duplicate key", name, *spec.key) for name, spec in TABLE_SPECS.items() if spec.key
-    ]
-    per_column = [
-        null_violations(tables).select(
-            F.concat_ws(" ", F.concat("table_name", F.lit(":")), "column_name", F.lit("is NULL")), "issue_count"
-        ),
-        length_violations(tables).select(
-            F.concat_ws(" ", F.concat("table_name", F.lit(":")), "column_name", F.lit("is too long")), "issue_count"
-        ),
+    """(check_name, issue_count) of every rule a load enforces, violated ones only.
+
+    Column rules take one pass per table and keys one grouping per table.
+    """
+
+    def rules_of(table: str) -> list[ColumnRule]:
+        scores = [ColumnRule("review_score", "is invalid", _invalid_score)] if table == "order_reviews" else []
+        return _null_rules(table) + _length_rules(table) + scores
+
+    keys = [
+        _duplicates(f"{table}: duplicate key", table, *spec.key) for table, spec in TABLE_SPECS.items() if spec.key
     ]
-    found = _union(
-        [count_issues(tables, [*single, RowCheck("order_reviews: invalid score", "order_reviews", _invalid_score)])]
-        + per_column
+    per_column = _broken_rules(tables, rules_of).select(
+        F.concat("table_name", F.lit(": "), "column_name", F.lit(" "), "problem").alias("check_name"), "issue_count"
     )
-    return found.filter(F.col("issue_count") > 0)
+    return count_issues(tables, keys).unionAll(per_column).filter(F.col("issue_count") > 0)
 
 
 def require_constraints(tables: Tables) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 
@@ -22,48 +22,63 @@ VIEW_NAMES = {
 
 
 class Views:
-    """Views over ``tables``; pass ``fact`` to build on a stored order-level fact."""
+    """Views over ``tables``; those in ``given`` are taken from there instead of computed."""
 
-    def __init__(self, tables: Tables, fact: DataFrame | None = None) -> None:
+    def __init__(self, tables: Tables, given: Mapping[str, DataFrame] | None = None) -> None:
         self.tables = tables
-        self._fact = fact
+        self._given = dict(given or {})
+        unknown = self._given.keys() - VIEW_NAMES.keys()
+        if unknown:
+            raise ValueError(f"no such views: {sorted(unknown)}")
 
-    @cached_property
+    def _view(self, attribute: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if attribute not in self._given:
+            self._given[attribute] = build()
+        return self._given[attribute]
+
+    @property
     def order_metrics(self) -> DataFrame:
-        return self._fact if self._fact is not None else order_metrics(self.tables)
+        return self._view("order_metrics", lambda: order_metrics(self.tables))
 
-    @cached_property
+    @property
     def reliability_summary(self) -> DataFrame:
-        return rollups.reliability_summary(self.order_metrics)
+        return self._view("reliability_summary", lambda: rollups.reliability_summary(self.order_metrics))
 
-    @cached_property
+    @property
     def monthly_performance(self) -> DataFrame:
-        return rollups.monthly_performance(self.order_metrics)
+        return self._view("monthly_performance", lambda: rollups.monthly_performance(self.order_metrics))
 
-    @cached_property
+    @property
     def state_performance(self) -> DataFrame:
-        return rollups.state_performance(self.order_metrics)
+        return self._view("state_performance", lambda: rollups.state_performance(self.order_metrics))
 
-    @cached_property
+    @property
     def category_performance(self) -> DataFrame:
-        return rollups.category_performance(self.tables, self.order_metrics)
-
-    def stored(self) -> Views:
-        """The same views on a fact written once: each finding then reads a few columns of it."""
-        return Views(self.tables, store(self.order_metrics, "order_metrics"))
+        return self._view(
+            "category_performance", lambda: rollups.category_performance(self.tables, self.order_metrics)
+        )
 
     def frames(self) -> dict[str, DataFrame]:
         return {name: getattr(self, attribute) for attribute, name in VIEW_NAMES.items()}
 
+    def stored(self) -> Views:
+        """The same views on a fact written once: each finding then reads a few columns of it."""
+        return Views(self.tables, {"order_metrics": store(self.order_metrics, "order_metrics")})
+
     def register(self) -> None:
         """Makes the raw tables and the views readable by name from Spark SQL."""
         register(dict(self.tables.items()))
         register(self.frames())
 
-    def publish(self, folder: str) -> None:
-        """Writes the views as Parquet for a dashboard, computing the fact once."""
-        name = VIEW_NAMES["order_metrics"]
-        publish({name: self.order_metrics}, folder)
+    def publish(self, folder: str) -> Views:
+        """Writes the views as Parquet for any reader, and returns them as read from there.
+
+        The fact is computed once and the rollups are built from what was written.
+        """
         spark = self.tables.orders.sparkSession
-        fact = spark.read.schema(self.order_metrics.schema).parquet(f"{folder}/{name}")
-        publish({n: df for n, df in Views(self.tables, fact).frames().items() if n != name}, folder)
+        written: dict[str, DataFrame] = {}
+        for attribute, name in VIEW_NAMES.items():
+            df = getattr(Views(self.tables, written), attribute)
+            publish({name: df}, folder)
+            written[attribute] = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+        return Views(self.tables, written)

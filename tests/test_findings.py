@@ -17,7 +17,7 @@ def views(spark, **rows) -> Views:
 
 @pytest.fixture(scope="module")
 def sample_views(sample, sample_fact):
-    return Views(sample, sample_fact)
+    return Views(sample, {"order_metrics": sample_fact})
 
 
 def column(df, name):
@@ -276,7 +276,15 @@ def test_orders_without_a_purchase_time_form_the_last_month(spark):
     assert column(f.yearly_reliability(v), "order_year") == [2018, None]
 
 
-def test_stored_fact_gives_the_same_findings(sample):
-    plain, stored = Views(sample), Views(sample).stored()
-    for name in ("01_overall", "09_value_at_risk", "15_delay_bands", "18_executive"):
-        assert FINDINGS[name](stored).collect() == FINDINGS[name](plain).collect()
+def test_stored_and_published_views_give_the_same_findings(sample, tmp_path):
+    plain = Views(sample)
+    stored, published = plain.stored(), plain.publish(str(tmp_path))
+    for name in ("01_overall", "06_worst_states", "09_value_at_risk", "13_monthly", "15_delay_bands", "18_executive"):
+        expected = FINDINGS[name](plain).collect()
+        assert FINDINGS[name](stored).collect() == expected
+        assert FINDINGS[name](published).collect() == expected
+
+
+def test_given_views_must_exist(sample):
+    with pytest.raises(ValueError, match="no such views"):
+        Views(sample, {"fact": sample.orders})

@@ -185,7 +185,7 @@ def test_length_violations_ignore_trailing_blanks(spark):
 
 def test_require_constraints_names_what_is_broken(spark, broken):
     q.require_constraints(tables(spark, orders=[order("o1")]))
-    with pytest.raises(ValueError, match=r"customers: duplicate key \(1\).*order_reviews: invalid score \(2\)"):
+    with pytest.raises(ValueError, match=r"customers: duplicate key \(1\).*order_reviews: review_score is invalid \(2\)"):
         q.require_constraints(broken)
 
 
