@@ -10,15 +10,13 @@ SETTINGS = {
     # Re-plan at run time: broadcast by measured size, split hot partitions, merge small ones.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.ui.enabled": "false",
 }
 
 
 def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Adds the package's settings; on a cluster also set ``spark.checkpoint.dir`` and
-    ``spark.sql.shuffle.partitions`` (about shuffle bytes / 128 MB for the largest join)."""
+    ``spark.sql.shuffle.partitions`` (about shuffle bytes / 64 MB for the largest join; small shuffles are merged at run time)."""
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return builder

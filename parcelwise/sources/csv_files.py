@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,7 +47,7 @@ def read_csv_tables(
     paths = paths or {}
     return Tables(
         **{
-            name: read_csv_table(spark, name, paths.get(name, f"{raw_dir}/*{spec.csv_suffix}"))
+            name: partial(read_csv_table, spark, name, paths.get(name, f"{raw_dir}/*{spec.csv_suffix}"))
             for name, spec in TABLE_SPECS.items()
         }
     )

@@ -6,6 +6,8 @@ integer arithmetic. Every row of every file is used.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,26 +48,30 @@ def _conform(name: str, df: DataFrame) -> DataFrame:
     )
 
 
-def sample_tables(spark: SparkSession, folder: str) -> Tables:
-    def read(name: str) -> DataFrame:
-        return spark.read.schema(_FILES[name]).parquet(f"{folder}/{name}.parquet")
+Read = Callable[[str], DataFrame]
 
-    nation = read("nation")
 
-    customers = read("customer").join(nation, _on("c_nationkey", "n_nationkey")).selectExpr(
+def _customers(read: Read) -> DataFrame:
+    return read("customer").join(read("nation"), _on("c_nationkey", "n_nationkey")).selectExpr(
         "c_custkey as customer_id",
         "c_name as customer_unique_id",
         "lpad(cast(c_nationkey as string), 5, '0') as customer_zip_code_prefix",
         "n_name as customer_city",
         "lpad(cast(c_nationkey as string), 2, '0') as customer_state",
     )
-    sellers = read("supplier").join(nation, _on("s_nationkey", "n_nationkey")).selectExpr(
+
+
+def _sellers(read: Read) -> DataFrame:
+    return read("supplier").join(read("nation"), _on("s_nationkey", "n_nationkey")).selectExpr(
         "s_suppkey as seller_id",
         "lpad(cast(s_nationkey as string), 5, '0') as seller_zip_code_prefix",
         "n_name as seller_city",
         "lpad(cast(s_nationkey as string), 2, '0') as seller_state",
     )
-    orders = (
+
+
+def _orders(read: Read) -> DataFrame:
+    return (
         read("orders")
         .selectExpr(
             "o_orderkey as k",
@@ -96,7 +102,10 @@ def sample_tables(spark: SparkSession, folder: str) -> Tables:
             + " end as order_delivered_customer_date",
         )
     )
-    order_items = (
+
+
+def _order_items(read: Read) -> DataFrame:
+    return (
         read("lineitem")
         .selectExpr("*", "cast(l_extendedprice as decimal(12,2)) as price")
         .selectExpr(
@@ -109,14 +118,20 @@ def sample_tables(spark: SparkSession, folder: str) -> Tables:
             "price * cast(l_tax as decimal(4,2)) as freight_value",
         )
     )
-    order_payments = read("orders").selectExpr(
+
+
+def _order_payments(read: Read) -> DataFrame:
+    return read("orders").selectExpr(
         "if(o_orderkey % 401 = 0, -1, o_orderkey) as order_id",
         "1 as payment_sequential",
         "lower(substr(o_orderpriority, 3)) as payment_type",
         "o_orderkey % 10 + 1 as payment_installments",
         "o_totalprice as payment_value",
     )
-    order_reviews = read("events").selectExpr(
+
+
+def _order_reviews(read: Read) -> DataFrame:
+    return read("events").selectExpr(
         "event_id as review_id",
         "case when event_id % 211 = 0 then -1 when event_id % 5 = 0 then event_id + 1 else event_id end as order_id",
         "case when event_id % 17 = 0 then NULL else case event_type when 'purchase' then 5 when 'signup' then 4 "
@@ -125,12 +140,18 @@ def sample_tables(spark: SparkSession, folder: str) -> Tables:
         "ts as review_creation_date",
         "if(event_id % 7 = 0, NULL, ts) as review_answer_timestamp",
     )
-    products = read("part").selectExpr(
+
+
+def _products(read: Read) -> DataFrame:
+    return read("part").selectExpr(
         "p_partkey as product_id",
         "if(p_partkey % 53 = 0, NULL, p_brand) as product_category_name",
         "p_size as product_weight_g",
     )
-    translation = (
+
+
+def _translation(read: Read) -> DataFrame:
+    return (
         read("part")
         .filter("p_brand <> 'Brand#25'")
         .selectExpr(
@@ -139,19 +160,32 @@ def sample_tables(spark: SparkSession, folder: str) -> Tables:
         )
         .distinct()
     )
-    geolocation = read("customer").selectExpr(
+
+
+def _geolocation(read: Read) -> DataFrame:
+    return read("customer").selectExpr(
         "lpad(cast(c_nationkey as string), 5, '0') as geolocation_zip_code_prefix",
         "c_nationkey * 1.5 - 20 as geolocation_lat",
     )
-    frames = {
-        "customers": customers,
-        "geolocation": geolocation,
-        "order_items": order_items,
-        "order_payments": order_payments,
-        "order_reviews": order_reviews,
-        "orders": orders,
-        "product_category_translation": translation,
-        "products": products,
-        "sellers": sellers,
-    }
-    return Tables(**{name: _conform(name, df) for name, df in frames.items()})
+
+
+_BUILDERS = {
+    "customers": _customers,
+    "geolocation": _geolocation,
+    "order_items": _order_items,
+    "order_payments": _order_payments,
+    "order_reviews": _order_reviews,
+    "orders": _orders,
+    "product_category_translation": _translation,
+    "products": _products,
+    "sellers": _sellers,
+}
+
+
+def sample_tables(spark: SparkSession, folder: str) -> Tables:
+    def read(name: str) -> DataFrame:
+        return spark.read.schema(_FILES[name]).parquet(f"{folder}/{name}.parquet")
+
+    return Tables(
+        **{name: lambda name=name, build=build: _conform(name, build(read)) for name, build in _BUILDERS.items()}
+    )

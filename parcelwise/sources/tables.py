@@ -2,38 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Iterator, Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from parcelwise.sources.schema import TABLE_SPECS, struct_type
 
 
-@dataclass(frozen=True)
 class Tables:
-    customers: DataFrame
-    geolocation: DataFrame
-    order_items: DataFrame
-    order_payments: DataFrame
-    order_reviews: DataFrame
-    orders: DataFrame
-    product_category_translation: DataFrame
-    products: DataFrame
-    sellers: DataFrame
+    """The nine raw tables by name, as attributes or items.
+
+    Each is given as a frame, or as a function that makes it on first use: opening a large
+    table lists its files, and most queries need few of the nine.
+    """
+
+    def __init__(self, **sources: DataFrame | Callable[[], DataFrame]) -> None:
+        if sources.keys() != TABLE_SPECS.keys():
+            raise ValueError(f"expected the tables {sorted(TABLE_SPECS)}, got {sorted(sources)}")
+        self._sources = sources
 
     def __getitem__(self, name: str) -> DataFrame:
-        return getattr(self, name)
+        source = self._sources[name]
+        if not isinstance(source, DataFrame):
+            source = self._sources[name] = source()
+        return source
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in TABLE_SPECS:
+            raise AttributeError(name)
+        return self[name]
 
     def items(self) -> Iterator[tuple[str, DataFrame]]:
-        return ((f.name, self[f.name]) for f in fields(self))
+        return ((name, self[name]) for name in TABLE_SPECS)
 
 
 def load_tables(spark: SparkSession, folder: str) -> Tables:
     """Parquet scan of all nine tables with their declared schemas."""
     return Tables(
         **{
-            name: spark.read.schema(struct_type(name)).parquet(f"{folder}/{name}")
+            name: partial(spark.read.schema(struct_type(name)).parquet, f"{folder}/{name}")
             for name in TABLE_SPECS
         }
     )
@@ -51,7 +59,7 @@ def save_tables(tables: Tables, database: str) -> Tables:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     for name, df in tables.items():
         df.write.mode("overwrite").format("parquet").saveAsTable(f"`{database}`.`{name}`")
-    return Tables(**{name: spark.table(f"`{database}`.`{name}`") for name in TABLE_SPECS})
+    return Tables(**{name: partial(spark.table, f"`{database}`.`{name}`") for name in TABLE_SPECS})
 
 
 def register(frames: Mapping[str, DataFrame]) -> None:
