@@ -13,7 +13,8 @@ from parcelwise.sources.schema import TABLE_SPECS
 
 def _half_away(n: str, d: str) -> str:
     """n / d to the nearest integer, halves away from zero; NULL when d is 0."""
-    return f"(CASE WHEN ({n}) < 0 THEN -1 ELSE 1 END * ((2 * abs({n}) + ({d})) // (2 * nullif({d}, 0))))"
+    sign = f"CASE WHEN (({n}) < 0) <> (({d}) < 0) THEN -1 ELSE 1 END"
+    return f"({sign} * ((2 * abs({n}) + abs({d})) // (2 * nullif(abs({d}), 0))))"
 
 
 def _out(hundredths: str) -> str:
