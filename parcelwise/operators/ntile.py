@@ -18,18 +18,22 @@ from parcelwise.sources.scratch import store
 _ROW_BITS = 33
 
 
-def distributed_ntile(df: DataFrame, n: int, order_by: Sequence[Column], alias: str) -> DataFrame:
+def distributed_ntile(
+    df: DataFrame, n: int, order_by: Sequence[Column], alias: str, keep: Sequence[str] | None = None
+) -> DataFrame:
     """Adds ``alias``: 1..n in the order given; the first ``rows % n`` groups get one row more.
 
     ``order_by`` should end in a unique column, so that equal rows are split the same way
     on every run, and should state where NULLs go. The sorted rows are written once to
     the scratch folder: sort boundaries are sampled, so counting and ranking must read
-    the same layout, also after executors are lost. Pass only the columns needed.
+    the same layout, also after executors are lost. ``keep`` names the columns to write and
+    return, all by default; columns that only decide the order need not be among them.
     """
     if n < 1:
         raise ValueError("NTILE needs at least one group")
+    kept = df.columns if keep is None else list(keep)
     sorted_rows = store(
-        df.orderBy(*order_by).withColumn("_place", F.monotonically_increasing_id()), "ntile"
+        df.orderBy(*order_by).select(*kept, F.monotonically_increasing_id().alias("_place")), "ntile"
     )
     part = F.shiftrightunsigned("_place", _ROW_BITS)
     row = F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
@@ -54,5 +58,5 @@ def distributed_ntile(df: DataFrame, n: int, order_by: Sequence[Column], alias:
         sorted_rows.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
         .withColumn(alias, (tile + 1).cast("int"))
-        .select(*df.columns, alias)
+        .select(*kept, alias)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -260,19 +260,24 @@ def severe_delays(views: Views, severe_days: int = SEVERE_DAYS) -> DataFrame:
     )
 
 
-def order_value_groups(views: Views, groups: int = VALUE_GROUPS) -> DataFrame:
-    """Each order's value group, 1 the lowest; orders without items have no value and come last."""
+def _value_groups(views: Views, groups: int, keep: Sequence[str]) -> DataFrame:
     return distributed_ntile(
         views.order_metrics.select("order_id", "order_value", "delivery_status", "review_score"),
         groups,
         [m.value().asc_nulls_last(), F.col("order_id").asc()],
         alias="value_quartile",
+        keep=keep,
     )
 
 
+def order_value_groups(views: Views, groups: int = VALUE_GROUPS) -> DataFrame:
+    """Each order's value group, 1 the lowest; orders without items have no value and come last."""
+    return _value_groups(views, groups, keep=("order_id", "order_value"))
+
+
 def value_quartiles(views: Views, groups: int = VALUE_GROUPS) -> DataFrame:
     return (
-        order_value_groups(views, groups)
+        _value_groups(views, groups, keep=("order_value", "delivery_status", "review_score"))
         .groupBy("value_quartile")
         .agg(m.order_count(), m.avg_order_value(), m.pct_late(), m.avg_review_score())
         .orderBy("value_quartile")

@@ -54,3 +54,15 @@ def test_places_are_fixed_once_written(spark):
 def test_rejects_no_groups(spark):
     with pytest.raises(ValueError, match="at least one"):
         distributed_ntile(spark.range(1), 0, [F.col("id")], "tile")
+
+
+def test_keeps_only_named_columns(spark):
+    df = spark.range(10).select("id", (F.col("id") % 3).alias("v"), F.lit("x").alias("wide"))
+    ours = distributed_ntile(df, 2, order(), "tile", keep=("v",))
+    assert ours.columns == ["v", "tile"]
+    assert [tuple(r) for r in ours.orderBy("tile", "v").collect()] == [
+        *[(0, 1)] * 4,
+        (1, 1),
+        *[(1, 2)] * 2,
+        *[(2, 2)] * 3,
+    ]

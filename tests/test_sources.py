@@ -11,6 +11,7 @@ from parcelwise.plans import quality as q
 from parcelwise.plans.views import VIEW_NAMES, Views
 from parcelwise.sources import (
     TABLE_SPECS,
+    Tables,
     ingest,
     load_tables,
     read_csv_table,
@@ -146,6 +147,26 @@ def small(spark):
     )
 
 
+def test_tables_are_opened_on_first_use(spark):
+    opened = []
+
+    def source(name):
+        def make():
+            opened.append(name)
+            return spark.createDataFrame([], struct_type(name))
+
+        return make
+
+    t = Tables(**{name: source(name) for name in TABLE_SPECS})
+    assert opened == []
+    assert t.orders is t["orders"] and t.sellers.count() == 0
+    assert opened == ["orders", "sellers"]
+    with pytest.raises(AttributeError):
+        t.nothing  # noqa: B018
+    with pytest.raises(ValueError, match="expected the tables"):
+        Tables(orders=t.orders)
+
+
 def test_parquet_round_trip(spark, tmp_path):
     t = small(spark)
     write_tables(t, str(tmp_path))
