@@ -1,6 +1,6 @@
 """Where tables come from and go to."""
 
-from parcelwise.sources.csv_files import ingest, read_csv_table, read_csv_tables
+from parcelwise.sources.csv_files import read_csv_table, read_csv_tables
 from parcelwise.sources.schema import TABLE_SPECS, Field, TableSpec, struct_type
 from parcelwise.sources.scratch import scratch_folder, store
 from parcelwise.sources.tables import Tables, load_tables, publish, register, save_tables, write_tables
@@ -10,7 +10,6 @@ __all__ = [
     "Field",
     "TableSpec",
     "Tables",
-    "ingest",
     "load_tables",
     "publish",
     "read_csv_table",

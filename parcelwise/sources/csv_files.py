@@ -1,4 +1,4 @@
-"""CSV ingest: declared types, no inference, and a load that stops on bad input."""
+"""CSV scans: declared types, no inference, and an error on bad input."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parcelwise.sources.multiline_csv import read_multiline_csv
 from parcelwise.sources.schema import TABLE_SPECS, struct_type
-from parcelwise.sources.tables import Tables, load_tables, write_tables
+from parcelwise.sources.tables import Tables
 
 # Only review text may hold line breaks; every other table takes Spark's own reader, which
 # splits files when no record spans lines.
@@ -51,24 +51,3 @@ def read_csv_tables(
             for name, spec in TABLE_SPECS.items()
         }
     )
-
-
-def ingest(
-    spark: SparkSession,
-    raw_dir: str,
-    out_dir: str,
-    paths: Mapping[str, str] | None = None,
-    strict: bool = True,
-) -> Tables:
-    """Full reload: CSV to one Parquet folder per table, replacing what was there.
-
-    ``strict`` raises when a loaded table breaks a declared key, NOT NULL, length or score
-    rule. Without it the same violations can be read from ``plans.quality``.
-    """
-    write_tables(read_csv_tables(spark, raw_dir, paths), out_dir)
-    tables = load_tables(spark, out_dir)
-    if strict:
-        from parcelwise.plans.quality import require_constraints
-
-        require_constraints(tables)
-    return tables

@@ -8,11 +8,11 @@ from builders import customer, item, order, review, tables
 from pyspark.sql import functions as F
 
 from parcelwise.plans import quality as q
+from parcelwise.plans.ingest import ingest
 from parcelwise.plans.views import VIEW_NAMES, Views
 from parcelwise.sources import (
     TABLE_SPECS,
     Tables,
-    ingest,
     load_tables,
     read_csv_table,
     read_csv_tables,
