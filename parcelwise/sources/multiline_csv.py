@@ -62,7 +62,10 @@ def _block_starts(lines: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per CSV record below the header of each file, as its raw text."""
+    """One row per CSV record below the header of each file, as its raw text.
+
+    A record is named by the number of its first line, which no other file shares.
+    """
     lines = _lines(spark, path)
     so_far = Window.partitionBy(*_BLOCK).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     start = F.when(F.col("odd") == F.col("inside"), F.col("line"))
@@ -70,7 +73,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return (
         lines.join(_block_starts(lines), list(_BLOCK))
         .withColumn("record", F.coalesce(F.last(start, ignorenulls=True).over(so_far), F.col("continued")))
-        .groupBy("file", "record")
+        .groupBy("record")
         .agg(F.bool_or("header").alias("header"), pieces.alias("pieces"))
         .filter(~F.col("header"))
         .select(F.rtrim(F.array_join("pieces.value", "\n"), F.lit("\r")).alias("text"))
