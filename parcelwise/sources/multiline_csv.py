@@ -43,9 +43,13 @@ def _block_starts(lines: DataFrame) -> DataFrame:
     """Per block: whether it begins inside quotes, and the record it then continues.
 
     Which lines of a block start a record depends on the blocks before it, so the last
-    start is kept for both cases and chosen once the prefix sum is known.
+    start is kept for both cases and chosen once the prefix sum is known. A file whose last
+    quote is never closed is refused, before its tail is taken for one endless record.
     """
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole_file = Window.partitionBy("file")
+    earlier = whole_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    unclosed = F.sum("quotes").over(whole_file) % 2 == 1
+    refusal = F.raise_error(F.concat(F.lit("malformed CSV, quoted field never closed in "), "file"))
     last_start = F.when(F.col("inside") == 0, F.col("last_if_outside")).otherwise(F.col("last_if_inside"))
     return (
         lines.groupBy(*_BLOCK)
@@ -54,7 +58,9 @@ def _block_starts(lines: DataFrame) -> DataFrame:
             F.max(F.when(F.col("odd") == 0, F.col("line"))).alias("last_if_outside"),
             F.max(F.when(F.col("odd") == 1, F.col("line"))).alias("last_if_inside"),
         )
-        .withColumn("inside", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+        .withColumn("unclosed", unclosed)
+        .withColumn("before", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+        .withColumn("inside", F.when(F.col("unclosed"), refusal).otherwise(F.col("before")))
         .withColumn("last_start", last_start)
         .withColumn("continued", F.last("last_start", ignorenulls=True).over(earlier))
         .select(*_BLOCK, "inside", "continued")

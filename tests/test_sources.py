@@ -94,6 +94,15 @@ def test_review_text_with_line_breaks_is_read_in_parallel(spark, conf, tmp_path,
     assert df.filter("review_answer_timestamp = timestamp_ntz'2018-01-02 03:04:05'").count() == 120
 
 
+def test_unclosed_quote_stops_the_load(spark, conf, tmp_path):
+    conf("spark.sql.files.maxPartitionBytes", "50")
+    lines = [f'r{i},o{i},5,,"text {i}",,' for i in range(20)]
+    lines[7] = 'r7,o7,5,,"never closed,,'
+    folder = raw(tmp_path, order_reviews=lines)
+    with pytest.raises(Exception, match="quoted field never closed in .*order_reviews"):
+        read_csv_table(spark, "order_reviews", f"{folder}/*order_reviews_dataset.csv").collect()
+
+
 @pytest.mark.parametrize("table", ["orders", "order_reviews"])
 @pytest.mark.parametrize("fault", ["type", "short", "long"])
 def test_bad_input_stops_the_load(spark, tmp_path, table, fault):
