@@ -87,7 +87,7 @@ SELECT CAST(event_id AS VARCHAR) AS review_id,
        CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_type = 'purchase' THEN 5 WHEN event_type = 'signup' THEN 4
             WHEN event_type = 'click' THEN 3 WHEN event_type = 'view' THEN 2 WHEN event_type = 'error' THEN 1 END AS review_score,
        CAST(NULL AS VARCHAR) AS review_comment_title, props AS review_comment_message, ts AS review_creation_date,
-       CASE WHEN event_id % 7 <> 0 THEN ts END AS review_answer_timestamp
+       CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS review_answer_timestamp
 FROM events""",
     "t_products": """
 SELECT CAST(p_partkey AS VARCHAR) AS product_id, CASE WHEN p_partkey % 53 <> 0 THEN p_brand END AS product_category_name,

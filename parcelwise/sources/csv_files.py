@@ -16,14 +16,14 @@ from parcelwise.sources.tables import Tables
 MULTILINE_TABLES = frozenset({"order_reviews"})
 
 # An unquoted empty field is NULL and a quoted one is an empty string. Spark maps both
-# to its null marker, so the marker is one that does not occur in the files.
+# to its null marker when that is empty, so the marker is a character no text may hold.
 _OPTIONS = {
     "header": "true",
     "enforceSchema": "true",
     "encoding": "UTF-8",
     "quote": '"',
     "escape": '"',
-    "nullValue": "\\N",
+    "nullValue": "\u0000",
     "mode": "FAILFAST",
 }
 

@@ -87,7 +87,7 @@ def random_rows(seed: int, repeats: bool) -> dict[str, list[tuple]]:
                 maybe(r.randrange(orders)),
                 maybe(r.choice([datetime(2019, 1, 1), moment()])),
                 maybe(r.choice(["purchase", "signup", "click", "view", "error", "other"])),
-                maybe(r.choice(['{"k": 1}', 'line\nbreak, "quoted"', "", " "])),
+                maybe(r.choice(['{"k": 1}', 'line\nbreak, "quoted"', "", " ", "cr\r\nlf ", '"', "\\N"])),
             )
             for _ in range(1500)
         ],
@@ -117,7 +117,7 @@ ALL = sorted(entry.queries())
 ON_REPEATS = [name for name in ALL if name.startswith(("dq_", "row_", "status_", "latest_", "order_value"))]
 
 
-@pytest.mark.parametrize("name", [n for n in ALL if not n.startswith(("scan_", "ingest_"))])
+@pytest.mark.parametrize("name", ALL)
 def test_unique_keys(spark, folders, name):
     folder, con = folders[False]
     assert compare(entry.queries()[name](spark, folder), con, entry.oracle_sql()[name]) is None
