@@ -26,15 +26,20 @@ class Views:
 
     def __init__(self, tables: Tables, given: Mapping[str, DataFrame] | None = None) -> None:
         self.tables = tables
-        self._given = dict(given or {})
-        unknown = self._given.keys() - VIEW_NAMES.keys()
+        self._frames = dict(given or {})
+        self._given = frozenset(self._frames)
+        unknown = self._given - VIEW_NAMES.keys()
         if unknown:
             raise ValueError(f"no such views: {sorted(unknown)}")
 
+    def is_given(self, attribute: str) -> bool:
+        """Whether a view was handed over, and so costs no joins to read again."""
+        return attribute in self._given
+
     def _view(self, attribute: str, build: Callable[[], DataFrame]) -> DataFrame:
-        if attribute not in self._given:
-            self._given[attribute] = build()
-        return self._given[attribute]
+        if attribute not in self._frames:
+            self._frames[attribute] = build()
+        return self._frames[attribute]
 
     @property
     def order_metrics(self) -> DataFrame:
