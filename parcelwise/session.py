@@ -15,8 +15,12 @@ SETTINGS = {
 
 
 def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
-    """Adds the package's settings; on a cluster also set ``spark.checkpoint.dir`` and
-    ``spark.sql.shuffle.partitions`` (about shuffle bytes / 64 MB for the largest join; small shuffles are merged at run time)."""
+    """Adds the package's settings.
+
+    On a cluster also set ``spark.checkpoint.dir`` to a shared folder, and
+    ``spark.sql.shuffle.partitions`` to about the largest shuffle's bytes / 64 MB; small
+    shuffles are merged at run time.
+    """
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return builder
