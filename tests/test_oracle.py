@@ -4,9 +4,10 @@ import pytest
 from oracle_check import compare, connect
 
 import __spark_entry__ as entry
+import oracle_queries
 
 FOLDER = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = oracle_queries.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,12 +16,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(SQL)
+    assert set(entry.library_queries()) == set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, con, name):
-    assert compare(entry.queries()[name](spark, FOLDER), con, SQL[name]) is None
+    assert compare(entry.library_queries()[name](spark, FOLDER), con, SQL[name]) is None
 
 
 def test_entry(spark):
