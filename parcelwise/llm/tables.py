@@ -23,13 +23,12 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def kept(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back, which also cuts its lineage.
 
-    Shuffle files are freed once the driver collects the plans that made them, so it is asked to:
-    a job of many steps would otherwise hold the shuffles of all its steps on disk.
+    Spark frees shuffle files once the driver collects the plans that made them, so it is asked to before
+    each step: a job of many steps would otherwise hold the shuffles of all its steps on disk.
     """
-    out = store(df, label)
     gc.collect()
     df.sparkSession._jvm.System.gc()
-    return out
+    return store(df, label)
 
 
 def word_count(text):
