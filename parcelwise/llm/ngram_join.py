@@ -157,14 +157,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> Da
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("set_id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
-    close = (
-        pairs.join(side("a", "n", "lead"), "a")
-        .join(side("b", "n", "lead"), "b")
+    sized = (
+        pairs.join(side("a", "n"), "a")
+        .join(side("b", "n"), "b")
         .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        .where(F.arrays_overlap("lead_a", "lead_b"))
         .select("a", "b")
     )
-    close = kept(close, f"{label}-candidates")
+    close = kept(
+        sized.join(side("a", "lead"), "a")
+        .join(side("b", "lead"), "b")
+        .where(F.arrays_overlap("lead_a", "lead_b"))
+        .select("a", "b"),
+        f"{label}-candidates",
+    )
     both = F.size(F.array_intersect(F.concat("lead_a", "rest_a"), F.concat("lead_b", "rest_b"))).cast("long")
     return kept(
         close.join(side("a", "n", "lead", "rest"), "a")
