@@ -2,9 +2,10 @@
 
 A pair that reaches the threshold shares a token in its prefixes under *every* global order of the
 tokens. Candidates are found by an equi-join on the prefixes of a first order, then must also overlap
-in the prefixes of a second one, before the whole sets are intersected. Both orders put tokens that are
-frequent in the corpus last (by a counted sketch of fixed size), so shared passages leave the prefixes; the
-sketch only shapes the order, which never affects the result.
+in the prefixes of a second one, before the whole sets are intersected. Both orders put tokens last that are
+frequent in the corpus, or likely to recur by chance because their words are frequent, and differ in the hash that
+orders the rest. Frequencies come from counters of a fixed number over the whole corpus. They only shape the
+order, which never affects the result.
 
 Equal sets are one class. Within a token's bucket, members are first compared with a few heads; pairs
 already connected need no comparison, and all pairs of different components that remain are then compared.
@@ -17,15 +18,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm import words as W
 from parcelwise.llm.graph import components
 from parcelwise.llm.tables import kept
 
-ORDERS = 2
-CELLS = 1 << 16  # counters of the sketch for each order
+TOKEN_CELLS = 1 << 18  # counters of shingles
+WORD_CELLS = 1 << 16  # counters of words, behind them
+CELLS = TOKEN_CELLS + WORD_CELLS
+BLOCK = 1 << 12  # counters in a row of the sketch
+CHANCE = 0.01  # expected occurrences of a shingle by the frequency of its words, above which it moves back
 MORE_ROUNDS = 6  # rounds of heads after the first, before the remaining pairs are compared
 
 
@@ -33,24 +37,60 @@ def _ceil_div(a, b):
     return -(-a // b)
 
 
+def _least_shared(n):
+    """Tokens that prefixes are long enough to share."""
+    return n // 32 + 1
+
+
 def _prefix(n: int, percent: int) -> int:
-    """Tokens of a set that must hold one shared with any set similar to it."""
-    return n - _ceil_div(n * percent, 100) + 1
+    """Length of a prefix in which a set shares its ``_least_shared`` tokens with any set similar to it.
+
+    If the common tokens are z1, z2, ... by the order, at most ``n - ceil(n * percent / 100) + k`` tokens of
+    either set come before or at zk. So two prefixes share at least the smaller ``_least_shared``.
+    """
+    return n - _ceil_div(n * percent, 100) + _least_shared(n)
+
+
+def _token_cells(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64(TOKEN_CELLS - 1)).astype(np.int64)
+
+
+def _word_cells(words: np.ndarray) -> np.ndarray:
+    return (words & np.uint64(WORD_CELLS - 1)).astype(np.int64)
 
 
-def _index_prefix(n: int, percent: int) -> int:
-    """The same for partners that are no smaller."""
-    return n - _ceil_div(2 * percent * n, 100 + percent) + 1
+class TokenOrder:
+    """How late a token comes: by its own count, or by what its words' counts let expect."""
 
+    def __init__(self, counts: np.ndarray):
+        tokens, words = counts[:TOKEN_CELLS], np.maximum(counts[TOKEN_CELLS:], 1.0)
+        usual = max(1.0, float(np.median(tokens)))
+        hot = np.floor(4 * np.log2(np.maximum(tokens / usual, 1.0)) + 0.25)
+        self.hot = hot.clip(0, 127).astype(np.int64)
+        # Whole numbers, whose sums do not depend on where in a text a shingle stands.
+        self.word = np.round(16 * np.log2(words / words.sum())).astype(np.int64)
+        self.base = int(16 * np.log2(max(2.0, tokens.sum()) / CHANCE))
 
-def _cell(tokens: np.ndarray, order: int) -> np.ndarray:
-    return ((tokens >> np.uint64(16 * order)) & np.uint64(CELLS - 1)).astype(np.int64)
+    def levels(self, hashes: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        own = np.concatenate([[0], np.cumsum(self.word[_word_cells(hashes)])])
+        width = len(hashes) - len(windows) + 1
+        chance = (own[width:] - own[:-width] + self.base) // 16
+        return np.maximum(self.hot[_token_cells(windows)], chance.clip(0, 127))
 
+    def token_set(self, text: str | None, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct shingles of a text and their levels."""
+        hashes = W.word_hashes(W.words(text, lower=True))
+        windows = W.shingle_windows(hashes, width)
+        if not len(windows):
+            return windows, np.empty(0, np.int64)
+        tokens, first = np.unique(windows, return_index=True)
+        return tokens, self.levels(hashes, windows)[first]
 
-def _ordered(tokens: np.ndarray, heat: np.ndarray, order: int) -> np.ndarray:
-    """The tokens by rising heat, then by a hash of their own in each order."""
+
+def _ordered(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
+    """The tokens by rising level, then by a hash of their own in each order."""
     rank = W.mix(tokens ^ W.mix(np.array([order + 1], np.uint64)))
-    return tokens[np.argsort((heat[order][_cell(tokens, order)] << np.uint64(56)) | (rank >> np.uint64(8)))]
+    return tokens[np.argsort((levels.astype(np.uint64) << np.uint64(56)) | (rank >> np.uint64(8)))]
 
 
 def _set_id(tokens: np.ndarray) -> tuple[int, int]:
@@ -58,47 +98,60 @@ def _set_id(tokens: np.ndarray) -> tuple[int, int]:
     return int(W.mix(tokens).sum().view(np.int64)), int(W.mix(tokens ^ W._MUL2).sum().view(np.int64))
 
 
+_INTS = pa.list_(pa.int64())
+_SUMMARY = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_shingles", "set_id", "check", "block")] + [("counts", _INTS)])
+_SUMMARY_SQL = "doc_id long, n_shingles long, set_id long, check long, block long, counts array<long>"
+
+
+def _summary(*columns) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _SUMMARY, strict=True)], schema=_SUMMARY)
+
+
+def _blocks(counts: np.ndarray) -> pa.RecordBatch:
+    rows = list(counts.reshape(-1, BLOCK))
+    none = [None] * len(rows)
+    return _summary(none, none, none, none, range(len(rows)), rows)
+
+
 def _summaries(width: int) -> Callable:
-    """Per document its size and set id; per task the counts of the sketch."""
+    """Per document its size and set id; per task the counts of the sketch, in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((ORDERS, CELLS), np.int64)
+        counts = np.zeros(CELLS, np.int64)
         for ids, texts in W.rows_of(batches):
-            sets = [W.shingles(t, width) for t in texts]
-            every = np.concatenate(sets)
-            for k in range(ORDERS):
-                counts[k] += np.bincount(_cell(every, k), minlength=CELLS)
+            hashes = [W.word_hashes(W.words(t, lower=True)) for t in texts]
+            sets = [np.unique(W.shingle_windows(h, width)) for h in hashes]
+            counts[:TOKEN_CELLS] += np.bincount(_token_cells(np.concatenate(sets)), minlength=TOKEN_CELLS)
+            counts[TOKEN_CELLS:] += np.bincount(_word_cells(np.concatenate(hashes)), minlength=WORD_CELLS)
             keys = [_set_id(s) if len(s) else (None, None) for s in sets]
             none = [None] * len(ids)
             yield _summary(ids, [len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys], none, none)
-        at = np.flatnonzero(counts)
-        none = [None] * len(at)
-        yield _summary(none, none, none, none, at, counts.ravel()[at])
+        if counts.any():
+            yield _blocks(counts)
 
     return run
 
 
-_SUMMARY = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_shingles", "set_id", "check", "cell", "count")])
-_SUMMARY_SQL = "doc_id long, n_shingles long, set_id long, check long, cell long, count long"
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of a partition as one sketch, a row for each counter."""
+    counts = np.zeros((CELLS // BLOCK, BLOCK), np.int64)
+    for batch in batches:
+        blocks, lists = batch.columns
+        values = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, BLOCK)
+        np.add.at(counts, blocks.to_numpy(zero_copy_only=False), values)
+    at = np.flatnonzero(counts)
+    yield pa.record_batch([pa.array(at), pa.array(counts.ravel()[at])], names=["cell", "n"])
 
 
-def _summary(*columns) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, pa.int64()) for c in columns], schema=_SUMMARY)
-
-
-def _heat(cells: DataFrame) -> np.ndarray:
-    """Half octaves above the usual count, for each of a fixed number of cells."""
-    rows = np.array(
-        cells.groupBy("cell").agg(F.sum("count").alias("n")).toPandas()[["cell", "n"]].to_numpy(np.int64).reshape(-1, 2)
-    )
-    counts = np.zeros(ORDERS * CELLS)
-    counts[rows[:, 0]] = rows[:, 1]
-    usual = max(1.0, float(np.median(counts)))
-    level = np.floor(2 * np.log2(np.maximum(counts / usual, 1.0)) + 0.25)
-    return level.clip(0, 127).astype(np.uint64).reshape(ORDERS, CELLS)
+def _token_order(sketches: DataFrame, tasks: int) -> TokenOrder:
+    added = sketches.repartition(max(1, round(tasks**0.5))).mapInArrow(_added, "cell long, n long")
+    rows = added.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows at most
+    counts = np.zeros(CELLS)
+    counts[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+    return TokenOrder(counts)
 
 
-def _prefix_rows(width: int, percent: int, heat: np.ndarray) -> Callable:
+def _prefix_rows(width: int, percent: int, order: TokenOrder) -> Callable:
     """One row for each token in the first order's prefix, once for each set of a task."""
     fields = [("token", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())]
 
@@ -107,11 +160,11 @@ def _prefix_rows(width: int, percent: int, heat: np.ndarray) -> Callable:
         for (texts,) in W.rows_of(batches):
             out: list[tuple[np.ndarray, int, int]] = []
             for text in texts:
-                tokens = W.shingles(text, width)
+                tokens, levels = order.token_set(text, width)
                 if not len(tokens) or (key := _set_id(tokens)[0]) in seen:
                     continue
                 seen.add(key)
-                out.append((_ordered(tokens, heat, 0)[: _prefix(len(tokens), percent)], key, len(tokens)))
+                out.append((_ordered(tokens, levels, 0)[: _prefix(len(tokens), percent)], key, len(tokens)))
             if out:
                 lengths = [len(t) for t, _, _ in out]
                 yield pa.record_batch(
@@ -127,7 +180,7 @@ def _prefix_rows(width: int, percent: int, heat: np.ndarray) -> Callable:
     return run
 
 
-def _whole_sets(width: int, percent: int, heat: np.ndarray) -> Callable:
+def _whole_sets(width: int, percent: int, order: TokenOrder) -> Callable:
     """The sets in the second order, cut behind the prefix."""
     longs = pa.list_(pa.int64())
     schema = pa.schema([("set_id", pa.int64()), ("n", pa.int64()), ("lead", longs), ("rest", longs)])
@@ -136,9 +189,9 @@ def _whole_sets(width: int, percent: int, heat: np.ndarray) -> Callable:
         for texts, wanted in W.rows_of(batches, 64):
             keys, sizes, leads, rests = [], [], [], []
             for text, want in zip(texts, wanted, strict=True):
-                tokens = W.shingles(text, width)
+                tokens, levels = order.token_set(text, width)
                 if len(tokens) and _set_id(tokens)[0] == want:
-                    cut, tokens = _prefix(len(tokens), percent), W.signed(_ordered(tokens, heat, 1))
+                    cut, tokens = _prefix(len(tokens), percent), W.signed(_ordered(tokens, levels, 1))
                     keys.append(want)
                     sizes.append(len(tokens))
                     leads.append(tokens[:cut])
@@ -161,12 +214,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> Da
         pairs.join(side("a", "n"), "a")
         .join(side("b", "n"), "b")
         .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        .select("a", "b")
     )
     close = kept(
         sized.join(side("a", "lead"), "a")
         .join(side("b", "lead"), "b")
-        .where(F.arrays_overlap("lead_a", "lead_b"))
+        .where(F.size(F.array_intersect("lead_a", "lead_b")) >= _shared_by(F.col("n_a"), F.col("n_b")))
         .select("a", "b"),
         f"{label}-candidates",
     )
@@ -181,6 +233,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> Da
     )
 
 
+def _shared_by(n: Column, m: Column) -> Column:
+    """Tokens that the prefixes of similar sets of these sizes share at least."""
+    return F.floor(F.least(n, m) / 32) + 1
+
+
+def _in_shared_buckets(rows: DataFrame) -> DataFrame:
+    """The rows of tokens that several sets hold, with the smallest and the largest of them."""
+    shared = rows.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low != high")
+    return rows.join(shared, "token")
+
+
 def _ends(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -230,17 +293,20 @@ def _remaining_pairs(rows: DataFrame, percent: int) -> DataFrame:
     minor = rows.where("part != main").select(
         "token", *(F.col(c).alias(f"{c}_x") for c in ("set_id", "part", "n", "pos"))
     )
-    index = lambda n: n - F.ceil(n * (2 * percent) / (100 + percent)) + 2  # noqa: E731  one more, for rounding
     n_x, n_y, pos_x, pos_y = F.col("n_x"), F.col("n"), F.col("pos_x"), F.col("pos")
+    # The smaller set's tokens stand further ahead, as its partner is no smaller; one more, for rounding.
+    ahead = lambda n: n - F.ceil(n * (2 * percent) / (100 + percent)) + F.floor(n / 32) + 2
     possible = F.least(n_x - pos_x, n_y - pos_y) + F.least(pos_x, pos_y)
     return (
         minor.join(rows, "token")
         .where("part != part_x AND (part_x < part OR part = main)")
         .where(F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent)
-        .where(F.when(n_x <= n_y, pos_x < index(n_x)).otherwise(pos_y < index(n_y)))
+        .where(F.when(n_x <= n_y, pos_x < ahead(n_x)).otherwise(pos_y < ahead(n_y)))
         .where(possible * (100 + percent) >= (n_x + n_y) * percent)
-        .select(*_ends("set_id_x", "set_id"))
-        .distinct()
+        .groupBy(*_ends("set_id_x", "set_id"))
+        .agg(F.count("*").alias("shared"), F.min(_shared_by(n_x, n_y)).alias("least"))
+        .where("shared >= least")
+        .select("a", "b")
     )
 
 
@@ -258,8 +324,9 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     summary = kept(docs.mapInArrow(_summaries(width), _SUMMARY_SQL), "summaries")
-    heat = _heat(summary.where("cell IS NOT NULL").select("cell", "count"))
-    members = summary.where("cell IS NULL").select("doc_id", "n_shingles", "set_id", "check")
+    sketches = summary.where("block IS NOT NULL").select("block", "counts")
+    order = _token_order(sketches, sketches.where("block = 0").count())
+    members = summary.where("block IS NULL").select("doc_id", "n_shingles", "set_id", "check")
     classes = kept(
         members.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("set_id")
@@ -272,20 +339,19 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rows = kept(
         docs.where("doc_id IS NOT NULL")
         .select("text")
-        .mapInArrow(_prefix_rows(width, percent, heat), "token long, set_id long, n int, pos int"),
+        .mapInArrow(_prefix_rows(width, percent, order), "token long, set_id long, n int, pos int"),
         "prefixes",
     )
-    shared = rows.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low != high")
-    rows = kept(
-        rows.join(shared, "token").distinct(),
-        "buckets",
-    )
+    rows = kept(_in_shared_buckets(rows.distinct()).drop("low", "high"), "buckets")
+    fewest = F.floor(F.max("n") * percent / 100 / 32 - 1e-9) + 1  # of any partner
+    enough = rows.groupBy("set_id").agg(F.count("*").alias("shared"), fewest.alias("fewest")).where("shared >= fewest")
+    rows = kept(_in_shared_buckets(rows.join(enough.select("set_id"), "set_id")), "filtered")
     wanted = rows.select("set_id").distinct().join(classes, "set_id").select("set_id", F.col("first_id").alias("doc_id"))
     sets = kept(
         docs.join(wanted, "doc_id")
         .select("text", "set_id")
         .mapInArrow(
-            _whole_sets(width, percent, heat), "set_id long, n long, lead array<long>, rest array<long>"
+            _whole_sets(width, percent, order), "set_id long, n long, lead array<long>, rest array<long>"
         ),
         "sets",
     )

@@ -51,17 +51,11 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Distinct hashes of the ``width``-word shingles, rising.
-
-    A text with fewer words has its whole sequence as the one shingle; without words it has none.
-    """
-    hashes = word_hashes(words(text, lower=True))
-    if not len(hashes):
-        return hashes
-    if len(hashes) < width:
+def shingle_windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the shingles of a text by position; a shorter text is one shingle."""
+    if 0 < len(hashes) < width:
         return mix(window_hashes(hashes, len(hashes)) + np.uint64(len(hashes)))
-    return np.unique(window_hashes(hashes, width))
+    return window_hashes(hashes, width)
 
 
 def repeated_windows(hashes: np.ndarray, width: int) -> np.ndarray:
