@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.llm import decontaminate, language_id, mixing, ngram_join, pii
+from parcelwise.llm import decontaminate, language_id, mixing, ngram_join, pii, quality_qda, quality_trees, toxicity
 from parcelwise.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,21 @@ def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, folder, "documents"), width=4, percent=85)
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return quality_trees.judge(docs, quality_trees.train(docs, read(spark, folder, "labels")))
+
+
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return quality_qda.classify(docs, quality_qda.train(docs, read(spark, folder, "labels")))
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, read(spark, folder, "labels")))
+
+
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(read(spark, folder, "documents"))
 
@@ -50,7 +65,10 @@ def queries() -> dict[str, Query]:
         "pages_language_id": pages_language_id,
         "op2_decontamination": op2_decontamination,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_pii": op7_pii,
+        "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
     }
 
