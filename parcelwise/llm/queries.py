@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.llm import decontaminate, language_id, mixing, ngram_join, pii, quality_qda, quality_trees, toxicity
+from parcelwise.llm import decontaminate, language_id, mixing, ngram_join, pii, quality_qda, quality_trees, suffix_dedup, tool_calls, toxicity
 from parcelwise.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op3_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    chats = tool_calls.as_tool_chat(read(spark, folder, "conversations"))
+    return tool_calls.formatted(chats, tool_calls.SEARCH)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, folder, "documents"), width=4, percent=85)
 
@@ -39,6 +44,10 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_qda.classify(docs, quality_qda.train(docs, read(spark, folder, "labels")))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.passage_report(read(spark, folder, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     return toxicity.classify(docs, toxicity.train(docs, read(spark, folder, "labels")))
@@ -64,10 +73,12 @@ def queries() -> dict[str, Query]:
         "op1_language_id": op1_language_id,
         "pages_language_id": pages_language_id,
         "op2_decontamination": op2_decontamination,
+        "op3_chat_formatting": op3_chat_formatting,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_quality_rules": op5_quality_rules,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_pii": op7_pii,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
     }
