@@ -25,7 +25,7 @@ from parcelwise.llm import words as W
 from parcelwise.llm.graph import components
 from parcelwise.llm.tables import kept
 
-TOKEN_CELLS = 1 << 18  # counters of shingles
+TOKEN_CELLS = 1 << 21  # counters of shingles: 2 MB for each task; a hundredth of the corpus' words is a good size
 WORD_CELLS = 1 << 16  # counters of words, behind them
 CELLS = TOKEN_CELLS + WORD_CELLS
 BLOCK = 1 << 12  # counters in a row of the sketch
@@ -66,7 +66,7 @@ class TokenOrder:
         tokens, words = counts[:TOKEN_CELLS], np.maximum(counts[TOKEN_CELLS:], 1.0)
         usual = max(1.0, float(np.median(tokens)))
         hot = np.floor(4 * np.log2(np.maximum(tokens / usual, 1.0)) + 0.25)
-        self.hot = hot.clip(0, 127).astype(np.int64)
+        self.hot = hot.clip(0, 127).astype(np.uint8)
         # Whole numbers, whose sums do not depend on where in a text a shingle stands.
         self.word = np.round(16 * np.log2(words / words.sum())).astype(np.int64)
         self.base = int(16 * np.log2(max(2.0, tokens.sum()) / CHANCE))
@@ -98,9 +98,9 @@ def _set_id(tokens: np.ndarray) -> tuple[int, int]:
     return int(W.mix(tokens).sum().view(np.int64)), int(W.mix(tokens ^ W._MUL2).sum().view(np.int64))
 
 
-_INTS = pa.list_(pa.int64())
+_INTS = pa.list_(pa.int32())
 _SUMMARY = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_shingles", "set_id", "check", "block")] + [("counts", _INTS)])
-_SUMMARY_SQL = "doc_id long, n_shingles long, set_id long, check long, block long, counts array<long>"
+_SUMMARY_SQL = "doc_id long, n_shingles long, set_id long, check long, block long, counts array<int>"
 
 
 def _summary(*columns) -> pa.RecordBatch:
@@ -108,7 +108,7 @@ def _summary(*columns) -> pa.RecordBatch:
 
 
 def _blocks(counts: np.ndarray) -> pa.RecordBatch:
-    rows = list(counts.reshape(-1, BLOCK))
+    rows = list(counts.astype(np.int32).reshape(-1, BLOCK))
     none = [None] * len(rows)
     return _summary(none, none, none, none, range(len(rows)), rows)
 
@@ -145,9 +145,9 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _token_order(sketches: DataFrame, tasks: int) -> TokenOrder:
     added = sketches.repartition(max(1, round(tasks**0.5))).mapInArrow(_added, "cell long, n long")
-    rows = added.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows at most
+    rows = added.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
     counts = np.zeros(CELLS)
-    counts[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+    counts[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return TokenOrder(counts)
 
 
@@ -265,20 +265,19 @@ def _open_pairs(rows: DataFrame) -> tuple[int, int]:
     return int(total[0] or 0), int(total[1] or 0)
 
 
+def _closest_heads(rows: DataFrame) -> DataFrame:
+    """For each set, the one of its buckets' heads (``head``) that it shares most tokens with."""
+    counted = rows.where("set_id != head").groupBy("set_id", "head").agg(F.count("*").alias("shared"))
+    best = counted.groupBy("set_id").agg(F.max(F.struct("shared", "head")).alias("best"))
+    return best.select(*_ends("set_id", F.col("best.head"))).distinct()
+
+
 def _head_pairs(rows: DataFrame, seed: int) -> DataFrame:
-    """Every row with a seeded head of its bucket, unless they are of one component."""
+    """Sets with a seeded head of another component."""
     heads = rows.groupBy("token").agg(F.min(F.col("set_id").bitwiseXOR(F.lit(seed))).alias("head"))
     heads = heads.withColumn("head", F.col("head").bitwiseXOR(F.lit(seed)))
     parts = rows.select(F.col("set_id").alias("head"), F.col("part").alias("head_part")).distinct()
-    return (
-        rows.join(heads, "token")
-        .select("set_id", "part", "head")
-        .distinct()
-        .join(parts, "head")
-        .where("part != head_part")
-        .select(*_ends("set_id", "head"))
-        .distinct()
-    )
+    return _closest_heads(rows.join(heads, "token").join(parts, "head").where("part != head_part"))
 
 
 def _remaining_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -358,12 +357,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     if members.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").limit(1).count():
         sets = sets.dropDuplicates(["set_id"])  # repeated rows give their set more than once
 
-    pairs = (
-        rows.select("set_id", F.explode(F.array("low", "high")).alias("head"))
-        .where("set_id != head")
-        .select(*_ends("set_id", "head"))
-        .distinct()
-    )
+    pairs = _closest_heads(rows.select("set_id", F.explode(F.array("low", "high")).alias("head")))
     links = _verified(pairs, sets, percent, "links")
     labels = components(links)
     buckets = rows.select("token", "set_id", "n", "pos")
