@@ -25,7 +25,7 @@ from parcelwise.llm import words as W
 from parcelwise.llm.graph import components
 from parcelwise.llm.tables import kept
 
-TOKEN_CELLS = 1 << 21  # counters of shingles: 2 MB for each task; a hundredth of the corpus' words is a good size
+TOKEN_CELLS = 1 << 19  # counters of shingles: half a MB for each task; a hundredth of the corpus' words is a good size
 WORD_CELLS = 1 << 16  # counters of words, behind them
 CELLS = TOKEN_CELLS + WORD_CELLS
 BLOCK = 1 << 12  # counters in a row of the sketch
