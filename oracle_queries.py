@@ -495,15 +495,17 @@ FROM category_orders"""),
 
 def oracle_sql() -> dict[str, str]:
     scans = {f"scan_{name}": _scan(name) for name in TABLE_SPECS}
-    ingested = {f"ingest_{name}": _scan(name) for name in ("orders", "order_items", "order_reviews")}
+    ingested = {f"ingest_{name}": _scan(name) for name in TABLE_SPECS}
     views = _views()
     return {
         **scans,
         **ingested,
+        "ingest_refused_keeps_sellers": _scan("sellers"),
         "ingest_row_counts": _counts("row_count"),
         **_parts(),
         **views,
         "publish_order_metrics": views["view_order_metrics"],
+        "publish_given_order_metrics": f"SELECT * FROM ({views['view_order_metrics']}) WHERE delivery_status = 'Late'",
         "publish_category_performance": views["view_category_performance"],
         "sql_named_order_metrics": _by_status(
             f"count(*) AS order_count, {_TOTAL} AS total_order_value, {_NEG} AS negative_reviews"

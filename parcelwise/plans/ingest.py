@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
 
 from parcelwise.plans.quality import require_constraints
 from parcelwise.sources.csv_files import read_csv_tables
-from parcelwise.sources.tables import Tables, load_tables, write_tables
+from parcelwise.sources.schema import TABLE_SPECS
+from parcelwise.sources.tables import Tables, load_tables, remove_folder, replace_folders, write_tables
 
 
 def ingest(
@@ -23,9 +25,17 @@ def ingest(
     Malformed input stops the load. ``strict`` also raises when a loaded table breaks a
     declared key, NOT NULL, length or score rule; the views rely on those keys. Without it
     the same violations can be read with ``quality.constraint_violations``.
+
+    The new tables are written and checked beside the old ones, which stay readable until
+    the load is accepted and are then replaced by moving folders. A refused load changes nothing.
     """
-    write_tables(read_csv_tables(spark, raw_dir, paths), out_dir)
-    tables = load_tables(spark, out_dir)
-    if strict:
-        require_constraints(tables)
-    return tables
+    staged = f"{out_dir.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    try:
+        write_tables(read_csv_tables(spark, raw_dir, paths), staged)
+        if strict:
+            require_constraints(load_tables(spark, staged))
+    except Exception:
+        remove_folder(spark, staged)
+        raise
+    replace_folders(spark, staged, out_dir, TABLE_SPECS)
+    return load_tables(spark, out_dir)

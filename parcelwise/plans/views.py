@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from parcelwise.plans import rollups
 from parcelwise.plans.order_metrics import order_metrics
 from parcelwise.sources.scratch import store
-from parcelwise.sources.tables import Tables, publish, register
+from parcelwise.sources.tables import Tables, publish, register, remove_folder, replace_folders
 
 # Names under which SQL and dashboards read the views.
 VIEW_NAMES = {
@@ -78,12 +79,24 @@ class Views:
     def publish(self, folder: str) -> Views:
         """Writes the views as Parquet for any reader, and returns them as read from there.
 
-        The fact is computed once and the rollups are built from what was written.
+        Views that were given or computed before are written as they are. Of the others, the fact is computed
+        once and the rollups are built from what was written. All are written beside the folder first and moved
+        there together, so views read from the same folder can be published into it.
         """
         spark = self.tables.orders.sparkSession
-        written: dict[str, DataFrame] = {}
-        for attribute, name in VIEW_NAMES.items():
-            df = getattr(Views(self.tables, written), attribute)
-            publish({name: df}, folder)
-            written[attribute] = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-        return Views(self.tables, written)
+        staged = f"{folder.rstrip('/')}.staged-{uuid.uuid4().hex}"
+        views, schemas = dict(self._frames), {}
+        try:
+            for attribute, name in VIEW_NAMES.items():
+                df = getattr(Views(self.tables, views), attribute)
+                publish({name: df}, staged)
+                schemas[attribute] = df.schema
+                views[attribute] = spark.read.schema(df.schema).parquet(f"{staged}/{name}")
+        except Exception:
+            remove_folder(spark, staged)
+            raise
+        replace_folders(spark, staged, folder, VIEW_NAMES.values())
+        return Views(
+            self.tables,
+            {a: spark.read.schema(schemas[a]).parquet(f"{folder}/{name}") for a, name in VIEW_NAMES.items()},
+        )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +53,49 @@ def write_tables(tables: Tables, folder: str) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def _path(spark: SparkSession, folder: str):
+    """A folder and the file system it is on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path, files = _path(spark, folder)
+    files.delete(path, True)
+
+
+def replace_folders(spark: SparkSession, source: str, target: str, names: Iterable[str]) -> None:
+    """Moves the named folders of ``source`` to ``target``, in place of those there.
+
+    An old folder is moved aside first and removed at the end; if a move fails, those already made are undone.
+    """
+    path = lambda folder, name: _path(spark, f"{folder.rstrip('/')}/{name}")[0]
+    base, files = _path(spark, target)
+    files.mkdirs(base)
+    moved: list[tuple] = []
+
+    def move(a, b) -> None:
+        if not files.rename(a, b):
+            raise OSError(f"cannot move {a} to {b}")
+        moved.append((a, b))
+
+    aside = f"{source.rstrip('/')}-old"
+    files.mkdirs(_path(spark, aside)[0])
+    try:
+        for name in names:
+            if files.exists(path(target, name)):
+                move(path(target, name), path(aside, name))
+            move(path(source, name), path(target, name))
+    except Exception:
+        for a, b in reversed(moved):
+            files.rename(b, a)
+        raise
+    remove_folder(spark, aside)
+    remove_folder(spark, source)
+    for name in names:
+        spark.catalog.refreshByPath(f"{target.rstrip('/')}/{name}")
+
+
 def save_tables(tables: Tables, database: str) -> Tables:
     """Replaces the tables in a catalog database and returns them as read from it."""
     spark = tables.orders.sparkSession

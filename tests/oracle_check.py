@@ -62,12 +62,12 @@ def main(folder: str, wanted: list[str]) -> int:
     queries, sql = entry.queries(), entry.oracle_sql()
     failed = 0
     print("without SQL:", sorted(set(queries) - set(sql)), "without query:", sorted(set(sql) - set(queries)))
-    for name in wanted or queries:
+    for name in wanted or sorted(sql):
         start = time.time()
         difference = compare(queries[name](spark, folder), con, sql[name])
         failed += difference is not None
         print(f"{name:40s} {time.time() - start:6.2f}s {difference or 'ok'}", flush=True)
-    print(f"{failed} of {len(wanted or queries)} differ")
+    print(f"{failed} of {len(wanted or sql)} differ")
     return failed
 
 

@@ -138,6 +138,21 @@ def test_strict_load_refuses_broken_rules(spark, tmp_path):
     assert loaded.sellers.count() == 2
 
 
+def test_refused_loads_keep_the_old_tables(spark, tmp_path):
+    for name in ("raw", "bad", "twice"):
+        (tmp_path / name).mkdir()
+    out = str(tmp_path / "out")
+    ingest(spark, raw(tmp_path / "raw", sellers=["s1,1,a,SP"], orders=["o1,c1,created,,,,,"]), out)
+    with pytest.raises(ValueError, match="sellers"):
+        ingest(spark, raw(tmp_path / "twice", sellers=["s2,1,a,SP", "s2,1,a,SP"]), out)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        ingest(spark, raw(tmp_path / "bad", sellers=["s3,1"], orders=["o2,c1,created,,,,,"]), out)
+    loaded = load_tables(spark, out)
+    assert [r.seller_id for r in loaded.sellers.collect()] == ["s1"]
+    assert [r.order_id for r in loaded.orders.collect()] == ["o1"]
+    assert [p.name for p in tmp_path.iterdir() if "staged" in p.name] == []
+
+
 def test_paths_can_be_named(spark, tmp_path):
     folder = raw(tmp_path)
     other = tmp_path / "elsewhere.csv"
@@ -215,6 +230,16 @@ def test_published_views_equal_the_lazy_ones(spark, sample, tmp_path):
         assert stored.exceptAll(df).isEmpty() and df.exceptAll(stored).isEmpty()
 
 
+def test_given_views_are_published(spark, sample, tmp_path):
+    late = Views(sample).order_metrics.where("delivery_status = 'Late'")
+    folder = str(tmp_path / "views")
+    published = Views(sample, {"order_metrics": late}).publish(folder)
+    assert published.order_metrics.count() == late.count() == 286
+    assert [r.delivery_status for r in published.reliability_summary.collect()] == ["Late"]
+    again = published.publish(folder)
+    assert again.order_metrics.count() == 286
+
+
 def test_catalog_tables(spark):
     assert save_tables(small(spark), "shop").orders.count() == 3
     saved = save_tables(small(spark), "shop")
