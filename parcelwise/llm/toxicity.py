@@ -120,8 +120,8 @@ def mine_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, float]:
 def _votes(lexicon: Lexicon) -> Callable:
     bits = {entry: 1 << k for k, entry in enumerate(lexicon)}
 
-    def of(text: str | None) -> int:
-        out = sum(bits[e] for e in _entries(text) & bits.keys())
+    def of(text: str | None, entries: set[str]) -> int:
+        out = sum(bits[e] for e in entries & bits.keys())
         return out | sum(1 << (len(bits) + k) for k, said in enumerate(_patterns(text)) if said)
 
     return of
@@ -133,7 +133,7 @@ def _vote_rows(lexicon: Lexicon) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in W.rows_of(batches):
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array([of(t) for t in texts], pa.int64())], names=["doc_id", "votes"]
+                [pa.array(ids, pa.int64()), pa.array([of(t, _entries(t)) for t in texts], pa.int64())], names=["doc_id", "votes"]
             )
 
     return run
@@ -213,9 +213,9 @@ def fit_label_model(votes: DataFrame, n: int, share: float) -> LabelModel:
     return model
 
 
-def _columns(text: str | None, votes: int, n: int) -> np.ndarray:
+def _columns(entries: set[str], votes: int, n: int) -> np.ndarray:
     """Columns of the linear classifier that a document has: its voters, then hashed words and beginnings."""
-    cells = {n + xxhash.xxh3_64_intdigest(e) % CELLS for e in _entries(text)}
+    cells = {n + xxhash.xxh3_64_intdigest(e) % CELLS for e in entries}
     return np.array([k for k in range(n) if votes >> k & 1] + sorted(cells), np.int64)
 
 
@@ -230,10 +230,11 @@ def _linear_rows(lexicon: Lexicon, model: LabelModel) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, labels in W.rows_of(batches):
-            votes = [of(t) for t in texts]
+            entries = [_entries(t) for t in texts]
+            votes = [of(t, e) for t, e in zip(texts, entries, strict=True)]
             known = np.array([np.nan if y is None else y for y in labels], float)
             target = model.posterior(_unpacked(np.array(votes, np.int64), n), known)
-            columns = [_columns(t, v, n) for t, v in zip(texts, votes, strict=True)]
+            columns = [_columns(e, v, n) for e, v in zip(entries, votes, strict=True)]
             yield pa.record_batch(
                 [pa.array(columns, pa.list_(pa.int64())), pa.array(target)], names=["columns", "target"]
             )
@@ -250,7 +251,8 @@ class Toxicity:
 
     def score(self, text: str | None, of: Callable) -> float:
         n = len(self.lexicon) + N_PATTERNS
-        columns = _columns(text, of(text), n)
+        entries = _entries(text)
+        columns = _columns(entries, of(text, entries), n)
         z = self.start + self.weights[columns] @ _values(columns, n)
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
