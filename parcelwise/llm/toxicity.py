@@ -26,6 +26,7 @@ from parcelwise.llm.tables import crc_mod, kept
 FOLDS, HELD_OUT = 4, 2
 STEMS = (4, 5)  # lengths of word beginnings, in characters
 MAX_LEXICON = 56  # lexicon voters; with the patterns they fit the bits of a long
+MAX_LEXICON_ROWS = 200_000  # labelled rows the lexicon is mined from, by hash of the id; 3 MB of ids and labels
 MIN_SUPPORT, MIN_SUPPORT_SHARE = 5, 0.02  # toxic documents that hold a lexicon entry, at least
 MIN_LOG_ODDS = 2.0
 EM_ROUNDS = 1
@@ -88,13 +89,24 @@ def training_labels(labels: DataFrame) -> DataFrame:
     )
 
 
+def _lexicon_rows(labels: DataFrame) -> DataFrame:
+    """All labels if there are no more than ``MAX_LEXICON_ROWS``, else about so many, chosen by a hash of the id."""
+    n = labels.count()
+    if n <= MAX_LEXICON_ROWS:
+        return labels
+    cells = 1 << 32
+    return labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(cells)) < cells * MAX_LEXICON_ROWS // n)
+
+
 def mine_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, float]:
     """The entries that speak most for label 1, and the share of label 1.
 
     Entries are ranked by support times log odds; of entries that begin alike the first one stays. What reaches the
-    driver are the best ``20 * MAX_LEXICON`` entries of counts over all labelled documents.
+    driver are the best ``20 * MAX_LEXICON`` entries of counts over ``MAX_LEXICON_ROWS`` labelled documents. Their
+    labels go to the texts, so no text is shuffled.
     """
-    rows = docs.select("doc_id", "text").join(labels, "doc_id").select("text", "label")
+    few = F.broadcast(_lexicon_rows(labels))  # about MAX_LEXICON_ROWS rows at most
+    rows = docs.select("doc_id", "text").join(few, "doc_id").select("text", "label")
     sizes = rows.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     toxic, clean = int(sizes["toxic"] or 0), int(sizes["n"] - (sizes["toxic"] or 0))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
@@ -281,10 +293,10 @@ def _fit_linear(columns: list[np.ndarray], target: np.ndarray, n: int) -> tuple[
 def train(docs: DataFrame, labels: DataFrame) -> Toxicity:
     """The lexicon, the label model and the linear classifier, from rows outside the held-out fold.
 
-    The linear classifier is fitted to at most ``MAX_TRAINING_ROWS`` documents, labelled or not, with posterior
-    labels; everything else counts all documents.
+    The lexicon is mined from about ``MAX_LEXICON_ROWS`` labelled documents at most, and the linear classifier fitted to
+    at most ``MAX_TRAINING_ROWS`` documents, labelled or not, with posterior labels; the label model counts all documents.
     """
-    learnt = training_labels(labels)
+    learnt = kept(training_labels(labels), "labels")
     lexicon, share = mine_lexicon(docs, learnt)
     n = len(lexicon) + N_PATTERNS
     ours = docs.select("doc_id", "text").where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
