@@ -34,12 +34,19 @@ def _transformed(rows: list[list[float]]) -> np.ndarray:
     return x
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document its id and transformed statistics."""
+    for ids, texts in W.rows_of(batches):
+        x = _transformed([stats.document(t)[1] for t in texts])
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task and class the count, the sums and the sums of products."""
     sums = np.zeros((2, _N_SUMS))
-    for texts, labels in W.rows_of(batches):
-        x = _transformed([stats.document(t)[1] for t in texts])
-        y = np.array(labels)
+    for batch in batches:
+        rows, labels = batch.columns
+        x, y = rows.flatten().to_numpy().reshape(-1, _D), labels.to_numpy(zero_copy_only=False)
         for k in (0, 1):
             mine = x[y == k]
             sums[k] += np.concatenate([[len(mine)], mine.sum(axis=0), (mine.T @ mine).ravel()])
@@ -86,7 +93,8 @@ def fit(count: np.ndarray, total: np.ndarray, product: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model for ``quality`` from all labelled documents outside the held-out fold.
 
-    Only sums of a fixed number reach the driver, whatever the number of rows. Labels other than 0 and 1 are ignored.
+    Statistics are taken before the join, so that they and not the texts are shuffled. Only sums of a fixed number
+    reach the driver, whatever the number of rows. Labels other than 0 and 1 are ignored.
     """
     labels = (
         labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
@@ -95,9 +103,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         .agg(F.min("quality").cast("long").alias("label"))
     )
     sums = (
-        docs.select("doc_id", "text")
+        docs.select(F.col("doc_id").cast("long"), "text")
+        .where(F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT))
+        .mapInArrow(_features, "doc_id long, x array<double>")
         .join(labels, "doc_id")
-        .select("text", "label")
+        .select("x", "label")
         .mapInArrow(_moments, "at long, value double")
         .groupBy("at")
         .agg(F.sum("value").alias("value"))
