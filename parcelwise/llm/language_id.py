@@ -233,8 +233,12 @@ def page_languages(pages: DataFrame) -> DataFrame:
 
 
 def with_known_language(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language is not accepted; all columns stay."""
-    out = document_languages(docs).where(~F.col("accepted")).select(
+    """``docs`` without the rows whose language is not accepted; all columns stay.
+
+    The decisions are written before they are filtered: pushed below them, the filter would repeat the formula of
+    each probability within the next one and fill the driver's memory with the plan.
+    """
+    out = kept(document_languages(docs), "languages").where(~F.col("accepted")).select(
         F.col("doc_id").alias("out_id"), F.col("text_key").alias("out_key")
     )
     same = docs["doc_id"].eqNullSafe(out["out_id"]) & F.xxhash64(docs["text"]).eqNullSafe(out["out_key"])
