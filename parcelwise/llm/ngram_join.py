@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.llm import words as W
@@ -30,6 +30,8 @@ WORD_CELLS = 1 << 16  # counters of words, behind them
 CELLS = TOKEN_CELLS + WORD_CELLS
 BLOCK = 1 << 12  # counters in a row of the sketch
 CHANCE = 0.01  # expected occurrences of a shingle by the frequency of its words, above which it moves back
+CROWDED = 1 / 256  # of the tasks' sets at a counter, above which the rows of its tokens are dealt over DEALS tasks
+DEALS = 32
 MORE_ROUNDS = 6  # rounds of heads after the first, before the remaining pairs are compared
 
 
@@ -70,6 +72,7 @@ class TokenOrder:
         # Whole numbers, whose sums do not depend on where in a text a shingle stands.
         self.word = np.round(16 * np.log2(words / words.sum())).astype(np.int64)
         self.base = int(16 * np.log2(max(2.0, tokens.sum()) / CHANCE))
+        self.crowded = tokens > max(16 * usual, CROWDED * tokens.max())
 
     def levels(self, hashes: np.ndarray, windows: np.ndarray) -> np.ndarray:
         own = np.concatenate([[0], np.cumsum(self.word[_word_cells(hashes)])])
@@ -152,8 +155,12 @@ def _token_order(sketches: DataFrame, tasks: int) -> TokenOrder:
 
 
 def _prefix_rows(width: int, percent: int, order: TokenOrder) -> Callable:
-    """One row for each token in the first order's prefix, once for each set of a task."""
-    fields = [("token", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())]
+    """One row for each token in the first order's prefix, once for each set of a task.
+
+    ``deal`` is 0, or for a token at a crowded counter one of 1 to ``DEALS``, by the set.
+    """
+    fields = [("token", pa.int64()), ("deal", pa.int32())]
+    fields += [("set_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -167,10 +174,13 @@ def _prefix_rows(width: int, percent: int, order: TokenOrder) -> Callable:
                 out.append((_ordered(tokens, levels, 0)[: _prefix(len(tokens), percent)], key, len(tokens)))
             if out:
                 lengths = [len(t) for t, _, _ in out]
+                tokens, keys = np.concatenate([t for t, _, _ in out]), np.array([k for _, k, _ in out], np.int64)
+                deals = np.repeat((keys % DEALS + 1).astype(np.int32), lengths)
                 yield pa.record_batch(
                     [
-                        pa.array(W.signed(np.concatenate([t for t, _, _ in out]))),
-                        pa.array(np.repeat(np.array([k for _, k, _ in out], np.int64), lengths)),
+                        pa.array(W.signed(tokens)),
+                        pa.array(np.where(order.crowded[_token_cells(tokens)], deals, np.int32(0))),
+                        pa.array(np.repeat(keys, lengths)),
                         pa.array(np.repeat(np.array([n for _, _, n in out], np.int32), lengths)),
                         pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])),
                     ],
@@ -238,6 +248,16 @@ def _shared_by(n: Column, m: Column) -> Column:
     return F.floor(F.least(n, m) / 32) + 1
 
 
+def _maybe_shared(rows: DataFrame) -> DataFrame:
+    """The rows of tokens that several sets hold or that were dealt out, in one shuffle of all rows.
+
+    Dealt tokens are spread, so none fills a task; they are looked at again, like all others, when few rows are left.
+    """
+    bucket = Window.partitionBy("token", "deal")
+    ends = rows.withColumn("low", F.min("set_id").over(bucket)).withColumn("high", F.max("set_id").over(bucket))
+    return ends.where("low != high OR deal > 0").drop("deal", "low", "high")
+
+
 def _in_shared_buckets(rows: DataFrame) -> DataFrame:
     """The rows of tokens that several sets hold, with the smallest and the largest of them."""
     shared = rows.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low != high")
@@ -335,12 +355,10 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     if classes.where("x != y").count():
         raise ValueError("two different shingle sets have one 64-bit name")
 
-    rows = kept(
-        docs.where("doc_id IS NOT NULL")
-        .select("text")
-        .mapInArrow(_prefix_rows(width, percent, order), "token long, set_id long, n int, pos int"),
-        "prefixes",
+    rows = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(
+        _prefix_rows(width, percent, order), "token long, deal int, set_id long, n int, pos int"
     )
+    rows = kept(_maybe_shared(rows), "prefixes")
     rows = kept(_in_shared_buckets(rows.distinct()).drop("low", "high"), "buckets")
     fewest = F.floor(F.max("n") * percent / 100 / 32 - 1e-9) + 1  # of any partner
     enough = rows.groupBy("set_id").agg(F.count("*").alias("shared"), fewest.alias("fewest")).where("shared >= fewest")
@@ -361,11 +379,13 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     links = _verified(pairs, sets, percent, "links")
     labels = components(links)
     buckets = rows.select("token", "set_id", "n", "pos")
+    before = float("inf")
     for turn in range(MORE_ROUNDS + 1):
         buckets = kept(_labelled(buckets.select("token", "set_id", "n", "pos"), labels), "open")
         n_rows, n_pairs = _open_pairs(buckets)
-        if n_pairs <= 4 * n_rows or turn == MORE_ROUNDS:
-            break
+        if n_pairs <= 4 * n_rows or turn == MORE_ROUNDS or 2 * n_pairs > before:
+            break  # few are left, or they share tokens by chance and heads do not connect them
+        before = n_pairs
         more = _verified(_head_pairs(buckets, 0x5DEECE66D * (turn + 1)), sets, percent, "links")
         if more.isEmpty():
             break
