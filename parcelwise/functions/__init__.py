@@ -6,7 +6,16 @@ from parcelwise.functions.labels import (
     delivery_status,
     satisfaction_bucket,
 )
-from parcelwise.functions.numeric import average, average_where, cents, from_cents, pct, round_ratio, sum_where
+from parcelwise.functions.numeric import (
+    average,
+    average_where,
+    cents,
+    from_cents,
+    pct,
+    round_ratio,
+    sum_cents,
+    sum_where,
+)
 from parcelwise.functions.temporal import calendar_year, days_between, month_start
 
 __all__ = [
@@ -25,5 +34,6 @@ __all__ = [
     "position",
     "round_ratio",
     "satisfaction_bucket",
+    "sum_cents",
     "sum_where",
 ]

@@ -30,6 +30,17 @@ def cents(amount: Column) -> Column:
     return F.rint(amount.cast("decimal(12,2)").cast("double") * 100).cast("bigint")
 
 
+def sum_cents(amount: Column, bound: Column | None = None) -> Column:
+    """Sum of BIGINT hundredths, or an error if it could leave BIGINT, whatever the session says of overflow.
+
+    ``bound``, no smaller than the size of ``amount``, lets several sums share one check. It is added up as
+    a double, whose error is far below the margin kept to the largest BIGINT.
+    """
+    size = F.sum(F.abs(amount if bound is None else bound).cast("double"))
+    too_large = F.raise_error("a sum of amounts exceeds 92 quadrillion").cast("bigint")
+    return F.when(size > F.lit(9.2e18), too_large).otherwise(F.sum(amount))
+
+
 def from_cents(total: Column) -> Column:
     """Hundredths back to a two-place decimal."""
     return (total.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast("decimal(20,2)")

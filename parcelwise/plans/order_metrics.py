@@ -13,6 +13,7 @@ from parcelwise.functions import (
     from_cents,
     month_start,
     satisfaction_bucket,
+    sum_cents,
 )
 from parcelwise.functions.labels import DELIVERED
 from parcelwise.operators import latest_per_key
@@ -22,11 +23,12 @@ from parcelwise.sources.tables import Tables
 def order_value(order_items: DataFrame) -> DataFrame:
     """Item count and value per order, summed before any join so that joins cannot fan out."""
     price, freight = cents(F.col("price")), cents(F.col("freight_value"))
+    bound = F.abs(F.coalesce(price, F.lit(0))) + F.abs(F.coalesce(freight, F.lit(0)))
     return order_items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("item_count"),
-        from_cents(F.sum(price)).alias("item_value"),
-        from_cents(F.sum(freight)).alias("freight_value"),
-        from_cents(F.sum(price + freight)).alias("order_value"),
+        from_cents(sum_cents(price, bound)).alias("item_value"),
+        from_cents(sum_cents(freight, bound)).alias("freight_value"),
+        from_cents(sum_cents(price + freight, bound)).alias("order_value"),
     )
 
 

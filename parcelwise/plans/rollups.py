@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.functions import category_name, cents, from_cents
+from parcelwise.functions import category_name, cents, from_cents, sum_cents
 from parcelwise.operators import share_of_total
 from parcelwise.plans import measures as m
 from parcelwise.sources.tables import Tables
@@ -93,7 +93,7 @@ def category_orders(tables: Tables, fact: DataFrame) -> DataFrame:
         tables.product_category_translation,
     )
     values = items.groupBy("order_id", "product_category").agg(
-        from_cents(F.sum(cents(F.col("price")) + cents(F.col("freight_value")))).alias("order_value")
+        from_cents(sum_cents(cents(F.col("price")) + cents(F.col("freight_value")))).alias("order_value")
     )
     return values.join(
         fact.select("order_id", "review_score", "actual_delivery_days", "delivery_status"),

@@ -90,6 +90,19 @@ def test_order_without_items_or_review(spark):
     assert (row.review_score, row.satisfaction_bucket) == (None, None)
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_a_sum_beyond_bigint_is_refused(spark, conf, ansi):
+    def items(n):
+        return spark.range(n).selectExpr(
+            "'o' AS order_id", "CAST(9999999999.99 AS decimal(12,2)) AS price", "CAST(0 AS decimal(12,2)) AS freight_value"
+        )
+
+    conf("spark.sql.ansi.enabled", ansi)
+    assert order_value(items(9_000_000)).first().order_value == Decimal("89999999999910000.00")
+    with pytest.raises(Exception, match="exceeds 92 quadrillion|(?i:overflow)"):
+        order_value(items(10_000_000)).collect()
+
+
 def test_order_value_skips_items_with_a_missing_part(spark):
     t = tables(spark, order_items=[item("o1"), item("o1", freight=None, n=2), item("o2", price=None)])
     rows = by(order_value(t.order_items), "order_id")

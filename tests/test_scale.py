@@ -4,6 +4,7 @@ import re
 
 import pytest
 from builders import PURCHASE
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parcelwise.operators import latest_per_key
@@ -37,6 +38,15 @@ def final_plan(df) -> str:
     return plan(df)
 
 
+def assert_only_groups_meet(text: str) -> None:
+    """Below every single-partition exchange comes an aggregate, with nothing but row-wise steps between."""
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            below = (x for x in lines[i + 1 :] if not re.search(r"\+- (\*\(\d+\) )?(Project|Sort|Filter) ", x))
+            assert "HashAggregate" in next(below)
+
+
 def scanned(df) -> list[str]:
     return sorted(re.findall(r"FileScan parquet \[([^\]]*)\]", re.sub(r"#\d+L?", "", plan(df))))
 
@@ -70,10 +80,13 @@ def test_no_python_no_cross_join_no_single_task_over_rows(stored_sample, name):
     text = plan(FINDINGS[name](Views(stored_sample)))
     for bad in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in text
-    # Only group rows may meet in one task: below every single-partition exchange there is an aggregate.
-    for found in re.finditer("Exchange SinglePartition", text):
-        assert re.match(r"[^\n]*\n[ :]*\+- (\*\(\d+\) )?(HashAggregate|Project|Sort)", text[found.start() :])
-        assert "HashAggregate" in text[found.start() :]
+    assert_only_groups_meet(text)
+
+
+def test_a_plain_ntile_would_be_noticed(stored_sample):
+    text = plan(order_metrics(stored_sample).withColumn("g", F.ntile(4).over(Window.orderBy("order_value"))))
+    with pytest.raises(AssertionError):
+        assert_only_groups_meet(text)
 
 
 def test_fused_checks_scan_each_table_once_per_key(stored_sample):
