@@ -71,10 +71,14 @@ class Views:
         """The same views on a fact written once: each finding then reads a few columns of it."""
         return Views(self.tables, {"order_metrics": store(self.order_metrics, "order_metrics")})
 
-    def register(self) -> None:
-        """Makes the raw tables and the views readable by name from Spark SQL."""
-        register(dict(self.tables.items()))
-        register(self.frames())
+    def register(self, prefix: str = "") -> None:
+        """Makes the raw tables and the views readable by name from Spark SQL.
+
+        Session views of the same names are replaced, as when a view is published again; ``prefix`` keeps
+        them apart from names such as ``orders`` that a session may use itself.
+        """
+        named = {**dict(self.tables.items()), **self.frames()}
+        register({prefix + name: df for name, df in named.items()})
 
     def publish(self, folder: str) -> Views:
         """Writes the views as Parquet for any reader, and returns them as read from there.

@@ -199,6 +199,18 @@ def test_parquet_round_trip(spark, tmp_path):
         assert back[name].schema == df.schema and back[name].exceptAll(df).isEmpty()
 
 
+def test_a_prefix_leaves_session_views_alone(spark, sample):
+    spark.range(3).createOrReplaceTempView("orders")
+    try:
+        Views(sample).register("pw_")
+        assert spark.table("orders").count() == 3
+        assert spark.table("pw_orders").columns == sample.orders.columns
+        assert "delivery_status" in spark.table("pw_vw_order_delivery_metrics").columns
+    finally:
+        for name in ("orders", *(t.name for t in spark.catalog.listTables() if t.name.startswith("pw_"))):
+            spark.catalog.dropTempView(name)
+
+
 def test_views_answer_sql(spark):
     """The raw tables and views under their names, and the SQL a report would send."""
     Views(small(spark)).register()
