@@ -1,9 +1,10 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by an exact join of word windows around chosen positions.
 
-Only suffixes that start at minimisers, positions chosen by the content around them, are kept. A passage of
-``MIN_WORDS`` has one of them among its first ``WINDOW`` words in every document that holds it. Suffixes are sorted
-over the whole corpus by hashes of their leading words, neighbours that agree are paired, and every pair is
-extended to the left and right over the words of both documents.
+A passage of ``MIN_WORDS`` has a minimiser, a position chosen by the content around it, among its first ``WINDOW``
+words, the same one in every document that holds it. Passages of one document with the same minimiser form a
+stretch; only stretches whose minimiser is followed by words that another document has behind one of its own are
+looked at. Equal stretches are one class. A class of several documents is repeated as a whole; where classes differ
+around equal words, their passages are hashed and joined one by one.
 """
 
 from __future__ import annotations
@@ -12,8 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm import words as W
@@ -21,156 +21,112 @@ from parcelwise.llm.tables import kept
 
 MIN_WORDS = 50
 GRAM, WINDOW = 8, 24  # words hashed at a position, and neighbouring positions of which one is chosen
-LEAD = MIN_WORDS - WINDOW + 1 - 3  # words that neighbours share at least, rightwards from a chosen position
-NEXT = 18  # words in each further block of the sort key
+LEAD = MIN_WORDS - WINDOW + 1  # words that equal passages share at least, rightwards from their minimiser
+_BASE = 0xBF58476D1CE4E5B9
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def minimisers(hashes: np.ndarray) -> np.ndarray:
-    """Positions whose ``GRAM``-word hash is the smallest of a window of ``WINDOW`` positions, the last of equals."""
-    grams = W.window_hashes(hashes, GRAM)
-    if len(grams) < WINDOW:
-        return np.array([len(grams) - 1 - int(np.argmin(grams[::-1]))], np.int64) if len(grams) else np.empty(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-    return np.unique(np.arange(len(views)) + WINDOW - 1 - np.argmin(views[:, ::-1], axis=1))
+def stretches(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimisers with the first and last start of the passages of ``MIN_WORDS`` that each stands for.
 
+    A passage's minimiser is the smallest ``GRAM``-word hash at its first ``WINDOW`` positions, the last of equals,
+    so minimisers rise with the passages.
+    """
+    n = len(hashes) - MIN_WORDS + 1
+    if n <= 0:
+        return (np.empty(0, np.int64),) * 3
+    views = np.lib.stride_tricks.sliding_window_view(W.window_hashes(hashes, GRAM), WINDOW)[:n]
+    at, first = np.unique(np.arange(n) + WINDOW - 1 - np.argmin(views[:, ::-1], axis=1), return_index=True)
+    return at, first, np.append(first[1:], n) - 1
+
+
+class Ranges:
+    """Hashes of any ranges of words, from sums over the text."""
 
-def _block(hashes: np.ndarray, at: np.ndarray, start: int, width: int) -> np.ndarray:
-    """Hash of ``width`` words behind each position; of what there is where the text ends."""
-    padded = np.concatenate([hashes, np.zeros(start + width, np.uint64)])
-    return W.window_hashes(padded, width)[at + start]
+    def __init__(self, hashes: np.ndarray):
+        powers = np.cumprod(np.full(len(hashes), _BASE, np.uint64))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers)])
+        self.back = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(hashes), _INVERSE, np.uint64))])
 
+    def __call__(self, start: np.ndarray, words: np.ndarray | int) -> np.ndarray:
+        value = (self.sums[start + words] - self.sums[start]) * self.back[start]
+        return W.mix(value ^ W.mix(np.zeros(len(start), np.uint64) + np.asarray(words).astype(np.uint64)))
 
-_SUFFIX = "code long, next long, last long, doc_id long, pos int"
-_SUFFIX_NAMES = ["code", "next", "last", "doc_id", "pos"]
 
+_STRETCH = "code long, context long, doc_id long, words int, starts array<int>"
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chosen suffixes of each document, the first one of those that start with the same words."""
+
+def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches of each document, equal ones as one row with all their places."""
     for ids, texts in W.rows_of(batches):
-        parts = []
+        parts, places, counts = [], [], []
         for doc_id, text in zip(ids, texts, strict=True):
             hashes = W.word_hashes(W.words(text))
-            if len(hashes) < MIN_WORDS:
+            at, first, last = stretches(hashes)
+            if not len(at):
                 continue
-            at = minimisers(hashes)
-            at = at[at + LEAD <= len(hashes)]
-            code, first = np.unique(_block(hashes, at, 0, LEAD), return_index=True)
-            at = at[first]
-            more = [_block(hashes, at, LEAD + k * NEXT, NEXT) for k in (0, 1)]
-            parts.append((code, *more, np.full(len(at), doc_id, np.int64), at.astype(np.int32)))
+            ranges = Ranges(hashes)
+            width = last - first + MIN_WORDS
+            code, context = ranges(at, LEAD), ranges(first, width)
+            order = np.lexsort((first, context, code))
+            code, context = code[order], context[order]
+            new = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (context[1:] != context[:-1])))
+            places.append(first[order].astype(np.int32))
+            counts.append(np.diff(np.append(new, len(order))))
+            doc = np.full(len(new), doc_id, np.int64)
+            parts.append((code[new], context[new], doc, width[order][new].astype(np.int32)))
         if parts:
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            columns[:3] = map(W.signed, columns[:3])
-            yield pa.record_batch([pa.array(c) for c in columns], names=_SUFFIX_NAMES)
-
-
-_PAIR = "doc_a long, pos_a int, doc_b long, pos_b int, edge int, code long"
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of adjoining suffixes that agree, and the first and last suffix of the partition as its edges."""
-    part = TaskContext.get().partitionId()
-    before = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        code, doc, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 3, 4))
-        edges = [] if before else [(doc[0], pos[0], 2 * part, code[0])]
-        if before:
-            code, doc, pos = (np.concatenate([[b], c]) for b, c in zip(before, (code, doc, pos), strict=True))
-        same = (code[1:] == code[:-1]) & (doc[1:] != doc[:-1])
-        before = code[-1], doc[-1], pos[-1]
-        yield _pairs(doc[:-1][same], pos[:-1][same], doc[1:][same], pos[1:][same])
-        if edges:
-            yield _edges(edges)
-    if before:
-        yield _edges([(before[1], before[2], 2 * part + 1, before[0])])
-
-
-def _pairs(doc_a, pos_a, doc_b, pos_b) -> pa.RecordBatch:
-    none = [None] * len(doc_a)
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-    columns = (doc_a, pos_a, doc_b, pos_b, none, none)
-    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_PAIR_NAMES)
-
+            code, context, doc, width = (np.concatenate(c) for c in zip(*parts, strict=True))
+            ends = np.append(0, np.cumsum(np.concatenate(counts))).astype(np.int32)
+            starts = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(places)))
+            columns = [pa.array(c) for c in (W.signed(code), W.signed(context), doc, width)]
+            yield pa.record_batch([*columns, starts], names=["code", "context", "doc_id", "words", "starts"])
 
-def _edges(rows: list[tuple]) -> pa.RecordBatch:
-    doc, pos, edge, code = zip(*rows, strict=True)
-    none = [None] * len(rows)
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-    columns = (doc, pos, none, none, edge, code)
-    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_PAIR_NAMES)
 
+_PASSAGES = "code long, context long, low long, high long, passages array<long>"
 
-_PAIR_NAMES = ["doc_a", "pos_a", "doc_b", "pos_b", "edge", "code"]
 
-
-def neighbour_pairs(suffixes: DataFrame) -> DataFrame:
-    """``doc_a``, ``pos_a``, ``doc_b``, ``pos_b`` of suffixes that adjoin in sorted order and share their lead.
-
-    Ties are ordered by document, so that many equal suffixes spread over the sorted partitions too. The edges of
-    neighbouring partitions, two rows for each, are paired apart.
+def _passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of all passages of each class, read at its place; other texts of that id do not hold the class."""
+    for texts, places in W.rows_of(batches, 64):
+        rows = []
+        for text, own in zip(texts, places, strict=True):
+            hashes = W.word_hashes(W.words(text))
+            ranges = Ranges(hashes)
+            for p in own:
+                start, words = p["start"], p["words"]
+                if start + words > len(hashes):
+                    continue
+                if int(W.signed(ranges(np.array([start]), words))[0]) != p["context"]:
+                    continue
+                each = W.signed(ranges(np.arange(start, start + words - MIN_WORDS + 1), MIN_WORDS))
+                rows.append((p["code"], p["context"], p["low"], p["high"], each))
+        if rows:
+            *columns, each = zip(*rows, strict=True)
+            columns = [pa.array(c, pa.int64()) for c in columns]
+            yield pa.record_batch(
+                [*columns, pa.array(each, pa.list_(pa.int64()))], names=["code", "context", "low", "high", "passages"]
+            )
+
+
+def _held_parts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """For each class of one document the part that other classes hold: ``code``, ``context``, ``from`` and ``to``.
+
+    The passages of a class overlap all, so those from the first to the last one held are one part.
     """
-    spark = suffixes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = suffixes.repartitionByRange(parts, *_SUFFIX_NAMES).sortWithinPartitions(*_SUFFIX_NAMES)
-    found = kept(placed.mapInArrow(_neighbours, _PAIR), "neighbours")
-    order = Window.orderBy("edge")  # two rows for each sorted partition
-    edges = found.where("edge IS NOT NULL").select("edge", "doc_a", "pos_a", "code")
-    edges = edges.select(
-        "*",
-        *(F.lead(c).over(order).alias(f"{c}_after") for c in ("edge", "doc_a", "pos_a", "code")),
-    ).where("edge % 2 = 1 AND code = code_after AND doc_a != doc_a_after")
-    across = edges.select(
-        "doc_a", "pos_a", F.col("doc_a_after").alias("doc_b"), F.col("pos_a_after").alias("pos_b")
+    mixed = classes.groupBy("code").agg(F.count("*").alias("n"), F.max(F.expr("low = high")).alias("alone"))
+    opened = classes.join(mixed.where("n > 1 AND alone").select("code"), "code")
+    place = F.struct("code", "context", "words", "low", "high", F.col("first.start").alias("start"))
+    places = opened.groupBy(F.col("low").alias("doc_id")).agg(F.collect_list(place).alias("places"))
+    rows = docs.join(places, "doc_id").select("text", "places").mapInArrow(_passage_rows, _PASSAGES)
+    passages = kept(rows, "passages").select("code", "context", "low", "high", F.posexplode("passages").alias("k", "passage"))
+    held = passages.groupBy("code", "passage").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x != y")
+    return (
+        passages.where("low = high")
+        .join(held.select("code", "passage"), ["code", "passage"])
+        .groupBy("code", "context")
+        .agg(F.min("k").alias("from"), (F.max("k") + MIN_WORDS).alias("to"))
     )
-    return found.where("edge IS NULL").select("doc_a", "pos_a", "doc_b", "pos_b").unionByName(across)
-
-
-def extended(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Maximal common passages through the anchors: start in ``a``, start in ``b``, words.
-
-    Anchors inside a passage found before on the same diagonal are skipped, so the work follows the lengths.
-    """
-    out: list[tuple[int, int, int]] = []
-    done: dict[int, int] = {}
-    for i, j in sorted(anchors):
-        if i < done.get(i - j, 0) or i >= len(a) or j >= len(b):
-            continue
-        n = min(len(a) - i, len(b) - j)
-        right = _run(a[i : i + n], b[j : j + n])
-        m = min(i, j)
-        left = _run(a[i - m : i][::-1], b[j - m : j][::-1])
-        done[i - j] = i + max(1, right)
-        if left + right >= MIN_WORDS:
-            out.append((i - left, j - left, left + right))
-    return out
-
-
-def _run(a: np.ndarray, b: np.ndarray) -> int:
-    """How many leading values agree, looked at in growing steps."""
-    start, step = 0, 64
-    while start < len(a):
-        differ = a[start : start + step] != b[start : start + step]
-        if differ.any():
-            return start + int(np.argmax(differ))
-        start += step
-        step *= 4
-    return len(a)
-
-
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for doc_a, doc_b, anchors, text_a, text_b in W.rows_of(batches, 64):
-        rows: list[tuple[int, int, int]] = []
-        for x, y, at, s, t in zip(doc_a, doc_b, anchors, text_a, text_b, strict=True):
-            a, b = W.word_hashes(W.words(s)), W.word_hashes(W.words(t))
-            for i, j, n in extended(a, b, [(p["pos_a"], p["pos_b"]) for p in at]):
-                rows += [(x, i, i + n), (y, j, j + n)]
-        ids, starts, ends = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.record_batch(
-            [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
-            names=["doc_id", "start", "end"],
-        )
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,33 +148,27 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``spans``, ``[start, end)`` in words, of passages that another document holds word for word.
 
-    Passages have ``MIN_WORDS`` words or more; spans that touch are merged and rise. Words are runs of characters
-    other than blanks, case counts. Every passage of ``MIN_WORDS + WINDOW`` words is found at least but for
-    its first ``WINDOW`` words; a shorter one may be missed only where three documents share different parts
-    around one chosen position. Of a passage repeated within a document its first place is reported.
+    Spans are the union of all runs of ``MIN_WORDS`` words that stand in another document too, at every place of
+    the document where they stand; spans that touch are merged and rise. Words are runs of characters other than
+    blanks, case counts.
 
     Only documents with a span are returned. Null and empty texts and rows without an id have none. Repeated
     rows of one id are one document. Empty tables give no rows; further columns are ignored.
     """
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    every = kept(docs.mapInArrow(_suffixes, _SUFFIX), "suffixes")
+    every = kept(docs.mapInArrow(_stretch_rows, _STRETCH), "stretches")
     again = every.groupBy("code").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x != y")
-    # A suffix whose lead stands in one document only has no neighbour that agrees.
-    suffixes = kept(every.join(again.select("code"), "code").select(*_SUFFIX_NAMES), "repeated")
-    pairs = kept(
-        neighbour_pairs(suffixes)
-        .groupBy("doc_a", "doc_b")
-        .agg(F.collect_set(F.struct("pos_a", "pos_b")).alias("anchors")),
-        "pairs",
+    repeated = kept(every.join(again.select("code"), "code"), "repeated")
+    first = F.struct("doc_id", F.get("starts", F.lit(0)).alias("start"))
+    classes = repeated.groupBy("code", "context").agg(
+        F.min("words").alias("words"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(first).alias("first")
     )
-    ids = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
-    texts = kept(docs.join(ids, "doc_id", "left_semi"), "texts")
-    spans = kept(
-        pairs.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
-        .join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
-        .select("doc_a", "doc_b", "anchors", "text_a", "text_b")
-        .mapInArrow(_spans, "doc_id long, start long, end long"),
-        "spans",
+    classes = kept(classes, "classes")
+    whole = classes.where("low != high").select("code", "context", F.lit(0).alias("from"), F.col("words").alias("to"))
+    spans = (
+        repeated.join(whole.unionByName(_held_parts(docs, classes)), ["code", "context"])
+        .select("doc_id", "from", "to", F.explode("starts").alias("start"))
+        .select("doc_id", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("end"))
     )
     return (
         spans.groupBy("doc_id")

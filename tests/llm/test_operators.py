@@ -205,6 +205,47 @@ def test_passages_hold_elsewhere(docs):
     assert all(got[d][0][0] <= suffix_dedup.WINDOW for d, w in texts.items() if copies[tuple(w)] > 1)
 
 
+def brute_passages(texts, width=50):
+    """Union of all runs of ``width`` words that stand in another document, by trying every one."""
+    places = {}
+    for d, w in texts.items():
+        for i in range(len(w) - width + 1):
+            places.setdefault(tuple(w[i : i + width]), set()).add(d)
+    out = {}
+    for d, w in texts.items():
+        for i in range(len(w) - width + 1):
+            if len(places[tuple(w[i : i + width])]) > 1:
+                spans = out.setdefault(d, [])
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = i + width
+                else:
+                    spans.append([i, i + width])
+    return out
+
+
+def test_passages_among_partial_sharers(spark):
+    """Short shared passages of which many other documents hold parts below the least length."""
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    texts = {}
+    for n in range(50, 84, 3):
+        shared, at = word(n), len(texts)
+        texts[at], texts[at + 99] = word(30) + shared + word(30), word(41) + shared + word(7)
+        for k in range(1, 99):
+            i = int(rng.integers(0, n - 47))
+            texts[at + k] = word(25) + shared[i : i + 48] + word(25)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: r["spans"] for r in suffix_dedup.repeated_passages(docs).collect()}
+    want = brute_passages(texts)
+    assert len(want) == 24 and got == want
+
+
+def test_passages_of_sample_equal_brute_force(docs):
+    texts = {r["doc_id"]: WORD.findall(r["text"]) for r in docs.collect()}
+    got = {r["doc_id"]: r["spans"] for r in suffix_dedup.repeated_passages(docs).collect()}
+    assert got == brute_passages(texts)
+
+
 # -- quality and toxicity
 
 
