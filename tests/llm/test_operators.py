@@ -246,6 +246,28 @@ def test_passages_of_sample_equal_brute_force(docs):
     assert got == brute_passages(texts)
 
 
+def test_every_place_of_a_passage(spark):
+    """A passage that a document holds twice, and one behind a header that stands there before other words."""
+    rng = np.random.default_rng(10)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    shared, header, rest = word(60), word(40), word(14)
+    texts = {
+        1: word(30) + shared + word(50) + shared + word(9),
+        2: word(5) + shared + word(5),
+        3: header + word(40) + header + rest + word(20),
+        4: word(33) + header + rest,
+        5: shared * 3,
+        6: word(49),
+    }
+    rows = [(d, " ".join(w)) for d, w in texts.items()]
+    docs = spark.createDataFrame([*rows, rows[1], (6, " ".join(word(70)))], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in suffix_dedup.repeated_passages(docs).collect()}
+    assert got[1] == [[30, 90], [140, 200]] and got[3] == [[80, 134]]
+    assert got == brute_passages(texts)
+    words = {r["doc_id"]: r["repeated_words"] for r in suffix_dedup.passage_report(docs).collect()}
+    assert words == {1: 120, 2: 60, 3: 54, 4: 54, 5: 180}
+
+
 # -- quality and toxicity
 
 
