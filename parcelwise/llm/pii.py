@@ -4,7 +4,7 @@ Detectors for e-mail addresses, IP addresses, payment cards and phone numbers ru
 itself, whose spans are the *base*, and on a text rewritten by transducers that fold look-alike letters and
 digits, spelled digits and ``at``/``dot`` disguises. Every rewritten character knows the source
 characters it came from, so what is found there is mapped back. Spans of the second kind are added unless they
-touch a base span of their kind. Each document is handled alone, in time linear in its length.
+lie within a base span of their kind. Each document is handled alone, in time linear in its length.
 """
 
 from __future__ import annotations
@@ -110,6 +110,14 @@ _DIGIT_RUN = re.compile(
     re.IGNORECASE,
 )
 _SPELLED = re.compile(rf"(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})", re.IGNORECASE)
+_DIGIT_DOT = re.compile(
+    rf"(?:[0-9]|(?<![^\W_]){_SPELLED.pattern})([ ](?:dot|punkt|point|punto)[ ])(?=[0-9]|{_SPELLED.pattern}(?![^\W_]))",
+    re.IGNORECASE,
+)
+_ANY_DOT = re.compile(r"[ ](?:dot|punkt|point|punto)[ ]", re.IGNORECASE)
+# Four parts of an address, each in digits or up to three spelled ones.
+_PART = rf"(?:[0-9]{{1,3}}|{_SPELLED.pattern}(?:[ ]{_SPELLED.pattern}){{0,2}})(?![^\W_])"
+_SPELLED_IP = re.compile(rf"(?<![^\W_]){_PART}(?:\.{_PART}){{3}}", re.IGNORECASE)
 _PLUS = re.compile(r"\bplus[ ](?=[0-9])", re.IGNORECASE)
 
 
@@ -144,10 +152,10 @@ class Rewritten:
         return self.starts[span[0]], self.ends[span[1] - 1]
 
 
-def _digits_for_words(text: str) -> list[tuple[int, int, str]]:
-    """One digit for each spelled one, joined to the digits beside it."""
+def _digits_for_words(text: str, runs: re.Pattern = _DIGIT_RUN) -> list[tuple[int, int, str]]:
+    """One digit for each spelled one of the runs, joined to the digits beside it."""
     edits = []
-    for run in _DIGIT_RUN.finditer(text):
+    for run in runs.finditer(text):
         if not _SPELLED.search(run[0]):
             continue
         for m in _SPELLED.finditer(text, run.start(), run.end()):
@@ -177,16 +185,19 @@ def rewritten(text: str) -> Rewritten:
     out.rewrite(_SPOKEN_AT, "@")
     if "@" in out.text:
         out.rewrite(_SPOKEN_DOT, ".")
-    edits = _digits_for_words(out.text)
-    out.replace(_joined_digits(out.text, edits))
+    if _ANY_DOT.search(out.text):
+        out.replace([(*m.span(1), ".") for m in _DIGIT_DOT.finditer(out.text)])
+    for runs in (_SPELLED_IP, _DIGIT_RUN) if "." in out.text else (_DIGIT_RUN,):
+        edits = _digits_for_words(out.text, runs)
+        out.replace(_joined_digits(out.text, edits))
     out.rewrite(_PLUS, "+")
     return out
 
 
-def _touches(span: Span, others: list[Span]) -> bool:
-    """Whether one of the ``others``, which rise and do not overlap, shares a character with the span."""
-    k = bisect_right(others, (span[1] - 1, sys.maxsize))
-    return k > 0 and others[k - 1][1] > span[0]
+def _within(span: Span, others: list[Span]) -> bool:
+    """Whether one of the ``others``, which rise and do not overlap, holds the whole span."""
+    k = bisect_right(others, (span[0], sys.maxsize))
+    return k > 0 and others[k - 1][1] >= span[1]
 
 
 def all_spans(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
@@ -198,7 +209,7 @@ def all_spans(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[S
     if changed.text != text:
         for kind, spans in found(changed.text).items():
             mapped = dict.fromkeys(changed.source(s) for s in spans)
-            out[kind] = sorted(out[kind] + [s for s in mapped if not _touches(s, base[kind])])
+            out[kind] = sorted(out[kind] + [s for s in mapped if not _within(s, base[kind])])
     return base, out
 
 
@@ -221,7 +232,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (``doc_id``, ``text``) the base counts, their digest, and all spans.
 
     Offsets are code points, the end exclusive. ``base_sha256`` hashes the list of base spans, ``spans``
-    lists all of them as ``kind:start:end``, by kind (email, ip, card, phone) and start, joined by commas. Null
+    lists all of them as ``kind:start:end``, by kind (email, ip, card, phone) and start, joined by commas. A span
+    found behind a disguise may hold base spans, which stay beside it. Null
     and empty texts have counts 0, the digest of nothing and an empty list; null ids stay null. Rows are
     independent, so repeated ones give equal results; further columns are ignored.
     """

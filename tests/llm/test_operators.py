@@ -133,6 +133,38 @@ def test_disguises_map_back():
     assert not any(pii.all_spans(clean)[1].values())
 
 
+def test_spoken_addresses_without_an_at():
+    for text in (
+        "host 192 dot 168 dot 10 dot 1 is up",
+        "host one nine two dot one six eight dot one zero dot one is up",
+        "host 192 punkt one six eight PUNTO 10 point one is up",
+        "host 192.168.one.1 is up",
+        "host one nine two dot 168 dot one zero dot 1 is up",
+    ):
+        base, every = pii.all_spans(text)
+        assert not any(base.values())
+        assert [text[a:b] for a, b in every["ip"]] == [text[5:-6]], text
+        assert pii.redact(text) == "host [IP] is up"
+    for clean in ("It is 3 dot 5 of 7 dot 9.", "The dot one sees on page two is 300 dot 1 dot 1 dot 1.", "One point two is ten. No one.", "Zone.one.two"):
+        assert not any(pii.all_spans(clean)[1].values())
+
+
+def test_disguises_beside_plain_data():
+    """What is found behind a disguise may reach beyond a base span, which stays."""
+    cases = {
+        "Ask john dot smith@example.com now": ("email", "smith@example.com", "john dot smith@example.com", "Ask [EMAIL] now"),
+        "Call +49 171 5551 two three four five now": ("phone", "+49 171 5551", "+49 171 5551 two three four five", "Call [PHONE] now"),
+        "Ask joe at x dot y@example.com now": ("email", "y@example.com", "joe at x dot y", "Ask [EMAIL] now"),
+    }
+    for text, (kind, plain, whole, red) in cases.items():
+        base, every = pii.all_spans(text)
+        assert [text[a:b] for a, b in base[kind]] == [plain]
+        assert {text[a:b] for a, b in every[kind]} == {plain, whole}
+        assert pii.redact(text) == red
+    plain = "Ask john.smith@example.com, +49 171 5551234 or 10.0.0.1 at noon, one of two."
+    assert pii.all_spans(plain)[0] == pii.all_spans(plain)[1] == pii.found(plain)
+
+
 def test_personal_data_odd_rows(odd, docs):
     rows = pii.personal_data(odd).collect()
     assert len(rows) == 6 and all(r["n_email"] == 0 and r["spans"] == "" for r in rows)
