@@ -2,7 +2,9 @@
 
 Numbers, names and units become typed placeholders, so a question whose parameters were changed keeps its
 template. Windows of template words are hashed and joined with those of the benchmark; the values that stand in
-the slots must then map one to one, as they do when a question was given new parameters.
+the slots must then map one to one, as they do when a question was given new parameters. A capitalised word that
+begins a sentence may be a name or not, so windows with such words have two templates, with the word and with a
+placeholder. Windows of more placeholders than words are too loose a template and are joined word for word.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ UNITS = (
 def marked_words(text: Column) -> Column:
     """The words of a text without punctuation, names and first words of sentences marked."""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[0-9])[.,:](?=[0-9])", _POINT)
-    text = F.regexp_replace(text, r"(?:^|[.!?\n][^\p{L}\p{N}]*)(?=\p{Lu})", f" {_START}")
+    text = F.regexp_replace(text, r"(?:^|[.!?\n][^\p{L}\p{N}]*)(?=\p{Lu}\p{Ll})", f" {_START}")
     text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}{_START}])(?=\p{{Lu}}\p{{Ll}})", _NAME)
     text = F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}{_POINT}{_START}{_NAME}]+", " ")
     return F.array_remove(F.split(text, " "), "")
@@ -59,9 +61,9 @@ def _templated(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, "words", _placeholders(F.col("words")).alias("tokens"))
 
 
-def _hashes(width: int) -> Column:
+def _hashes(codes: str, width: int) -> Column:
     """The hash of every window, in order."""
-    each = F.col("codes")
+    each = F.col(codes)
     last = F.size(each) - width
     return F.when(
         last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(each, i + 1, width)))
@@ -69,34 +71,61 @@ def _hashes(width: int) -> Column:
 
 
 def _coded(df: DataFrame) -> DataFrame:
-    return df.withColumn("codes", F.transform("tokens", lambda t: F.xxhash64(t)))
+    """With a code for each word: of its template, of the looser one where first words are names, and of itself."""
+    name = F.xxhash64(F.lit("#name"))
+    return (
+        df.withColumn("codes", F.transform("tokens", lambda t: F.xxhash64(t)))
+        .withColumn("loose_codes", F.zip_with("words", "codes", lambda w, c: F.when(w.startswith(_START), name).otherwise(c)))
+        .withColumn("plain_codes", F.transform("words", lambda w: F.xxhash64(F.lower(F.ltrim(w, F.lit(_START + _NAME))))))
+    )
+
+
+_VARIANTS = ("codes", "loose_codes", "plain_codes")
 
 
 def _benchmark_windows(items: DataFrame, width: int) -> DataFrame:
-    """A row for each window of each item, half of it literal words at least, with its slots' values.
+    """Rows for each window of each item, with its slots' values: one for each template that is half literal words
+    at least; if there is none, one for the words themselves, without slots.
 
     An item of fewer words than a window is one window of its own length.
     """
     items = _coded(_templated(items.where("item_id IS NOT NULL"), "item_id")).where(F.size("tokens") > 0)
     own = F.least(F.lit(width), F.size("tokens"))
     starts = F.explode(F.sequence(F.lit(0), F.size("tokens") - own))
-    windows = items.select("*", own.alias("width"), starts.alias("at"))
-    tokens = F.slice("tokens", F.col("at") + 1, F.col("width"))
-    slots = F.transform(
-        tokens,
-        lambda t, j: F.when(
-            t.startswith("#"), F.struct(t.alias("kind"), j.alias("j"), F.get("words", F.col("at") + j).alias("value"))
-        ),
+    names = F.zip_with("words", "tokens", lambda w, t: F.when(w.startswith(_START), F.lit("#name")).otherwise(t))
+    windows = items.withColumn("names", names).select("*", own.alias("width"), starts.alias("at"))
+
+    def slots(tokens: str) -> Column:
+        each = F.transform(
+            F.slice(tokens, F.col("at") + 1, F.col("width")),
+            lambda t, j: F.when(
+                t.startswith("#"), F.struct(t.alias("kind"), j.alias("j"), _value(F.col("at") + j).alias("value"))
+            ),
+        )
+        return F.filter(each, lambda s: s.isNotNull())
+
+    windows = windows.withColumn("strict", slots("tokens")).withColumn("loose", slots("names"))
+    windows = windows.withColumn("light", F.size("strict") * 2 <= F.col("width"))
+    code = lambda codes: F.xxhash64(F.slice(codes, F.col("at") + 1, F.col("width")))
+    kinds = (
+        ("codes", F.col("strict"), F.col("light")),
+        ("loose_codes", F.col("loose"), (F.size("loose") * 2 <= F.col("width")) & (F.size("loose") > F.size("strict"))),
+        ("plain_codes", F.slice("strict", 1, 0), ~F.col("light")),
+    )
+    rows = [
+        windows.where(wanted).select("item_id", "width", "at", "light", F.lit(c).alias("variant"), code(c).alias("code"), own_slots.alias("slots"))
+        for c, own_slots, wanted in kinds
+    ]
+    rows = reduce(DataFrame.unionByName, rows)
+    totals = rows.groupBy("item_id").agg(
+        F.count_distinct("at").alias("n_windows"), F.count_distinct(F.when(F.col("light"), F.col("at"))).alias("n_light")
     )
-    windows = windows.select(
-        "item_id",
-        "width",
-        "at",
-        F.xxhash64(F.slice("codes", F.col("at") + 1, F.col("width"))).alias("code"),
-        F.filter(slots, lambda s: s.isNotNull()).alias("slots"),
-    ).where(F.size("slots") * 2 <= F.col("width"))
-    totals = windows.groupBy("item_id").agg(F.count_distinct("at").alias("n_windows"))
-    return windows.distinct().join(totals, "item_id")
+    return rows.distinct().join(totals, "item_id")
+
+
+def _value(at: Column) -> Column:
+    """The word at a place, without marks."""
+    return F.ltrim(F.get("words", at), F.lit(_START + _NAME))
 
 
 def _one_to_one(pairs: Column) -> Column:
@@ -117,18 +146,24 @@ def contaminated(
     such distances together. ``n_changed`` counts slots with another value than the benchmark's; the row is
     ``reparameterised`` if there are any.
 
+    A name may stand anywhere, at the start of a sentence too. Windows with more slots than words count if they are
+    repeated word for word, other than by case. Since no new parameters can do that, coverage is the larger of the
+    shares of all windows and of the others.
+
     Null and empty texts hold nothing and are held nowhere; an item without id is left out, a document
-    without id is reported under null. Items and documents that repeat count once per id. Items without a
-    window that is half literal are never found. Empty tables give no rows; other columns are ignored.
+    without id is reported under null. Items and documents that repeat count once per id. Empty tables give no
+    rows; other columns are ignored.
     """
     windows = _benchmark_windows(items.select("item_id", "text"), width)
-    sizes = windows.groupBy("width").count().collect()  # at most ``width`` rows
+    sizes = windows.groupBy("width", "variant").count().collect()  # at most three rows for each width up to ``width``
     bounded = sum(r["count"] for r in sizes) <= BROADCAST_WINDOWS
-    coded = _coded(_templated(docs, *keys)).select(*keys, "words", "codes")
+    coded = _coded(_templated(docs, *keys)).select(*keys, "words", *_VARIANTS)
     hits = []
-    for own in sorted(r["width"] for r in sizes):
+    for own in sorted({r["width"] for r in sizes}):
         ours = windows.where(F.col("width") == own)
-        spread = coded.select(*keys, "words", F.posexplode(_hashes(own)).alias("pos", "code"))
+        hashes = [_hashes(v, own) for v in _VARIANTS if any(r["width"] == own and r["variant"] == v for r in sizes)]
+        spread = coded.select(*keys, "words", F.posexplode(F.concat(*hashes)).alias("i", "code"))
+        spread = spread.withColumn("pos", F.col("i") % (F.size("words") - own + 1)).drop("i")
         hits.append(spread.join(F.broadcast(ours) if bounded else ours, "code"))
     if not hits:
         hits = [coded.select(*keys, "words", F.lit(0).alias("pos")).join(windows.limit(0))]
@@ -136,28 +171,52 @@ def contaminated(
         s["kind"].alias("kind"),
         (F.col("at") + s["j"]).alias("at"),
         s["value"].alias("item_value"),
-        F.get("words", F.col("pos") + s["j"]).alias("doc_value"),
+        _value(F.col("pos") + s["j"]).alias("doc_value"),
     )
+    place = ("item_id", "n_windows", "n_light")
     found = reduce(DataFrame.unionByName, hits).select(
-        *keys, "item_id", "n_windows", "at", (F.col("pos") - F.col("at")).alias("shift"), F.transform("slots", value).alias("pairs")
+        *keys,
+        *place,
+        F.struct("at", "light").alias("window"),
+        (F.col("variant") != "loose_codes").alias("literal"),
+        (F.col("pos") - F.col("at")).alias("shift"),
+        F.transform("slots", value).alias("pairs"),
     )
-    placed = found.groupBy(*keys, "item_id", "n_windows", "shift").agg(
-        F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
+    strict = lambda c: F.when(F.col("literal"), F.col(c))
+    placed = found.groupBy(*keys, *place, "shift").agg(
+        F.collect_set("window").alias("ats"),
+        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
+        F.collect_set(strict("window")).alias("strict_ats"),
+        F.array_distinct(F.flatten(F.collect_list(strict("pairs")))).alias("strict_pairs"),
     )
-    values = F.transform("pairs", lambda p: F.struct(p["kind"].alias("kind"), p["item_value"].alias("item_value"), p["doc_value"].alias("doc_value")))
-    placed = placed.where(_one_to_one(values)).withColumn(
-        "changed", F.size(F.filter("pairs", lambda p: ~p["item_value"].eqNullSafe(p["doc_value"])))
+
+    def consistent(pairs: str) -> Column:
+        return _one_to_one(
+            F.transform(pairs, lambda p: F.struct(p["kind"].alias("kind"), p["item_value"].alias("item_value"), p["doc_value"].alias("doc_value")))
+        )
+
+    # First words that do not map one to one as names are words.
+    placed = (
+        placed.withColumn("every", consistent("pairs"))
+        .where(F.col("every") | consistent("strict_pairs") & (F.size("strict_ats") > 0))
+        .withColumn("ats", F.when(F.col("every"), F.col("ats")).otherwise(F.col("strict_ats")))
+        .withColumn("pairs", F.when(F.col("every"), F.col("pairs")).otherwise(F.col("strict_pairs")))
+        .withColumn("changed", F.size(F.filter("pairs", lambda p: ~p["item_value"].eqNullSafe(p["doc_value"]))))
     )
-    share = F.col("n_matched") / F.col("n_windows")
+    matched = F.col("matched")
+    n_light = F.size(F.filter(matched, lambda m: m["light"]))
+    share = F.greatest(F.size(matched) / F.col("n_windows"), F.when(F.col("n_light") > 0, n_light / F.col("n_light")))
     return (
-        placed.groupBy(*keys, "item_id", "n_windows")
+        placed.groupBy(*keys, *place)
         .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_matched"),
+            F.array_distinct(F.flatten(F.collect_list("ats"))).alias("matched"),
             F.min("changed").cast("long").alias("n_changed"),
         )
+        .withColumn("n_matched", F.size(matched).cast("long"))
         .withColumn("coverage", share)
         .where(F.col("coverage") >= coverage)
         .withColumn("reparameterised", F.col("n_changed") > 0)
+        .select(*keys, "item_id", "n_windows", "n_matched", "n_changed", "coverage", "reparameterised")
     )
 
 

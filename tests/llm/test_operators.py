@@ -195,6 +195,19 @@ def test_items_are_found(spark):
     assert decontaminate.contaminated(docs, empty(items)).collect() == []
 
 
+def test_items_with_other_names_at_sentence_starts(spark):
+    item = "Tom has 12 red apples in one bag. Tom gives 5 of them to a friend. Tom then eats 2 of the rest. How many does he have?"
+    other = item.replace("Tom", "Maria").replace("12", "31").replace("5", "9").replace("2 of", "4 of")
+    mixed = other.replace("Maria then", "Carla then")
+    rows = [(1, other), (2, f"A question: {other} Good luck"), (3, mixed), (4, item), (5, item.replace("Tom has", "So Tom has"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(9, item)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contaminated(docs, items).collect()}
+    assert set(got) == {1, 2, 4, 5}
+    assert {d: r["reparameterised"] for d, r in got.items()} == {1: True, 2: True, 4: False, 5: False}
+    assert all(r["n_windows"] == r["n_matched"] == 21 for r in got.values())
+
+
 def test_sample_items_are_found(spark, docs):
     items = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     words = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
