@@ -208,6 +208,19 @@ def test_items_with_other_names_at_sentence_starts(spark):
     assert all(r["n_windows"] == r["n_matched"] == 21 for r in got.values())
 
 
+def test_items_of_numbers_are_found_word_for_word(spark):
+    sums = "Compute 12 + 34 - 56 * 78 + 90 - 11 exactly"
+    table = "Ann Bea Cid Dan 11 12 13 14 15 16 17 18 19 20 21 22 make up the long list of all our numbers"
+    rows = [(1, f"Now then, please. {sums}. Thanks"), (2, sums.replace("56", "57")), (3, f"so {table} end"), (4, "12 34 56 78 90 11 " * 9)]
+    rows += [(5, table.replace("1", "3"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, sums), (8, table)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(docs, items).collect()}
+    assert set(got) == {(1, 7), (3, 8), (5, 8)}
+    assert got[1, 7]["coverage"] == 1.0 and not got[1, 7]["reparameterised"]
+    assert got[3, 8]["n_windows"] == got[3, 8]["n_matched"] == 18 and got[5, 8]["reparameterised"]
+
+
 def test_sample_items_are_found(spark, docs):
     items = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     words = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
