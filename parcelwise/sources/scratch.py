@@ -24,10 +24,10 @@ def scratch_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet under this application's scratch folder and reads it back."""
+def store(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Writes ``df`` as Parquet under this application's scratch folder and reads it back; ``options`` of the writer."""
     spark = df.sparkSession
     application = spark.sparkContext.applicationId
     path = f"{scratch_folder(spark)}/{application}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -38,7 +38,7 @@ def compare(df, con, sql: str) -> str | None:
     kinds = {d[0]: str(d[1]).lower() for d in cursor.description}
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
-    same = {"string": "varchar", "timestamp_ntz": "timestamp"}
+    same = {"string": "varchar", "timestamp_ntz": "timestamp", "int": "integer"}
     for name, kind in df.dtypes:
         if same.get(kind, kind) != kinds[name]:
             return f"type of {name}: {kind} != {kinds[name]}"

@@ -112,7 +112,7 @@ def folders(tmp_path_factory):
     return made
 
 
-ALL = sorted(entry.queries())
+ALL = sorted(entry.library_queries())
 # Views need unique keys, which a strict load demands; checks must count what is repeated.
 ON_REPEATS = [name for name in ALL if name.startswith(("dq_", "row_", "status_", "latest_", "order_value"))]
 
@@ -120,17 +120,17 @@ ON_REPEATS = [name for name in ALL if name.startswith(("dq_", "row_", "status_",
 @pytest.mark.parametrize("name", ALL)
 def test_unique_keys(spark, folders, name):
     folder, con = folders[False]
-    assert compare(entry.queries()[name](spark, folder), con, entry.oracle_sql()[name]) is None
+    assert compare(entry.library_queries()[name](spark, folder), con, entry.oracle_sql()[name]) is None
 
 
 @pytest.mark.parametrize("name", ON_REPEATS)
 def test_repeated_keys(spark, folders, name):
     folder, con = folders[True]
-    assert compare(entry.queries()[name](spark, folder), con, entry.oracle_sql()[name]) is None
+    assert compare(entry.library_queries()[name](spark, folder), con, entry.oracle_sql()[name]) is None
 
 
 def test_the_tables_exercise_the_checks(folders, spark):
     folder, _ = folders[True]
-    counts = {r.check_name: r.issue_count for r in entry.queries()["dq_summary"](spark, folder).collect()}
+    counts = {r.check_name: r.issue_count for r in entry.library_queries()["dq_summary"](spark, folder).collect()}
     silent = {name for name, n in counts.items() if n == 0}
     assert silent == {"Invalid review scores"}
