@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelwise.llm import decontaminate, language_id, mixing, ngram_join, pii, quality_qda, quality_trees, suffix_dedup, tool_calls, toxicity
+from parcelwise.llm import (
+    decontaminate, filter_audit, language_id, mixing, ngram_join, page_templates, pii, quality_qda, quality_trees, suffix_dedup,
+    token_alignment, tool_calls, toxicity,
+)
 from parcelwise.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +64,18 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.aligned(read(spark, folder, "documents"), groups=False)
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def op13_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return page_templates.extracted(read(spark, folder, "pages"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,8 +96,11 @@ def queries() -> dict[str, Query]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_html_extraction": op13_html_extraction,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_filter_audit": filter_audit.ORACLE_SQL}

@@ -20,7 +20,7 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
+def kept(df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` written to the shared folder and read back, which also cuts its lineage.
 
     Spark frees shuffle files once the driver collects the plans that made them, so it is asked to before
@@ -28,7 +28,7 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     """
     gc.collect()
     df.sparkSession._jvm.System.gc()
-    return store(df, label)
+    return store(df, label, **options)
 
 
 def word_count(text):
