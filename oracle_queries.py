@@ -183,6 +183,16 @@ def _scan(name: str) -> str:
     return _on_tables(f"SELECT {columns} FROM t_{name}")
 
 
+def _broken_texts() -> str:
+    """All texts of a row, each twice with a line break between, as one."""
+    rows = []
+    for name, spec in TABLE_SPECS.items():
+        texts = [f.name for f in spec.fields if f.type.simpleString() == "string"]
+        twice = ", ".join(f"{c} || chr(13) || chr(10) || '\"\",' || chr(10) || {c}" for c in texts)
+        rows.append(f"SELECT '{name}' AS table_name, concat_ws('|', {twice}) AS texts FROM t_{name}")
+    return _on_tables("\nUNION ALL ".join(rows))
+
+
 def _by_status(columns: str, where: str = "true") -> str:
     return _on_fact(f"SELECT delivery_status, {columns} FROM fact WHERE {where} GROUP BY delivery_status")
 
@@ -541,6 +551,12 @@ def oracle_sql() -> dict[str, str]:
         **ingested,
         "ingest_refused_keeps_sellers": _scan("sellers"),
         "ingest_row_counts": _counts("row_count"),
+        "ingest_line_breaks": _broken_texts(),
+        "catalog_orders": _scan("orders"),
+        "catalog_states": views["view_state"],
+        "catalog_items_by_status": _on_fact("""
+SELECT delivery_status, count(*) AS items, CAST(sum(CAST(price * 100 AS BIGINT)) AS BIGINT) / 100e0 AS price
+FROM t_order_items JOIN fact USING (order_id) GROUP BY delivery_status"""),
         **_parts(),
         **views,
         "publish_order_metrics": views["view_order_metrics"],

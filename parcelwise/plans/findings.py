@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions import Bands, average_where, band, pct, position, sum_where
 from parcelwise.functions.labels import STATUS_ORDER
-from parcelwise.operators import distributed_ntile, share_of_total
+from parcelwise.operators import SortKey, distributed_ntile, share_of_total
 from parcelwise.plans import measures as m
 from parcelwise.plans.views import Views
-from parcelwise.sources.scratch import store
 
 # Smallest group ranked, days that count as severe, quantile groups and bands.
 MIN_ORDERS = 100
@@ -262,14 +261,10 @@ def severe_delays(views: Views, severe_days: int = SEVERE_DAYS) -> DataFrame:
 
 
 def _value_groups(views: Views, groups: int, keep: Sequence[str]) -> DataFrame:
-    orders = views.order_metrics.select("order_id", *(c for c in keep if c != "order_id"))
-    if not views.is_given("order_metrics"):
-        # A range sort samples its input first, which would run the last joins twice.
-        orders = store(orders, "order_values")
     return distributed_ntile(
-        orders,
+        views.order_metrics.select(*dict.fromkeys(("order_id", "order_value", *keep))),
         groups,
-        [m.value().asc_nulls_last(), F.col("order_id").asc()],
+        [SortKey("order_value"), SortKey("order_id")],
         alias="value_quartile",
         keep=keep,
     )

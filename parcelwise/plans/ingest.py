@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
 
 from parcelwise.plans.quality import require_constraints
-from parcelwise.sources.csv_files import read_csv_tables
+from parcelwise.sources.csv_files import csv_path, located, read_csv_tables, require_closed_quotes
 from parcelwise.sources.schema import TABLE_SPECS
-from parcelwise.sources.tables import Tables, load_tables, remove_folder, replace_folders, write_tables
+from parcelwise.sources.tables import Tables, load_tables
+from parcelwise.sources.versions import VersionedFolder
 
 
 def ingest(
@@ -20,22 +20,31 @@ def ingest(
     paths: Mapping[str, str] | None = None,
     strict: bool = True,
 ) -> Tables:
-    """CSV to one Parquet folder per table, replacing what was there.
+    """CSV to one Parquet folder per table, a new version in place of what was there.
 
-    Malformed input stops the load. ``strict`` also raises when a loaded table breaks a
-    declared key, NOT NULL, length or score rule; the views rely on those keys. Without it
+    Malformed input stops the load with the places of the first bad records. ``strict`` also raises when a loaded table
+    breaks a declared key, NOT NULL, length or score rule; the views rely on those keys. Without it
     the same violations can be read with ``quality.constraint_violations``.
 
-    The new tables are written and checked beside the old ones, which stay readable until
-    the load is accepted and are then replaced by moving folders. A refused load changes nothing.
+    The new tables are written and checked as a version of their own, which one small file makes the newest: a reader sees
+    all nine tables of one load, also while another is running or after it died. A refused load leaves nothing. The version before
+    stays for readers still at work; ``VersionedFolder(spark, out_dir).vacuum()`` removes older ones.
     """
-    staged = f"{out_dir.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    raw = read_csv_tables(spark, raw_dir, paths)
+    folder = VersionedFolder(spark, out_dir)
+    id_ = folder.new_id()
     try:
-        write_tables(read_csv_tables(spark, raw_dir, paths), staged)
+        for name, df in raw.items():
+            path = csv_path(spark, name, raw_dir, paths)
+            require_closed_quotes(spark, name, path)
+            try:
+                df.write.parquet(f"{folder.staging(id_)}/{name}")
+            except Exception as error:
+                raise located(spark, name, path, error) from error
         if strict:
-            require_constraints(load_tables(spark, staged))
+            require_constraints(load_tables(spark, folder.staging(id_)))
     except Exception:
-        remove_folder(spark, staged)
+        folder.discard(id_)
         raise
-    replace_folders(spark, staged, out_dir, TABLE_SPECS)
+    folder.accept(id_, TABLE_SPECS)
     return load_tables(spark, out_dir)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from parcelwise.plans import rollups
 from parcelwise.plans.order_metrics import order_metrics
+from parcelwise.sources import catalog
 from parcelwise.sources.scratch import store
 from parcelwise.sources.tables import Tables, publish, register, remove_folder, replace_folders
 
@@ -80,6 +81,20 @@ class Views:
         named = {**dict(self.tables.items()), **self.frames()}
         register({prefix + name: df for name, df in named.items()})
 
+    def save(self, database: str) -> Views:
+        """Puts the views into a catalog database beside the tables, and returns them as read from there.
+
+        As with :meth:`publish` the fact is computed once, and given views are written as they are.
+        """
+        attributes = {name: attribute for attribute, name in VIEW_NAMES.items()}
+
+        def frame(name: str, written: dict[str, DataFrame]) -> DataFrame:
+            known = self._frames | {attributes[n]: df for n, df in written.items()}
+            return getattr(Views(self.tables, known), attributes[name])
+
+        saved = catalog.save(self.tables.orders.sparkSession, database, "views", attributes, frame)
+        return Views(self.tables, {attributes[name]: df for name, df in saved.items()})
+
     def publish(self, folder: str) -> Views:
         """Writes the views as Parquet for any reader, and returns them as read from there.
 

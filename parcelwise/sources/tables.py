@@ -7,7 +7,9 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parcelwise.sources import catalog
 from parcelwise.sources.schema import TABLE_SPECS, struct_type
+from parcelwise.sources.versions import VersionedFolder
 
 
 class Tables:
@@ -38,12 +40,15 @@ class Tables:
 
 
 def load_tables(spark: SparkSession, folder: str) -> Tables:
-    """Parquet scan of all nine tables with their declared schemas."""
+    """Parquet scan of all nine tables with their declared schemas.
+
+    Where ``folder`` holds versions, the newest one is looked up once, here: the tables of one value are always of one
+    load, whatever is loaded meanwhile. Otherwise each table is a folder of its own below ``folder``.
+    """
+    version = VersionedFolder(spark, folder).latest()
+    paths = version.paths if version else {name: f"{folder}/{name}" for name in TABLE_SPECS}
     return Tables(
-        **{
-            name: partial(spark.read.schema(struct_type(name)).parquet, f"{folder}/{name}")
-            for name in TABLE_SPECS
-        }
+        **{name: partial(spark.read.schema(struct_type(name)).parquet, paths[name]) for name in TABLE_SPECS}
     )
 
 
@@ -97,12 +102,14 @@ def replace_folders(spark: SparkSession, source: str, target: str, names: Iterab
 
 
 def save_tables(tables: Tables, database: str) -> Tables:
-    """Replaces the tables in a catalog database and returns them as read from it."""
+    """Replaces the tables in a catalog database, as one version, and returns them as read from it."""
     spark = tables.orders.sparkSession
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
-    for name, df in tables.items():
-        df.write.mode("overwrite").format("parquet").saveAsTable(f"`{database}`.`{name}`")
-    return Tables(**{name: partial(spark.table, f"`{database}`.`{name}`") for name in TABLE_SPECS})
+    return Tables(**catalog.save(spark, database, "tables", TABLE_SPECS, lambda name, _: tables[name]))
+
+
+def open_tables(spark: SparkSession, database: str) -> Tables:
+    """The tables of the newest version saved in a catalog database."""
+    return Tables(**catalog.open_saved(spark, database, "tables"))
 
 
 def register(frames: Mapping[str, DataFrame]) -> None:

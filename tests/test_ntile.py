@@ -1,18 +1,20 @@
-import os
+import pathlib
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parcelwise.operators import distributed_ntile
+from parcelwise.operators import SortKey, distributed_ntile
+from parcelwise.operators.ntile import range_bounds
+from parcelwise.sources import scratch_folder
 
 
 def order():
-    return [F.col("v").asc_nulls_last(), F.col("id").asc()]
+    return [SortKey("v"), SortKey("id")]
 
 
 def plain(df, n):
-    return df.withColumn("tile", F.ntile(n).over(Window.orderBy(*order())))
+    return df.withColumn("tile", F.ntile(n).over(Window.orderBy(*(k.order() for k in order()))))
 
 
 def same(a, b):
@@ -33,22 +35,38 @@ def test_other_group_numbers(spark, n):
     assert same(distributed_ntile(df, n, order(), "tile"), plain(df, n))
 
 
-def test_one_value_in_a_third_of_the_rows_is_still_split_over_tasks(spark, conf):
-    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    df = spark.range(30_000).select("id", F.when(F.col("id") % 3 != 0, F.hash("id")).alias("v"))
+def test_one_value_in_a_third_of_the_rows_is_still_split_over_tasks(spark):
+    df = spark.range(60_000).select("id", F.when(F.col("id") % 3 != 0, F.hash("id")).alias("v"))
     ours = distributed_ntile(df, 4, order(), "tile")
     assert same(ours, plain(df, 4))
     sizes = [r["count"] for r in ours.groupBy("tile").count().collect()]
-    assert sizes == [7500] * 4
-    # 10,000 rows share the NULL value, yet no sort partition holds nearly that many.
-    files = spark.read.parquet(os.path.dirname(ours.inputFiles()[0])).groupBy("_metadata.file_path").count()
-    assert files.count() == 8 and files.agg(F.max("count")).first()[0] < 5000
-
-
-def test_places_are_fixed_once_written(spark):
-    df = spark.range(1000).select("id", F.rand().alias("v"))
-    ours = distributed_ntile(df, 4, order(), "tile")
-    assert ours.collect() == ours.collect()
+    assert sizes == [15_000] * 4
+    # 20,000 rows share the NULL value, yet no range holds nearly that many.
+    bounds = range_bounds(df, order(), 8)
+    assert len(bounds) == 7 and sum(b["v"] is None for b in bounds) >= 2
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("nulls_last", [True, False])
+@pytest.mark.parametrize("kind", ["string", "decimal(12,2)", "timestamp_ntz", "double"])
+def test_orders_and_types(spark, ascending, nulls_last, kind):
+    raw = F.when(F.col("id") % 7 != 0, F.pmod(F.hash("id"), F.lit(900)) + F.lit(1000))
+    value = F.timestamp_add("SECOND", raw, F.lit("2020-01-01").cast("timestamp_ntz")) if kind == "timestamp_ntz" else raw.cast(kind)
+    df = spark.range(9000).select("id", value.alias("v"))
+    keys = [SortKey("v", ascending, nulls_last), SortKey("id", not ascending)]
+    want = df.withColumn("tile", F.ntile(7).over(Window.orderBy(*(k.order() for k in keys))))
+    assert same(distributed_ntile(df, 7, keys, "tile"), want)
+
+
+def test_reruns_agree_and_nothing_is_written(spark):
+    folder = pathlib.Path(scratch_folder(spark))
+    files = sorted(folder.rglob("*"))
+    df = spark.range(50_000).select("id", (F.hash("id") % 1000).alias("v"))
+    first = distributed_ntile(df, 4, order(), "tile")
+    again = distributed_ntile(df.repartition(13), 4, order(), "tile")
+    assert same(first, again) and sorted(first.collect()) == sorted(first.collect())
+    assert sorted(folder.rglob("*")) == files
+    assert range_bounds(df, order(), 8) == range_bounds(df.repartition(5), order(), 8)
 
 
 def test_rejects_no_groups(spark):
