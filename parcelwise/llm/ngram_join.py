@@ -1,15 +1,16 @@
 """Jaccard join of documents on word shingles, filtered under several global token orders.
 
-A pair that reaches the threshold shares a token in its prefixes under *every* global order of the
-tokens. Candidates are found by an equi-join on the prefixes of a first order, then must also overlap
-in the prefixes of a second one, before the whole sets are intersected. Both orders put tokens last that are
-frequent in the corpus, or likely to recur by chance because their words are frequent, and differ in the hash that
-orders the rest. Frequencies come from counters of a fixed number over the whole corpus. They only shape the
-order, which never affects the result.
-
-Equal sets are one class. Within a token's bucket, members are first compared with a few heads; pairs
-already connected need no comparison, and all pairs of different components that remain are then compared.
-So every component is exact, while a group of thousands of near copies costs work in proportion to it.
+A pair that reaches the threshold shares a number of tokens in its prefixes under *every* global order of the
+tokens, a number that grows with the sets. So a set is dropped as soon as its prefix under one order shares too few tokens with those
+of all sets left, and the filters of three orders are intersected, one after the other, before any pair is built. All orders put
+tokens last that are frequent in the corpus, or likely to recur by chance because their words are frequent, and differ
+in the hash that orders the rest. Frequencies come from counters of a fixed number over the whole corpus. They only shape
+the orders, which never affect the result.
+
+Equal sets are one class. Within a token's bucket, members are first compared with a few heads; sets already connected
+need no comparison, and the filter is repeated on the buckets that still hold several components. Of what is left, pairs
+are built from the rarest tokens of each set, and verified. So every component is exact, while a group of thousands of near copies costs
+work in proportion to it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.llm import words as W
 from parcelwise.llm.graph import components
-from parcelwise.llm.tables import kept
+from parcelwise.llm.tables import dropped, kept
 
 TOKEN_CELLS = 1 << 19  # counters of shingles: half a MB for each task; a hundredth of the corpus' words is a good size
 WORD_CELLS = 1 << 16  # counters of words, behind them
@@ -33,24 +34,35 @@ CHANCE = 0.01  # expected occurrences of a shingle by the frequency of its words
 CROWDED = 1 / 256  # of the tasks' sets at a counter, above which the rows of its tokens are dealt over DEALS tasks
 DEALS = 32
 MORE_ROUNDS = 6  # rounds of heads after the first, before the remaining pairs are compared
+SIZE_CLASS = 1.05  # largest size in a class of sizes over the smallest
 
 
 def _ceil_div(a, b):
     return -(-a // b)
 
 
-def _least_shared(n):
-    """Tokens that prefixes are long enough to share."""
-    return n // 32 + 1
+# Tokens that prefixes are long enough to share: one for every so many of a set, and one more. The first order sees all
+# sets and has short prefixes; the others see what it leaves.
+SHARES = (32, 8, 8)
 
 
-def _prefix(n: int, percent: int) -> int:
-    """Length of a prefix in which a set shares its ``_least_shared`` tokens with any set similar to it.
+def _prefix(n: int, percent: int, share: int) -> int:
+    """Length of a prefix in which a set shares ``n // share + 1`` tokens with any set similar to it and no smaller.
 
     If the common tokens are z1, z2, ... by the order, at most ``n - ceil(n * percent / 100) + k`` tokens of
-    either set come before or at zk. So two prefixes share at least the smaller ``_least_shared``.
+    either set come before or at zk. So two prefixes share at least what the smaller set's is made for.
     """
-    return n - _ceil_div(n * percent, 100) + _least_shared(n)
+    return n - _ceil_div(n * percent, 100) + n // share + 1
+
+
+def _fewest(percent: int, share: int = 0) -> Callable[[Column], Column]:
+    """Tokens that a set of ``n`` shares at least with any similar one, also a smaller: in prefixes, or in all (0)."""
+
+    def least(n: Column) -> Column:
+        smallest = F.ceil(n * percent / 100 - 1e-9)
+        return F.floor(smallest / share) + 1 if share else smallest
+
+    return least
 
 
 def _token_cells(tokens: np.ndarray) -> np.ndarray:
@@ -96,14 +108,21 @@ def _ordered(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
     return tokens[np.argsort((levels.astype(np.uint64) << np.uint64(56)) | (rank >> np.uint64(8)))]
 
 
+def _name(tokens: np.ndarray, names: dict[tuple[int, int], int]) -> int:
+    """The first hash of a set, or what it was renamed to because another set has the same."""
+    both = _set_id(tokens)
+    return names.get(both, both[0])
+
+
 def _set_id(tokens: np.ndarray) -> tuple[int, int]:
     """Two hashes that depend on the set alone."""
     return int(W.mix(tokens).sum().view(np.int64)), int(W.mix(tokens ^ W._MUL2).sum().view(np.int64))
 
 
 _INTS = pa.list_(pa.int32())
-_SUMMARY = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_shingles", "set_id", "check", "block")] + [("counts", _INTS)])
-_SUMMARY_SQL = "doc_id long, n_shingles long, set_id long, check long, block long, counts array<int>"
+_LONG_COLUMNS = ("doc_id", "text_key", "n_shingles", "set_id", "check", "block")
+_SUMMARY = pa.schema([(c, pa.int64()) for c in _LONG_COLUMNS] + [("counts", _INTS)])
+_SUMMARY_SQL = ", ".join(f"{c} long" for c in _LONG_COLUMNS) + ", counts array<int>"
 
 
 def _summary(*columns) -> pa.RecordBatch:
@@ -113,7 +132,7 @@ def _summary(*columns) -> pa.RecordBatch:
 def _blocks(counts: np.ndarray) -> pa.RecordBatch:
     rows = list(counts.astype(np.int32).reshape(-1, BLOCK))
     none = [None] * len(rows)
-    return _summary(none, none, none, none, range(len(rows)), rows)
+    return _summary(none, none, none, none, none, range(len(rows)), rows)
 
 
 def _summaries(width: int) -> Callable:
@@ -121,14 +140,14 @@ def _summaries(width: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
-        for ids, texts in W.rows_of(batches):
+        for ids, texts, text_keys in W.rows_of(batches):
             hashes = [W.word_hashes(W.words(t, lower=True)) for t in texts]
             sets = [np.unique(W.shingle_windows(h, width)) for h in hashes]
             counts[:TOKEN_CELLS] += np.bincount(_token_cells(np.concatenate(sets)), minlength=TOKEN_CELLS)
             counts[TOKEN_CELLS:] += np.bincount(_word_cells(np.concatenate(hashes)), minlength=WORD_CELLS)
             keys = [_set_id(s) if len(s) else (None, None) for s in sets]
             none = [None] * len(ids)
-            yield _summary(ids, [len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys], none, none)
+            yield _summary(ids, text_keys, [len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys], none, none)
         if counts.any():
             yield _blocks(counts)
 
@@ -154,24 +173,27 @@ def _token_order(sketches: DataFrame, tasks: int) -> TokenOrder:
     return TokenOrder(counts)
 
 
-def _prefix_rows(width: int, percent: int, order: TokenOrder) -> Callable:
-    """One row for each token in the first order's prefix, once for each set of a task.
+_ROWS_SQL = "token long, deal int, set_id long, n int"
+
+
+def _prefix_rows(width: int, percent: int, order: TokenOrder, number: int, names: dict) -> Callable:
+    """One row for each token in the prefix under an order, once for each set of a task.
 
     ``deal`` is 0, or for a token at a crowded counter one of 1 to ``DEALS``, by the set.
     """
-    fields = [("token", pa.int64()), ("deal", pa.int32())]
-    fields += [("set_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())]
+    fields = [("token", pa.int64()), ("deal", pa.int32()), ("set_id", pa.int64()), ("n", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for (texts,) in W.rows_of(batches):
+        for (texts,) in W.rows_of(batches, 64):
             out: list[tuple[np.ndarray, int, int]] = []
             for text in texts:
                 tokens, levels = order.token_set(text, width)
-                if not len(tokens) or (key := _set_id(tokens)[0]) in seen:
+                if not len(tokens) or (key := _name(tokens, names)) in seen:
                     continue
                 seen.add(key)
-                out.append((_ordered(tokens, levels, 0)[: _prefix(len(tokens), percent)], key, len(tokens)))
+                length = _prefix(len(tokens), percent, SHARES[number])
+                out.append((_ordered(tokens, levels, number)[:length], key, len(tokens)))
             if out:
                 lengths = [len(t) for t, _, _ in out]
                 tokens, keys = np.concatenate([t for t, _, _ in out]), np.array([k for _, k, _ in out], np.int64)
@@ -182,7 +204,6 @@ def _prefix_rows(width: int, percent: int, order: TokenOrder) -> Callable:
                         pa.array(np.where(order.crowded[_token_cells(tokens)], deals, np.int32(0))),
                         pa.array(np.repeat(keys, lengths)),
                         pa.array(np.repeat(np.array([n for _, _, n in out], np.int32), lengths)),
-                        pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])),
                     ],
                     schema=pa.schema(fields),
                 )
@@ -190,18 +211,18 @@ def _prefix_rows(width: int, percent: int, order: TokenOrder) -> Callable:
     return run
 
 
-def _whole_sets(width: int, percent: int, order: TokenOrder) -> Callable:
-    """The sets in the second order, cut behind the prefix."""
+def _whole_sets(width: int, percent: int, order: TokenOrder, number: int, names: dict) -> Callable:
+    """The sets in an order, cut behind the prefix."""
     longs = pa.list_(pa.int64())
     schema = pa.schema([("set_id", pa.int64()), ("n", pa.int64()), ("lead", longs), ("rest", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, wanted in W.rows_of(batches, 64):
+        for texts, wanted in W.rows_of(batches, 16):
             keys, sizes, leads, rests = [], [], [], []
             for text, want in zip(texts, wanted, strict=True):
                 tokens, levels = order.token_set(text, width)
-                if len(tokens) and _set_id(tokens)[0] == want:
-                    cut, tokens = _prefix(len(tokens), percent), W.signed(_ordered(tokens, levels, 1))
+                if len(tokens) and _name(tokens, names) == want:
+                    cut, tokens = _prefix(len(tokens), percent, SHARES[number]), W.signed(_ordered(tokens, levels, number))
                     keys.append(want)
                     sizes.append(len(tokens))
                     leads.append(tokens[:cut])
@@ -215,7 +236,7 @@ def _whole_sets(width: int, percent: int, order: TokenOrder) -> Callable:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
-    """The pairs (``a``, ``b``) that overlap under the second order too and reach the threshold."""
+    """The pairs (``a``, ``b``) that overlap under the third order too and reach the threshold."""
 
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("set_id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
@@ -228,7 +249,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> Da
     close = kept(
         sized.join(side("a", "lead"), "a")
         .join(side("b", "lead"), "b")
-        .where(F.size(F.array_intersect("lead_a", "lead_b")) >= _shared_by(F.col("n_a"), F.col("n_b")))
+        .where(F.size(F.array_intersect("lead_a", "lead_b")) >= F.floor(F.least("n_a", "n_b") / SHARES[2]) + 1)
         .select("a", "b"),
         f"{label}-candidates",
     )
@@ -243,11 +264,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> Da
     )
 
 
-def _shared_by(n: Column, m: Column) -> Column:
-    """Tokens that the prefixes of similar sets of these sizes share at least."""
-    return F.floor(F.least(n, m) / 32) + 1
-
-
 def _maybe_shared(rows: DataFrame) -> DataFrame:
     """The rows of tokens that several sets hold or that were dealt out, in one shuffle of all rows.
 
@@ -258,23 +274,79 @@ def _maybe_shared(rows: DataFrame) -> DataFrame:
     return ends.where("low != high OR deal > 0").drop("deal", "low", "high")
 
 
-def _in_shared_buckets(rows: DataFrame) -> DataFrame:
-    """The rows of tokens that several sets hold, with the smallest and the largest of them."""
-    shared = rows.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low != high")
-    return rows.join(shared, "token")
-
-
 def _ends(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _peeled(rows: DataFrame, least: Callable[[Column], Column], label: str) -> DataFrame:
+    """The rows of sets that share at least ``least(n)`` tokens with others, told apart by ``part`` if there is one.
+
+    Only rows of tokens that others hold are left. Dropping a set can leave others with too few, so it is repeated while it
+    drops a tenth of the rows. ``rows`` is read twice, so it should be a written table or cheap.
+    """
+    part = "part" if "part" in rows.columns else "set_id"
+    written = None
+    while True:
+        mixed = rows.groupBy("token").agg(F.min(part).alias("low"), F.max(part).alias("high")).where("low != high")
+        shared = rows.join(mixed.select("token"), "token")
+        enough = (
+            shared.groupBy("set_id")
+            .agg(F.count("*").alias("shared"), F.max("n").alias("n"))
+            .where(F.col("shared") >= least(F.col("n")))
+        )
+        rows = kept(shared.join(enough.select("set_id"), "set_id"), label)
+        if written is not None:
+            dropped(written[0])
+        n = rows.count()
+        if not n or (written and n > 0.9 * written[1]):
+            return rows
+        written = rows, n
+
+
+def _class_of(n: Column) -> Column:
+    return F.floor(F.log(n) / float(np.log(SIZE_CLASS))).cast("int")
+
+
+def _overlap(n: Column, m: Column, percent: int) -> Column:
+    """Common tokens that two sets of these sizes need."""
+    return F.ceil((n + m) * percent / (100 + percent) - 1e-9)
+
+
+def _peeled_by_size(rows: DataFrame, percent: int, label: str) -> DataFrame:
+    """Rows of whole sets that share enough tokens with sets of other components of one size class, with ``least``.
+
+    How much a pair must share depends on both sizes, so tokens are counted for each class of partners' sizes; ``least`` is the smallest
+    such number among the classes where a set has enough. A set that differs from all others in a few more tokens
+    than a pair may is dropped here, before any of its pairs is built, however large its group is.
+    """
+    written = None
+    while True:
+        held = rows.groupBy("token", _class_of(F.col("n")).alias("class")).agg(
+            F.min("part").alias("low"), F.max("part").alias("high"), F.min("n").alias("small"), F.max("n").alias("large")
+        )
+        n, partner = F.col("n"), F.greatest(F.min("small"), F.ceil(F.first("n") * percent / 100 - 1e-9))
+        met = (
+            rows.join(held, "token")
+            .where("low != part OR high != part")
+            .where((F.col("large") * 100 >= n * percent) & (F.col("small") * percent <= n * 100))
+            .groupBy("set_id", "class")
+            .agg(F.count("*").alias("shared"), _overlap(F.first("n"), partner, percent).alias("least"))
+            .where("shared >= least")
+        )
+        enough = met.groupBy("set_id").agg(F.min("least").alias("least"))
+        fewer = kept(rows.drop("least").join(enough, "set_id"), label)
+        if written is not None:
+            dropped(written[0])
+        left = fewer.count()
+        if not left or (written and left > 0.9 * written[1]):
+            return fewer
+        rows, written = fewer, (fewer, left)
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Bucket rows with the component of their set, without buckets that hold one component only."""
-    joined = rows.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
-        "part", F.coalesce("label", "set_id")
-    ).drop("label")
-    mixed = joined.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y")
-    return joined.join(mixed.select("token"), "token")
+    """Bucket rows with the component of their set."""
+    joined = rows.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+    return joined.withColumn("part", F.coalesce("label", "set_id")).drop("label")
 
 
 def _open_pairs(rows: DataFrame) -> tuple[int, int]:
@@ -285,50 +357,93 @@ def _open_pairs(rows: DataFrame) -> tuple[int, int]:
     return int(total[0] or 0), int(total[1] or 0)
 
 
-def _closest_heads(rows: DataFrame) -> DataFrame:
-    """For each set, the one of its buckets' heads (``head``) that it shares most tokens with."""
-    counted = rows.where("set_id != head").groupBy("set_id", "head").agg(F.count("*").alias("shared"))
+def _head_pairs(rows: DataFrame, seed: int) -> DataFrame:
+    """For each set, the head of its buckets, of another component, that it shares most tokens with.
+
+    The head of a bucket is the set with the fewest tokens that no other set holds, the likeliest to be similar to the
+    others; of equal ones a seeded choice.
+    """
+    own = rows.groupBy("set_id").agg((F.max("n") - F.count("*")).alias("own"), F.first("part").alias("head_part"))
+    rank = F.struct("own", F.xxhash64(F.lit(seed), "set_id").alias("draw"), F.col("set_id").alias("head"), "head_part")
+    heads = rows.join(own, "set_id").groupBy("token").agg(F.min(rank).alias("best")).select("token", "best.head", "best.head_part")
+    met = rows.join(heads, "token").where("part != head_part")
+    counted = met.groupBy("set_id", "head").agg(F.count("*").alias("shared"))
     best = counted.groupBy("set_id").agg(F.max(F.struct("shared", "head")).alias("best"))
     return best.select(*_ends("set_id", F.col("best.head"))).distinct()
 
 
-def _head_pairs(rows: DataFrame, seed: int) -> DataFrame:
-    """Sets with a seeded head of another component."""
-    heads = rows.groupBy("token").agg(F.min(F.col("set_id").bitwiseXOR(F.lit(seed))).alias("head"))
-    heads = heads.withColumn("head", F.col("head").bitwiseXOR(F.lit(seed)))
-    parts = rows.select(F.col("set_id").alias("head"), F.col("part").alias("head_part")).distinct()
-    return _closest_heads(rows.join(heads, "token").join(parts, "head").where("part != head_part"))
+def _rare(rows: DataFrame) -> DataFrame:
+    """Of the rows of each set all but the ``least - 1`` most frequent tokens, with the largest component of each bucket.
+
+    Similar sets share at least ``least`` of their rows, so they share one of these, in any one order of all tokens.
+    """
+    sizes = rows.groupBy("token", "part").agg(F.count("*").alias("own"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("own", "part")).alias("main"), F.sum("own").alias("all"))
+    rows = rows.join(main.select("token", "all", F.col("main.part").alias("main")), "token")
+    total = F.count("*").over(Window.partitionBy("set_id"))
+    place = F.row_number().over(Window.partitionBy("set_id").orderBy("all", "token"))
+    rows = rows.withColumn("place", place).withColumn("total", total).where("place <= total - least + 1")
+    return rows.select("token", "set_id", "part", "n", "main")
 
 
 def _remaining_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share a bucket and may reach the threshold.
+    """All pairs of different components that share a rare row and may reach the threshold by their sizes.
 
     The component with most rows of a bucket is never paired with itself, not even to be refused.
     """
-    sizes = rows.groupBy("token", "part").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("n", "part")).alias("main")).select("token", "main.part")
-    main = main.withColumnRenamed("part", "main")
-    rows = rows.join(main, "token")
-    minor = rows.where("part != main").select(
-        "token", *(F.col(c).alias(f"{c}_x") for c in ("set_id", "part", "n", "pos"))
-    )
-    n_x, n_y, pos_x, pos_y = F.col("n_x"), F.col("n"), F.col("pos_x"), F.col("pos")
-    # The smaller set's tokens stand further ahead, as its partner is no smaller; one more, for rounding.
-    ahead = lambda n: n - F.ceil(n * (2 * percent) / (100 + percent)) + F.floor(n / 32) + 2
-    possible = F.least(n_x - pos_x, n_y - pos_y) + F.least(pos_x, pos_y)
+    rows = kept(_rare(rows), "rare")
+    minor = rows.where("part != main").select("token", *(F.col(c).alias(f"{c}_x") for c in ("set_id", "part", "n")))
+    n_x, n_y = F.col("n_x"), F.col("n")
     return (
         minor.join(rows, "token")
         .where("part != part_x AND (part_x < part OR part = main)")
         .where(F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent)
-        .where(F.when(n_x <= n_y, pos_x < ahead(n_x)).otherwise(pos_y < ahead(n_y)))
-        .where(possible * (100 + percent) >= (n_x + n_y) * percent)
-        .groupBy(*_ends("set_id_x", "set_id"))
-        .agg(F.count("*").alias("shared"), F.min(_shared_by(n_x, n_y)).alias("least"))
-        .where("shared >= least")
-        .select("a", "b")
+        .select(*_ends("set_id_x", "set_id"))
+        .distinct()
     )
 
 
+def _renamed(classes: DataFrame) -> dict[tuple[int, int], int]:
+    """New names for sets that share their first hash with another set, by both hashes.
+
+    Of sets with one first hash all but the one with the smallest second hash are renamed. Even of 2**36 sets about a hundred are.
+    """
+    least = classes.groupBy("set_id").agg(F.min("check").alias("least"), F.count("*").alias("n")).where("n > 1")
+    doubles = classes.join(least, "set_id").where("check != least").select("set_id", "check").collect()
+    names: dict[tuple[int, int], int] = {}
+    salt = 0
+    while len(names) < len(doubles):
+        salt += 1
+        todo = [tuple(r) for r in doubles if tuple(r) not in names]
+        tried = {k: int(W.mix(np.array(k, np.int64).view(np.uint64) + np.uint64(salt)).sum().view(np.int64)) for k in todo}
+        wanted = list(tried.values())
+        taken = {r["set_id"] for r in classes.where(F.col("set_id").isin(wanted)).select("set_id").collect()} | set(names.values())
+        for key, name in tried.items():
+            if name not in taken and wanted.count(name) == 1:
+                names[key] = name
+    return names
+
+
+def _with_names(df: DataFrame, names: dict[tuple[int, int], int]) -> DataFrame:
+    """``set_id`` as renamed."""
+    if not names:
+        return df.drop("check")
+    rows = [(*key, name) for key, name in names.items()]
+    table = F.broadcast(df.sparkSession.createDataFrame(rows, "set_id long, check long, renamed long"))
+    return df.join(table, ["set_id", "check"], "left").withColumn("set_id", F.coalesce("renamed", "set_id")).drop("check", "renamed")
+
+
+BROADCAST_SETS = 2_000_000  # 16 bytes each
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
+    """A text and the name of each wanted set. Up to ``BROADCAST_SETS`` ids are sent to the texts, more are joined."""
+    ids = kept(wanted.join(classes, "set_id").select("set_id", F.col("first_id").alias("doc_id")), "wanted")
+    if ids.count() <= BROADCAST_SETS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id").select("text", "set_id")
+
+
 def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` for every row of ``docs`` (``doc_id``, ``text``).
 
@@ -339,68 +454,120 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     Null and empty texts have no shingles, link with nothing and are components of their own. Rows without
     an id get component null and link nothing. Repeated rows are each returned. Texts of fewer than
     ``width`` words have their whole sequence as one shingle. An empty table gives no rows; further columns
-    are ignored. Sets are named by 64-bit hashes; two different sets of one name stop the job.
+    are ignored. Texts are read whole. Sets are told apart by 128 bits of hash.
+    """
+    return grouped(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """:func:`near_duplicates` with ``text_key``, ``xxhash64`` of the text, and ``group_id``, one name for all rows of a component.
+
+    ``group_id`` tells components apart that have the same smallest id, because an id is repeated with other texts. It is null
+    without shingles and without an id.
     """
-    docs = docs.select("doc_id", "text")
-    summary = kept(docs.mapInArrow(_summaries(width), _SUMMARY_SQL), "summaries")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    summary = kept(keyed.mapInArrow(_summaries(width), _SUMMARY_SQL), "summaries")
     sketches = summary.where("block IS NOT NULL").select("block", "counts")
     order = _token_order(sketches, sketches.where("block = 0").count())
-    members = summary.where("block IS NULL").select("doc_id", "n_shingles", "set_id", "check")
-    classes = kept(
-        members.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
-        .groupBy("set_id")
-        .agg(F.min("doc_id").alias("first_id"), F.min("check").alias("x"), F.max("check").alias("y")),
-        "classes",
+    members = summary.where("block IS NULL").select("doc_id", "text_key", "n_shingles", "set_id", "check")
+    classes = members.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id", "check")
+    classes = kept(classes.agg(F.min("doc_id").alias("first_id")), "classes")
+    names = _renamed(classes)
+    members, classes = _with_names(members, names), _with_names(classes, names)
+    labels = components(_links(docs, classes, order, names, width, percent))
+
+    named = classes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
+        "group_id", F.coalesce("label", "set_id")
+    )
+    smallest = named.groupBy("group_id").agg(F.min("first_id").alias("component_id"))
+    named = kept(named.join(smallest, "group_id").select("set_id", "group_id", "component_id"), "components")
+    own = F.col("doc_id")
+    return members.join(named, "set_id", "left").select(
+        "doc_id",
+        "text_key",
+        "n_shingles",
+        F.when(own.isNotNull(), F.col("group_id")).alias("group_id"),
+        F.when(own.isNotNull(), F.coalesce("component_id", own)).alias("component_id"),
     )
-    if classes.where("x != y").count():
-        raise ValueError("two different shingle sets have one 64-bit name")
 
-    rows = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(
-        _prefix_rows(width, percent, order), "token long, deal int, set_id long, n int, pos int"
+
+def one_of_each_group(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, and of its texts the one with the smallest hash.
+
+    Decided for each row by its id and text, so a text stays although its id is repeated with a copy of another one. Rows
+    without an id and texts without shingles belong to no component and stay. Of equal rows one stays. All columns stay as they are;
+    an empty table stays empty. The keys of rows that go are sent to the texts, up to ``BROADCAST_SETS`` of them, and joined beyond.
+    """
+    found = kept(grouped(docs, width, percent).where("group_id IS NOT NULL").select("doc_id", "text_key", "group_id"), "groups")
+    rows = found.groupBy("group_id", "doc_id", "text_key").agg(F.count("*").alias("copies"))
+    best = found.groupBy("group_id").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
+    told = kept(
+        rows.join(best, "group_id").select(
+            F.col("doc_id").alias("row_id"),
+            F.col("text_key").alias("row_key"),
+            (F.struct("doc_id", "text_key") == F.col("best")).alias("stays"),
+            "copies",
+        ),
+        "decisions",
     )
-    rows = kept(_maybe_shared(rows), "prefixes")
-    rows = kept(_in_shared_buckets(rows.distinct()).drop("low", "high"), "buckets")
-    fewest = F.floor(F.max("n") * percent / 100 / 32 - 1e-9) + 1  # of any partner
-    enough = rows.groupBy("set_id").agg(F.count("*").alias("shared"), fewest.alias("fewest")).where("shared >= fewest")
-    rows = kept(_in_shared_buckets(rows.join(enough.select("set_id"), "set_id")), "filtered")
-    wanted = rows.select("set_id").distinct().join(classes, "set_id").select("set_id", F.col("first_id").alias("doc_id"))
+
+    def of(keys: DataFrame, how: str) -> DataFrame:
+        if keys.count() <= BROADCAST_SETS:
+            keys = F.broadcast(keys)
+        return left.join(keys, (left["doc_id"] == keys["row_id"]) & (F.xxhash64(left["text"]) == keys["row_key"]), how)
+
+    left = docs
+    left = of(told.where("NOT stays").select("row_id", "row_key"), "left_anti")
+    repeated = told.where("stays AND copies > 1").select("row_id", "row_key")
+    if repeated.isEmpty():
+        return left
+    return of(repeated, "left_anti").unionByName(of(repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def _survivors(docs: DataFrame, classes: DataFrame, rows_of: Callable[[int], Callable], percent: int) -> DataFrame:
+    """The names of the sets that pass the filters of all orders."""
+    texts = docs.where("doc_id IS NOT NULL").select("text")
+    rows = kept(_maybe_shared(texts.mapInArrow(rows_of(0), _ROWS_SQL)).distinct(), "prefixes")
+    for number, share in enumerate(SHARES):
+        if number:
+            rows = _texts_of(docs, wanted, classes).select("text").mapInArrow(rows_of(number), _ROWS_SQL)
+            rows = kept(rows.drop("deal").distinct(), f"order-{number}")
+        left = _peeled(rows, _fewest(percent, share), f"filtered-{number}")
+        wanted = kept(left.select("set_id").distinct(), "passed")
+        dropped(rows, left)
+    return wanted
+
+
+def _links(docs: DataFrame, classes: DataFrame, order: TokenOrder, names: dict, width: int, percent: int) -> DataFrame:
+    """Similar pairs (``a``, ``b``) of sets, enough of them to connect every component."""
+    wanted = _survivors(docs, classes, lambda number: _prefix_rows(width, percent, order, number, names), percent)
+    last = len(SHARES) - 1
     sets = kept(
-        docs.join(wanted, "doc_id")
-        .select("text", "set_id")
-        .mapInArrow(
-            _whole_sets(width, percent, order), "set_id long, n long, lead array<long>, rest array<long>"
-        ),
+        _texts_of(docs, wanted, classes).mapInArrow(
+            _whole_sets(width, percent, order, last, names), "set_id long, n long, lead array<long>, rest array<long>"
+        ).dropDuplicates(["set_id"]),  # repeated rows give their set more than once
         "sets",
     )
-    if members.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").limit(1).count():
-        sets = sets.dropDuplicates(["set_id"])  # repeated rows give their set more than once
-
-    pairs = _closest_heads(rows.select("set_id", F.explode(F.array("low", "high")).alias("head")))
-    links = _verified(pairs, sets, percent, "links")
-    labels = components(links)
-    buckets = rows.select("token", "set_id", "n", "pos")
+    tokens = sets.select("set_id", "n", F.explode(F.concat("lead", "rest")).alias("token"))
+    rows = _peeled(tokens, _fewest(percent), "shared")
+    alone = rows.withColumn("part", F.col("set_id"))
+    links = _verified(_head_pairs(alone, 0), sets, percent, "links")
     before = float("inf")
-    for turn in range(MORE_ROUNDS + 1):
-        buckets = kept(_labelled(buckets.select("token", "set_id", "n", "pos"), labels), "open")
-        n_rows, n_pairs = _open_pairs(buckets)
-        if n_pairs <= 4 * n_rows or turn == MORE_ROUNDS or 2 * n_pairs > before:
-            break  # few are left, or they share tokens by chance and heads do not connect them
+    for turn in range(1, MORE_ROUNDS + 2):
+        open_ = _peeled(_labelled(rows.select("token", "set_id", "n"), components(links)), _fewest(percent), "open")
+        dropped(rows)
+        rows = _peeled_by_size(open_, percent, "open")
+        dropped(open_)
+        n_rows, n_pairs = _open_pairs(rows)
+        if n_pairs <= 4 * n_rows or turn > MORE_ROUNDS or 2 * n_pairs > before:
+            break  # few are left, or heads do not connect them
         before = n_pairs
-        more = _verified(_head_pairs(buckets, 0x5DEECE66D * (turn + 1)), sets, percent, "links")
+        more = _verified(_head_pairs(rows, turn), sets, percent, "links")
         if more.isEmpty():
             break
         links = links.unionByName(more)
-        labels = components(links)
     if n_pairs:
-        links = links.unionByName(_verified(_remaining_pairs(buckets, percent), sets, percent, "links"))
-        labels = components(links)
-
-    named = classes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
-        "label", F.coalesce("label", "set_id")
-    )
-    smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = kept(named.join(smallest, "label").select("set_id", "component_id"), "components")
-    own = F.col("doc_id")
-    return members.join(named, "set_id", "left").select(
-        "doc_id", "n_shingles", F.when(own.isNotNull(), F.coalesce("component_id", own)).alias("component_id")
-    )
+        links = links.unionByName(_verified(_remaining_pairs(rows, percent), sets, percent, "links"))
+    dropped(sets, rows)
+    return links

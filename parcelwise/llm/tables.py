@@ -11,7 +11,7 @@ from parcelwise.sources import store
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
-ARROW_ROWS = 2000
+ARROW_ROWS = 512
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +31,15 @@ def kept(df: DataFrame, label: str, **options: str) -> DataFrame:
     return store(df, label, **options)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more, so that a job of many steps holds the last ones only."""
+    for df in tables:
+        jvm, files = df.sparkSession._jvm, df.inputFiles()
+        if files:
+            path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def word_count(text):
     """Number of words of a text column, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

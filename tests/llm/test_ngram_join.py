@@ -74,3 +74,53 @@ def test_components(spark):
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {200: 200, 201: 200} | {500 + i: 500 for i in range(40)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def near_threshold(seed):
+    """One large group of copies with a few edits each, most pairs of which are close to the threshold."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(240):
+        words = base[: int(rng.integers(70, 81))]
+        for _ in range(int(rng.integers(1, 5))):
+            words[int(rng.integers(len(words)))] = f"e{rng.integers(60)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_group_near_the_threshold_equals_brute_force(spark, seed):
+    rows = near_threshold(seed)
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    want = brute(rows, 4, 85)
+    assert sorted(map(tuple, got)) == want
+    assert 5 < len({c for _, _, c in want}) < 235
+
+
+def test_sets_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With first hashes of one value in eight, so that most sets share theirs with others."""
+    whole = ngram_join._set_id
+    monkeypatch.setattr(ngram_join, "_set_id", lambda tokens: (whole(tokens)[0] % 8, whole(tokens)[1]))
+    rows = corpus(3)[:60]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    members = docs.select("doc_id", "text").rdd.map(tuple).collect()
+    classes = spark.createDataFrame(
+        sorted({(*ngram_join._set_id(s), 0) for _, t in members if len(s := np.unique(ngram_join.W.shingle_windows(ngram_join.W.word_hashes(ngram_join.W.words(t, lower=True)), 4)))}),
+        "set_id long, check long, first_id long",
+    )
+    names = ngram_join._renamed(classes)
+    renamed = ngram_join._with_names(classes, names)
+    assert len(names) > 20 and renamed.select("set_id").distinct().count() == classes.count()
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated ids with other texts, equal rows, rows without an id or text, and columns of clashing names."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, b + " more"), (4, c), (4, d), (5, None), (5, None), (None, a), (6, ""), (7, c.upper()), (1, a)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, group_id string, row_key int")
+    got = ngram_join.one_of_each_group(docs, 5, 80)
+    assert got.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert kept == sorted([(1, a), (2, b), (4, c), (4, d), (5, None), (5, None), (None, a), (6, "")], key=str)
+    assert ngram_join.one_of_each_group(docs.where("false"), 5, 80).collect() == []
