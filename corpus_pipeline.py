@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from parcelwise.llm import decontaminate, language_id, mixing, ngram_join, pii
 from parcelwise.llm.tables import kept, read
@@ -15,35 +14,30 @@ SIMILAR_PERCENT = 80
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is rejected go."""
+    """Documents whose language is rejected go; null and empty texts have none. Repeated rows are decided alike."""
     return language_id.with_known_language(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near duplicates the one with the smallest id stays; repeated ids stay once.
+    """Of the rows linked by near duplicates the one with the smallest id stays, of equal rows one.
 
-    Documents without an id belong to no group and stay.
+    Decided by row, so a text is kept though its id is repeated with a copy. Null and empty texts and rows without an id stay.
     """
-    found = kept(ngram_join.near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT), "groups")
-    copies = found.where("doc_id != component_id").select("doc_id").distinct()
-    left = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
+    return ngram_join.one_of_each_group(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts hold none and stay; repeated rows are decided alike."""
     return decontaminate.without_benchmark(docs, read(spark, sf_dir, "benchmark"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by labels; all documents stay."""
+    """Personal data is replaced by labels; all rows stay, null and empty texts as they are."""
     return pii.redacted(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the number of its words that the mix takes."""
+    """Every row with the number of its words that the mix takes; null and empty texts have size 0 and give 0."""
     return mixing.mix(docs)
 
 
