@@ -16,6 +16,7 @@ work in proportion to it.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ CHANCE = 0.01  # expected occurrences of a shingle by the frequency of its words
 CROWDED = 1 / 256  # of the tasks' sets at a counter, above which the rows of its tokens are dealt over DEALS tasks
 DEALS = 32
 MORE_ROUNDS = 6  # rounds of heads after the first, before the remaining pairs are compared
+PAIR_CELLS = 48  # counters of a set's tokens by hash, that bound what a pair has in common
 SIZE_CLASS = 1.05  # largest size in a class of sizes over the smallest
 
 
@@ -241,15 +243,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> Da
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("set_id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
-    sized = (
-        pairs.join(side("a", "n"), "a")
-        .join(side("b", "n"), "b")
-        .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    )
+    sizes_fit = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    least = F.floor(F.least("n_a", "n_b") / SHARES[2]) + 1
     close = kept(
-        sized.join(side("a", "lead"), "a")
-        .join(side("b", "lead"), "b")
-        .where(F.size(F.array_intersect("lead_a", "lead_b")) >= F.floor(F.least("n_a", "n_b") / SHARES[2]) + 1)
+        pairs.join(side("a", "n", "lead"), "a")
+        .join(side("b", "n", "lead"), "b")
+        .where(sizes_fit & (F.size(F.array_intersect("lead_a", "lead_b")) >= least))
         .select("a", "b"),
         f"{label}-candidates",
     )
@@ -278,29 +277,20 @@ def _ends(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _peeled(rows: DataFrame, least: Callable[[Column], Column], label: str) -> DataFrame:
-    """The rows of sets that share at least ``least(n)`` tokens with others, told apart by ``part`` if there is one.
-
-    Only rows of tokens that others hold are left. Dropping a set can leave others with too few, so it is repeated while it
-    drops a tenth of the rows. ``rows`` is read twice, so it should be a written table or cheap.
-    """
+def _enough(rows: DataFrame, least: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """The rows of tokens that several sets hold, or several components if rows have a ``part``, and the sets with
+    at least ``least(n)`` of them."""
     part = "part" if "part" in rows.columns else "set_id"
-    written = None
-    while True:
-        mixed = rows.groupBy("token").agg(F.min(part).alias("low"), F.max(part).alias("high")).where("low != high")
-        shared = rows.join(mixed.select("token"), "token")
-        enough = (
-            shared.groupBy("set_id")
-            .agg(F.count("*").alias("shared"), F.max("n").alias("n"))
-            .where(F.col("shared") >= least(F.col("n")))
-        )
-        rows = kept(shared.join(enough.select("set_id"), "set_id"), label)
-        if written is not None:
-            dropped(written[0])
-        n = rows.count()
-        if not n or (written and n > 0.9 * written[1]):
-            return rows
-        written = rows, n
+    mixed = rows.groupBy("token").agg(F.min(part).alias("low"), F.max(part).alias("high")).where("low != high")
+    shared = rows.join(mixed.select("token"), "token")
+    counted = shared.groupBy("set_id").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
+    return shared, counted.where(F.col("shared") >= least(F.col("n"))).select("set_id")
+
+
+def _peeled(rows: DataFrame, least: Callable[[Column], Column], label: str) -> DataFrame:
+    """The shared rows of the sets that have enough of them."""
+    shared, enough = _enough(rows, least)
+    return kept(shared.join(enough, "set_id"), label)
 
 
 def _class_of(n: Column) -> Column:
@@ -375,31 +365,48 @@ def _head_pairs(rows: DataFrame, seed: int) -> DataFrame:
 def _rare(rows: DataFrame) -> DataFrame:
     """Of the rows of each set all but the ``least - 1`` most frequent tokens, with the largest component of each bucket.
 
-    Similar sets share at least ``least`` of their rows, so they share one of these, in any one order of all tokens.
+    Similar sets share at least ``least`` of their rows, so they share one of these, in any one order of all tokens. ``place``
+    is a row's place in that order, of ``total``; ``cells`` counts the rows of the set by hash of their token.
     """
     sizes = rows.groupBy("token", "part").agg(F.count("*").alias("own"))
     main = sizes.groupBy("token").agg(F.max(F.struct("own", "part")).alias("main"), F.sum("own").alias("all"))
+    cell = F.pmod(F.xxhash64("token"), F.lit(PAIR_CELLS))
+    cells = rows.groupBy("set_id").agg(F.array(*(F.count_if(cell == i).cast("int") for i in range(PAIR_CELLS))).alias("cells"))
     rows = rows.join(main.select("token", "all", F.col("main.part").alias("main")), "token")
     total = F.count("*").over(Window.partitionBy("set_id"))
     place = F.row_number().over(Window.partitionBy("set_id").orderBy("all", "token"))
     rows = rows.withColumn("place", place).withColumn("total", total).where("place <= total - least + 1")
-    return rows.select("token", "set_id", "part", "n", "main")
+    return rows.select("token", "set_id", "part", "n", "main", "place", "total").join(cells, "set_id")
 
 
 def _remaining_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share a rare row and may reach the threshold by their sizes.
+    """All pairs of different components that share a rare row and may reach the threshold.
 
-    The component with most rows of a bucket is never paired with itself, not even to be refused.
+    They may by their sizes, by the places of the shared token, and by the counts of their cells: two sets
+    have no more tokens of a cell in common than the smaller count. This bound is close where sets miss few tokens, so
+    near copies that are not quite similar are not built as pairs. The component with most rows of a bucket is
+    never paired with itself, not even to be refused.
     """
     rows = kept(_rare(rows), "rare")
-    minor = rows.where("part != main").select("token", *(F.col(c).alias(f"{c}_x") for c in ("set_id", "part", "n")))
+    sides = ("set_id", "part", "n", "place", "total", "cells")
+    minor = rows.where("part != main").select("token", *(F.col(c).alias(f"{c}_x") for c in sides))
     n_x, n_y = F.col("n_x"), F.col("n")
+    least = _overlap(n_x, n_y, percent)
+    ahead = F.least("place", "place_x")
+    behind = F.least(F.col("total") - F.col("place"), F.col("total_x") - F.col("place_x"))
+    common = reduce(lambda a, b: a + b, (F.least(F.get("cells", F.lit(i)), F.get("cells_x", F.lit(i))) for i in range(PAIR_CELLS)))
+    possible = (
+        (F.col("part") != F.col("part_x"))
+        & ((F.col("part_x") < F.col("part")) | (F.col("part") == F.col("main")))
+        & (F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent)
+        & (F.col("place") <= F.col("total") - least + 1)
+        & (F.col("place_x") <= F.col("total_x") - least + 1)
+        & (ahead + behind >= least)
+        & (common >= least)
+    )
+    right = rows.withColumnRenamed("token", "token_y")
     return (
-        minor.join(rows, "token")
-        .where("part != part_x AND (part_x < part OR part = main)")
-        .where(F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent)
-        .select(*_ends("set_id_x", "set_id"))
-        .distinct()
+        minor.join(right, (F.col("token") == F.col("token_y")) & possible).select(*_ends("set_id_x", "set_id")).distinct()
     )
 
 
@@ -533,9 +540,8 @@ def _survivors(docs: DataFrame, classes: DataFrame, rows_of: Callable[[int], Cal
         if number:
             rows = _texts_of(docs, wanted, classes).select("text").mapInArrow(rows_of(number), _ROWS_SQL)
             rows = kept(rows.drop("deal").distinct(), f"order-{number}")
-        left = _peeled(rows, _fewest(percent, share), f"filtered-{number}")
-        wanted = kept(left.select("set_id").distinct(), "passed")
-        dropped(rows, left)
+        wanted = kept(_enough(rows, _fewest(percent, share))[1], "passed")
+        dropped(rows)
     return wanted
 
 
