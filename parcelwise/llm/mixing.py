@@ -1,9 +1,9 @@
-"""Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
+"""Mixing sources to target weights by Sainte-Laguë apportionment.
 
-Blocks are dealt to sources by the highest quotients of target and odd numbers, then within a source to its
-shards by their sizes. In a shard the documents are laid in a seeded order and cut into blocks; whole passes
-and a seeded, evenly spread choice of blocks fill its quota. Only sizes of sources and shards reach
-the driver, both of a bounded number.
+Each word of the mix is a seat, dealt to sources by the highest quotients of target and odd numbers, then within a source to
+its shards by their sizes. In a shard the documents are laid in a seeded order and cut into blocks of equal length; whole
+passes and a seeded, evenly spread choice of blocks fill its quota. A small shard has small blocks, so that a source of a few words gets
+its share too. Only sizes of sources and shards reach the driver.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from parcelwise.llm.tables import word_count
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2
-BLOCK_WORDS = 128
+BLOCK_WORDS = 128  # at most
+LEAST_BLOCKS = 128  # of a shard, where it has as many words
 SHARD_WORDS = 65_536
 MAX_SHARDS = 100_000  # for all sources together, besides one each; shards grow beyond it
-MAX_SOURCES = 100_000  # more are refused
+BROADCAST_SOURCES = 100_000  # sent to all tasks; more are joined
 SEED = 20_240_229
 
 
@@ -75,9 +76,9 @@ def sainte_lague(votes: list[float], seats: int, caps: list[int] | None = None)
     return out
 
 
-def _taken_before(x: Column, block: int) -> Column:
+def _taken_before(x: Column) -> Column:
     """Words taken of the first ``x`` words of a shard in its last, partial pass."""
-    blocks, rest, turn = F.col("mix_blocks"), F.col("mix_rest"), F.col("mix_turn")
+    block, blocks, rest, turn = F.col("mix_length"), F.col("mix_blocks"), F.col("mix_rest"), F.col("mix_turn")
 
     def chosen(k: Column) -> Column:
         return F.floor((k + turn) * rest / blocks) - F.floor(turn * rest / blocks)
@@ -98,16 +99,15 @@ def mix(
 
     ``size`` counts the words of ``text`` (null: 0). Sources are ordered by code point with null last and
     weigh ``weights``, repeating. ``taken`` is the number of a document's words in the mix, repeats
-    counted, at most ``most`` times its size; over a source it comes within a block per shard of the target. The
+    counted, at most ``most`` times its size; over a source it comes within half a block per shard of the target, a block being
+    a word, 128 words, or a 128th of the shard. The
     result depends on rows and seed only: order and repeated runs do not change it. Repeated rows are
     documents of their own; empty tables give no rows. Existing columns of these names are replaced.
     """
     ours = ("size", "source_size", "target", "taken")
     docs = docs.drop(*ours).withColumn("size", word_count(F.col("text")))
     spark = docs.sparkSession
-    found = docs.groupBy("source").agg(F.sum("size").alias("words")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    found = docs.groupBy("source").agg(F.sum("size").alias("words")).collect()  # a row for each source
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["words"] for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most)
@@ -124,7 +124,9 @@ def mix(
         ]
     )
     rows = [(r["source"], i, counts[i], sizes[i], goal[i]) for i, r in enumerate(found)]
-    sources = F.broadcast(spark.createDataFrame(rows, names))  # at most MAX_SOURCES rows
+    small = len(rows) <= BROADCAST_SOURCES
+    sources = spark.createDataFrame(rows, names)
+    sources = F.broadcast(sources) if small else sources
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     dealt = (
         docs.join(sources, docs["source"].eqNullSafe(F.col("mix_source")))
@@ -134,21 +136,23 @@ def mix(
 
     shards = (
         dealt.groupBy("mix_index", "mix_shard").agg(F.sum("size").alias("words")).orderBy("mix_index", "mix_shard").collect()
-    )  # at most MAX_SHARDS + MAX_SOURCES rows
-    total = sum(goal)
-    seats = sainte_lague(goal, round(total / block), [-(-most * s // block) for s in sizes])
+    )  # at most MAX_SHARDS rows, and one for each source
+    seats = sainte_lague(goal, round(sum(goal)), [most * s for s in sizes])
     by_source: dict[int, list] = {}
     for r in shards:
         by_source.setdefault(r["mix_index"], []).append(r)
     plan = []
     for i, own in by_source.items():
-        blocks = [-(-r["words"] // block) for r in own]
-        given = sainte_lague([float(r["words"]) for r in own], seats[i], [most * b for b in blocks])
-        for r, b, q in zip(own, blocks, given, strict=True):
-            full = min(most, q // b) if b else 0
-            plan.append((i, r["mix_shard"], b, full, q - full * b if full < most else 0))
-    shard_type = "mix_index int, mix_shard long, mix_blocks long, mix_full long, mix_rest long"
-    quota = F.broadcast(spark.createDataFrame(plan, shard_type))
+        given = sainte_lague([float(r["words"]) for r in own], seats[i], [most * r["words"] for r in own])
+        for r, quota in zip(own, given, strict=True):
+            words = r["words"]
+            length = max(1, min(block, words // LEAST_BLOCKS))
+            full = min(most, quota // words) if words else 0
+            rest = round((quota - full * words) / length) if full < most else 0
+            plan.append((i, r["mix_shard"], length, -(-words // length), full, rest))
+    shard_type = "mix_index int, mix_shard long, mix_length long, mix_blocks long, mix_full long, mix_rest long"
+    quota = spark.createDataFrame(plan, shard_type)
+    quota = F.broadcast(quota) if small else quota
 
     line = Window.partitionBy("mix_index", "mix_shard").orderBy("mix_key", "doc_id", "size")
     end = F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))
@@ -157,7 +161,7 @@ def mix(
     ).otherwise(0)
     last = F.col("mix_end")
     partial = F.when(
-        (F.col("mix_rest") > 0) & (F.col("size") > 0), _taken_before(last, block) - _taken_before(last - F.col("size"), block)
+        (F.col("mix_rest") > 0) & (F.col("size") > 0), _taken_before(last) - _taken_before(last - F.col("size"))
     ).otherwise(0)
     return (
         dealt.withColumn("mix_end", end)

@@ -42,6 +42,23 @@ def empty(df):
 # -- mixing
 
 
+def test_mix_reaches_small_sources(spark):
+    """200 sources of 3 words, one each of 1 to 300 words, one of 20,000: all within a few words or a hundredth of their targets."""
+    text = lambda n: " ".join(["w"] * n)
+    rows = [(f"three{k:03d}", text(3)) for k in range(200)] + [(f"own{n:03d}", text(n)) for n in range(1, 301)]
+    rows += [("large", text(200)) for _ in range(100)] + [(None, text(7)), ("empty", ""), ("empty", None)]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, source string, text string")
+    taken, target = Counter(), {}
+    for r in mixing.mix(docs.repartition(5)).collect():
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert len(target) == 503 and target["empty"] == 0
+    for name, goal in target.items():
+        assert abs(taken[name] - goal) <= max(2, goal / 100), name
+    assert abs(sum(taken.values()) - sum(target.values())) <= 0.01 * sum(target.values())
+
+
 def test_mix_follows_targets(spark, docs):
     rows = mixing.mix(docs).select("source", "doc_id", "text", "size", "source_size", "target", "taken").collect()
     assert len(rows) == docs.count()
