@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 WIDTH = 8
 COVERAGE = 0.5
+SHORTEST = 4  # words of an item
 BROADCAST_WINDOWS = 1_000_000  # 50 MB at most; more windows are joined by a shuffle
 
 # Private-use characters that mark words while the text is rewritten.
@@ -29,92 +30,102 @@ UNITS = (
 ).split()
 
 
-def marked_words(text: Column) -> Column:
-    """The words of a text without punctuation, names and first words of sentences marked."""
+def _marked(text: Column) -> Column:
+    """A text's words between single spaces, without punctuation, names and first words of sentences marked."""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[0-9])[.,:](?=[0-9])", _POINT)
     text = F.regexp_replace(text, r"(?:^|[.!?\n][^\p{L}\p{N}]*)(?=\p{Lu}\p{Ll})", f" {_START}")
     text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}{_START}])(?=\p{{Lu}}\p{{Ll}})", _NAME)
-    text = F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}{_POINT}{_START}{_NAME}]+", " ")
-    return F.array_remove(F.split(text, " "), "")
+    return F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}{_POINT}{_START}{_NAME}]+", " ")
+
+
+def _split(marked: Column) -> Column:
+    return F.array_remove(F.split(marked, " "), "")
 
 
 def _is_number(word: Column) -> Column:
     return F.substring(word, 1, 1).between("0", "9")
 
 
-def _placeholders(words: Column) -> Column:
-    def one(word: Column, i: Column) -> Column:
-        plain = F.lower(F.ltrim(word, F.lit(_START)))
-        behind_number = plain.isin(UNITS) & F.coalesce(_is_number(F.get(words, i - 1)), F.lit(False))
-        return (
-            F.when(_is_number(word), "#number")
-            .when(F.substring(word, 1, 1) == _NAME, "#name")
-            .when(behind_number, "#unit")
-            .otherwise(plain)
-        )
-
-    return F.transform(words, one)
+# Codes of words end in two bits: whether the word is a slot, and whether it is the first of a sentence.
+_FIRST, _SLOT, _CODE = 1, 2, ~3
 
 
-def _templated(df: DataFrame, *keys: str) -> DataFrame:
-    df = df.select(*keys, marked_words(F.col("text")).alias("words"))
-    return df.select(*keys, "words", _placeholders(F.col("words")).alias("tokens"))
+def _code_of(kind: str) -> Column:
+    return F.xxhash64(F.lit(kind)).bitwiseAND(F.lit(_CODE)).bitwiseOR(F.lit(_SLOT))
 
 
-def _hashes(codes: str, width: int) -> Column:
-    """The hash of every window, in order."""
-    each = F.col(codes)
-    last = F.size(each) - width
-    return F.when(
-        last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(each, i + 1, width)))
-    ).otherwise(F.array().cast("array<bigint>"))
+def _coded(df: DataFrame, *keys: str) -> DataFrame:
+    """``words`` as they stand, ``codes`` of their template words with both bits, and ``plain`` codes of the words themselves."""
+    df = df.select(*keys, _marked(F.col("text")).alias("marked"))
+    lower = F.lower("marked")
+    df = df.select(
+        *keys, _split(F.col("marked")).alias("words"), _split(lower).alias("low"), _split(F.translate(lower, _START + _NAME, "")).alias("bare")
+    )
 
+    def code(word: Column, i: Column) -> Column:
+        mark = F.substring(word, 1, 1)
+        known = lambda w: w.isin(UNITS) & F.coalesce(_is_number(F.get("low", i - 1)), F.lit(False))
+        own = lambda w: F.when(known(w), _code_of("#unit")).otherwise(F.xxhash64(w).bitwiseAND(F.lit(_CODE)))
+        return (
+            F.when(mark.between("0", "9"), _code_of("#number"))
+            .when(mark == _NAME, _code_of("#name"))
+            .when(mark == _START, own(F.substring(word, 2, 1_000_000)).bitwiseOR(F.lit(_FIRST)))
+            .otherwise(own(word))
+        )
 
-def _coded(df: DataFrame) -> DataFrame:
-    """With a code for each word: of its template, of the looser one where first words are names, and of itself."""
-    name = F.xxhash64(F.lit("#name"))
-    return (
-        df.withColumn("codes", F.transform("tokens", lambda t: F.xxhash64(t)))
-        .withColumn("loose_codes", F.zip_with("words", "codes", lambda w, c: F.when(w.startswith(_START), name).otherwise(c)))
-        .withColumn("plain_codes", F.transform("words", lambda w: F.xxhash64(F.lower(F.ltrim(w, F.lit(_START + _NAME))))))
+    return df.select(
+        *keys, "words", F.transform("low", code).alias("codes"), F.transform("bare", lambda w: F.xxhash64(w)).alias("plain")
     )
 
 
-_VARIANTS = ("codes", "loose_codes", "plain_codes")
+def _strict(code: Column) -> Column:
+    return code.bitwiseAND(F.lit(~_FIRST))
+
+
+def _loose(code: Column) -> Column:
+    return F.when(code.bitwiseAND(F.lit(_FIRST)) != 0, _code_of("#name")).otherwise(code)
+
+
+def _window_code(width: int, codes: list[Column]) -> Column:
+    return F.xxhash64(F.lit(width), *codes[:width])
 
 
 def _benchmark_windows(items: DataFrame, width: int) -> DataFrame:
     """Rows for each window of each item, with its slots' values: one for each template that is half literal words
     at least; if there is none, one for the words themselves, without slots.
 
-    An item of fewer words than a window is one window of its own length.
+    An item of fewer words than a window is one window of its own length, of fewer than ``SHORTEST`` none.
     """
-    items = _coded(_templated(items.where("item_id IS NOT NULL"), "item_id")).where(F.size("tokens") > 0)
-    own = F.least(F.lit(width), F.size("tokens"))
-    starts = F.explode(F.sequence(F.lit(0), F.size("tokens") - own))
-    names = F.zip_with("words", "tokens", lambda w, t: F.when(w.startswith(_START), F.lit("#name")).otherwise(t))
-    windows = items.withColumn("names", names).select("*", own.alias("width"), starts.alias("at"))
+    items = _coded(items.where("item_id IS NOT NULL"), "item_id").where(F.size("words") >= min(SHORTEST, width))
+    own = F.least(F.lit(width), F.size("words"))
+    starts = F.explode(F.sequence(F.lit(0), F.size("words") - own))
+    windows = items.select("*", own.alias("width"), starts.alias("at"))
+    kinds = F.create_map(*(x for kind in ("#number", "#name", "#unit") for x in (_code_of(kind), F.lit(kind))))
 
-    def slots(tokens: str) -> Column:
+    def slots(of) -> Column:
         each = F.transform(
-            F.slice(tokens, F.col("at") + 1, F.col("width")),
-            lambda t, j: F.when(
-                t.startswith("#"), F.struct(t.alias("kind"), j.alias("j"), _value(F.col("at") + j).alias("value"))
+            F.slice("codes", F.col("at") + 1, F.col("width")),
+            lambda c, j: F.when(
+                of(c).bitwiseAND(F.lit(_SLOT)) != 0,
+                F.struct(F.element_at(kinds, of(c)).alias("kind"), j.alias("j"), _value(F.col("at") + j).alias("value")),
             ),
         )
         return F.filter(each, lambda s: s.isNotNull())
 
-    windows = windows.withColumn("strict", slots("tokens")).withColumn("loose", slots("names"))
+    def code(array: str, of) -> Column:
+        """By width, as the hash takes a fixed number of codes."""
+        each = [of(F.get(array, F.col("at") + j)) for j in range(width)]
+        return F.coalesce(*(F.when(F.col("width") == w, _window_code(w, each)) for w in range(1, width + 1)))
+
+    windows = windows.withColumn("strict", slots(_strict)).withColumn("loose", slots(_loose))
     windows = windows.withColumn("light", F.size("strict") * 2 <= F.col("width"))
-    code = lambda codes: F.xxhash64(F.slice(codes, F.col("at") + 1, F.col("width")))
-    kinds = (
-        ("codes", F.col("strict"), F.col("light")),
-        ("loose_codes", F.col("loose"), (F.size("loose") * 2 <= F.col("width")) & (F.size("loose") > F.size("strict"))),
-        ("plain_codes", F.slice("strict", 1, 0), ~F.col("light")),
-    )
     rows = [
-        windows.where(wanted).select("item_id", "width", "at", "light", F.lit(c).alias("variant"), code(c).alias("code"), own_slots.alias("slots"))
-        for c, own_slots, wanted in kinds
+        windows.where(wanted).select("item_id", "width", "at", "light", F.lit(variant).alias("variant"), code(array, of).alias("code"), own_slots.alias("slots"))
+        for variant, array, of, own_slots, wanted in (
+            ("strict", "codes", _strict, F.col("strict"), F.col("light")),
+            ("loose", "codes", _loose, F.col("loose"), (F.size("loose") * 2 <= F.col("width")) & (F.size("loose") > F.size("strict"))),
+            ("plain", "plain", lambda c: c, F.slice("strict", 1, 0), ~F.col("light")),
+        )
     ]
     rows = reduce(DataFrame.unionByName, rows)
     totals = rows.groupBy("item_id").agg(
@@ -123,6 +134,40 @@ def _benchmark_windows(items: DataFrame, width: int) -> DataFrame:
     return rows.distinct().join(totals, "item_id")
 
 
+def _document_windows(docs: DataFrame, keys: tuple[str, ...], wanted: set[tuple[int, str]], width: int) -> DataFrame:
+    """``keys``, ``words``, ``pos``, ``code`` of the windows of the documents, of all widths in one pass.
+
+    Words are laid beside those behind them and exploded, so that a window is a row and its codes are built by generated code. Its second
+    template is built only where it has the first word of a sentence.
+    """
+    arrays = {"codes": {v for _, v in wanted} & {"strict", "loose"}, "plain": {v for _, v in wanted} & {"plain"}}
+    names = [(a, j) for a, used in arrays.items() if used for j in range(width)]
+    coded = _coded(docs, *keys)
+    if not names:
+        return coded.select(*keys, "words", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("code")).limit(0)
+    shifted = [F.col(a) if j == 0 else F.slice(a, F.lit(j + 1), F.greatest(F.size(a) - j, F.lit(0))) for a, j in names]
+    zipped = F.arrays_zip(*(x.alias(f"{a}{j}") for x, (a, j) in zip(shifted, names, strict=True)))
+    rows = coded.select(*keys, "words", F.posexplode(zipped).alias("pos", "w"))
+    each = {a: [F.col(f"w.{a}{j}") for j in range(width)] for a, used in arrays.items() if used}
+    found = []
+    for own, variant in sorted(wanted):
+        if variant == "plain":
+            codes, here = each["plain"], F.lit(True)
+        else:
+            codes = [(_strict if variant == "strict" else _loose)(c) for c in each["codes"]]
+            flags = reduce(Column.bitwiseOR, each["codes"][:own])
+            here = F.lit(True) if variant == "strict" else flags.bitwiseAND(F.lit(_FIRST)) != 0
+        whole = each["plain" if variant == "plain" else "codes"][own - 1].isNotNull()
+        found.append(F.when(whole & here, _window_code(own, codes)))
+    return rows.select(*keys, "words", "pos", F.explode(F.array(*found)).alias("code")).where("code IS NOT NULL")
+
+
+def short_items(items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The items that decontamination leaves out, with an id and fewer than ``SHORTEST`` words: they stand in clean texts by chance."""
+    words = _split(_marked(F.col("text")))
+    return items.where(F.col("item_id").isNotNull() & (F.size(words) < min(SHORTEST, width)))
+
+
 def _value(at: Column) -> Column:
     """The word at a place, without marks."""
     return F.ltrim(F.get("words", at), F.lit(_START + _NAME))
@@ -150,23 +195,19 @@ def contaminated(
     repeated word for word, other than by case. Since no new parameters can do that, coverage is the larger of the
     shares of all windows and of the others.
 
+    Items of fewer than ``SHORTEST`` words are left out, as :func:`short_items` lists: their words stand in clean texts too. Shorter
+    ones than a window are held if their words follow each other anywhere. Texts are read whole.
+
     Null and empty texts hold nothing and are held nowhere; an item without id is left out, a document
     without id is reported under null. Items and documents that repeat count once per id. Empty tables give no
     rows; other columns are ignored.
     """
     windows = _benchmark_windows(items.select("item_id", "text"), width)
-    sizes = windows.groupBy("width", "variant").count().collect()  # at most three rows for each width up to ``width``
-    bounded = sum(r["count"] for r in sizes) <= BROADCAST_WINDOWS
-    coded = _coded(_templated(docs, *keys)).select(*keys, "words", *_VARIANTS)
-    hits = []
-    for own in sorted({r["width"] for r in sizes}):
-        ours = windows.where(F.col("width") == own)
-        hashes = [_hashes(v, own) for v in _VARIANTS if any(r["width"] == own and r["variant"] == v for r in sizes)]
-        spread = coded.select(*keys, "words", F.posexplode(F.concat(*hashes)).alias("i", "code"))
-        spread = spread.withColumn("pos", F.col("i") % (F.size("words") - own + 1)).drop("i")
-        hits.append(spread.join(F.broadcast(ours) if bounded else ours, "code"))
-    if not hits:
-        hits = [coded.select(*keys, "words", F.lit(0).alias("pos")).join(windows.limit(0))]
+    kinds = windows.groupBy("width", "variant").count().collect()  # at most three rows for each width up to ``width``
+    wanted = {(r["width"], r["variant"]) for r in kinds} | {(w, "strict") for w in {r["width"] for r in kinds}}
+    wanted |= {(w, "loose") for w, v in wanted if v == "strict"}
+    bounded = sum(r["count"] for r in kinds) <= BROADCAST_WINDOWS
+    hits = _document_windows(docs, keys, wanted, width).join(F.broadcast(windows) if bounded else windows, "code")
     value = lambda s: F.struct(
         s["kind"].alias("kind"),
         (F.col("at") + s["j"]).alias("at"),
@@ -174,11 +215,11 @@ def contaminated(
         _value(F.col("pos") + s["j"]).alias("doc_value"),
     )
     place = ("item_id", "n_windows", "n_light")
-    found = reduce(DataFrame.unionByName, hits).select(
+    found = hits.select(
         *keys,
         *place,
         F.struct("at", "light").alias("window"),
-        (F.col("variant") != "loose_codes").alias("literal"),
+        (F.col("variant") != "loose").alias("literal"),
         (F.col("pos") - F.col("at")).alias("shift"),
         F.transform("slots", value).alias("pairs"),
     )
@@ -222,10 +263,9 @@ def contaminated(
 
 def without_benchmark(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; all columns stay, other rows are untouched."""
-    clash = "text_key_of_this_row"
-    keyed = docs.withColumn(clash, F.xxhash64("text"))
-    held = contaminated(keyed, items, keys=("doc_id", clash), **options).select(
-        F.col("doc_id").alias("held_id"), F.col(clash).alias("held_key")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    held = contaminated(keyed, items, keys=("doc_id", "text_key"), **options).select(
+        F.col("doc_id").alias("held_id"), F.col("text_key").alias("held_key")
     ).distinct()
-    same = keyed["doc_id"].eqNullSafe(held["held_id"]) & (keyed[clash] == held["held_key"])
-    return keyed.join(held, same, "left_anti").drop(clash)
+    same = docs["doc_id"].eqNullSafe(held["held_id"]) & (F.xxhash64(docs["text"]) == held["held_key"])
+    return docs.join(held, same, "left_anti")
