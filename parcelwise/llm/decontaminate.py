@@ -14,9 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelwise.llm.tables import kept
+
 WIDTH = 8
 COVERAGE = 0.5
 SHORTEST = 4  # words of an item
+BROADCAST_TEXTS = 2_000_000  # hashes of texts with a window of the benchmark, sent to all texts; more are joined
 BROADCAST_WINDOWS = 1_000_000  # 50 MB at most; more windows are joined by a shuffle
 
 # Private-use characters that mark words while the text is rewritten.
@@ -135,19 +138,19 @@ def _benchmark_windows(items: DataFrame, width: int) -> DataFrame:
 
 
 def _document_windows(docs: DataFrame, keys: tuple[str, ...], wanted: set[tuple[int, str]], width: int) -> DataFrame:
-    """``keys``, ``words``, ``pos``, ``code`` of the windows of the documents, of all widths in one pass.
+    """``keys``, ``text_hash``, ``pos``, ``code`` of the windows of the documents, of all widths in one pass.
 
-    Words are laid beside those behind them and exploded, so that a window is a row and its codes are built by generated code. Its second
+    Texts stay behind, so that a row of a window is short. Words are laid beside those behind them and exploded, so that a window is a row and its codes are built by generated code. Its second
     template is built only where it has the first word of a sentence.
     """
     arrays = {"codes": {v for _, v in wanted} & {"strict", "loose"}, "plain": {v for _, v in wanted} & {"plain"}}
     names = [(a, j) for a, used in arrays.items() if used for j in range(width)]
-    coded = _coded(docs, *keys)
+    coded = _coded(docs, *keys, "text_hash")
     if not names:
-        return coded.select(*keys, "words", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("code")).limit(0)
+        return coded.select(*keys, "text_hash", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("code")).limit(0)
     shifted = [F.col(a) if j == 0 else F.slice(a, F.lit(j + 1), F.greatest(F.size(a) - j, F.lit(0))) for a, j in names]
     zipped = F.arrays_zip(*(x.alias(f"{a}{j}") for x, (a, j) in zip(shifted, names, strict=True)))
-    rows = coded.select(*keys, "words", F.posexplode(zipped).alias("pos", "w"))
+    rows = coded.select(*keys, "text_hash", F.posexplode(zipped).alias("pos", "w"))
     each = {a: [F.col(f"w.{a}{j}") for j in range(width)] for a, used in arrays.items() if used}
     found = []
     for own, variant in sorted(wanted):
@@ -159,7 +162,7 @@ def _document_windows(docs: DataFrame, keys: tuple[str, ...], wanted: set[tuple[
             here = F.lit(True) if variant == "strict" else flags.bitwiseAND(F.lit(_FIRST)) != 0
         whole = each["plain" if variant == "plain" else "codes"][own - 1].isNotNull()
         found.append(F.when(whole & here, _window_code(own, codes)))
-    return rows.select(*keys, "words", "pos", F.explode(F.array(*found)).alias("code")).where("code IS NOT NULL")
+    return rows.select(*keys, "text_hash", "pos", F.explode(F.array(*found)).alias("code")).where("code IS NOT NULL")
 
 
 def short_items(items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -207,7 +210,15 @@ def contaminated(
     wanted = {(r["width"], r["variant"]) for r in kinds} | {(w, "strict") for w in {r["width"] for r in kinds}}
     wanted |= {(w, "loose") for w, v in wanted if v == "strict"}
     bounded = sum(r["count"] for r in kinds) <= BROADCAST_WINDOWS
+    docs = docs.select(*keys, "text", F.xxhash64("text").alias("text_hash"))
     hits = _document_windows(docs, keys, wanted, width).join(F.broadcast(windows) if bounded else windows, "code")
+    hits = kept(hits.distinct(), "hits")
+    held = hits.select("text_hash").distinct()
+    if held.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
+        held = F.broadcast(held)
+    texts = docs.join(held, "text_hash", "left_semi").distinct().select(*keys, "text_hash", _split(_marked(F.col("text"))).alias("words"))
+    same = reduce(Column.__and__, (hits[k].eqNullSafe(texts[k]) for k in (*keys, "text_hash")))
+    hits = hits.join(texts, same).select(*(hits[c] for c in hits.columns), "words")
     value = lambda s: F.struct(
         s["kind"].alias("kind"),
         (F.col("at") + s["j"]).alias("at"),
