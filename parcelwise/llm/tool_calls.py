@@ -2,101 +2,234 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections import defaultdict
+from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parcelwise.llm.tables import kept
+from parcelwise.llm.tables import dropped, kept
 
-# Tools as name -> argument -> (type, required). Types are those of JSON.
+# Tools as name -> argument -> (type, required). Types are those of JSON; an integer is any number without a fraction.
 Schemas = dict[str, dict[str, tuple[str, bool]]]
-_KINDS = {
-    "string": r"^STRING$",
-    "integer": r"^BIGINT$",
-    "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$",
-    "boolean": r"^BOOLEAN$",
-    "array": r"^ARRAY<.*$",
-    "object": r"^OBJECT<.*$",
-}
+AT_ONCE = 1000  # dependencies of a conversation that is ordered by one task; larger ones are ordered by joins
 _CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string>>>"
 _RESULT = "struct<tool_call_id:string,content:string>"
 _REFERENCE = r'"\$ref:([^"\\]+)"'
+_ESCAPE, _LONE = re.compile(r"\\(?:u([0-9a-f]{4})|.)"), re.compile("[\ud800-\udfff]")
 
 
 def calls_of(messages: DataFrame) -> DataFrame:
-    """A row for each call in assistant messages that hold ``{"tool_calls": [{id, name, arguments}]}``."""
+    """A row for each call in assistant messages that hold ``{"tool_calls": [{id, name, arguments}]}``, null ids included."""
     said = messages.where("role = 'assistant' AND text LIKE '%tool_calls%'")
     parsed = said.select("conv_id", "turn", F.posexplode(F.from_json("text", _CALLS)["tool_calls"]).alias("place", "call"))
-    calls = parsed.select("conv_id", "turn", "place", "call.id", "call.name", "call.arguments")
-    return calls.where("id IS NOT NULL").withColumnRenamed("id", "call_id")
+    return parsed.select("conv_id", "turn", "place", F.col("call.id").alias("call_id"), "call.name", "call.arguments")
 
 
 def results_of(messages: DataFrame) -> DataFrame:
-    """A row for each tool message that holds ``{"tool_call_id", "content"}``."""
+    """A row for each tool message that holds ``{"tool_call_id", "content"}``; without an id there must be a content."""
     parsed = messages.where("role = 'tool'").select(
         "conv_id", F.col("turn").alias("result_turn"), F.from_json("text", _RESULT).alias("result")
     )
-    return parsed.select("conv_id", "result_turn", F.col("result.tool_call_id").alias("call_id"), "result.content").where(
-        "call_id IS NOT NULL"
-    )
+    rows = parsed.select("conv_id", "result_turn", F.col("result.tool_call_id").alias("call_id"), "result.content")
+    return rows.where("call_id IS NOT NULL OR content IS NOT NULL")
+
+
+def _number(value: Decimal) -> str:
+    """The exact value in one form: ``5``, ``5.0`` and ``5e0`` are ``5``; an exponent beyond 21 digits or six leading zeros."""
+    if not value:
+        return "0"
+    sign, digits, exponent = value.as_tuple()
+    whole = "".join(map(str, digits)).lstrip("0")
+    text = whole.rstrip("0")
+    point = len(whole) + exponent  # the value is 0.text times ten to the power of point
+    if -6 < point <= 21:
+        if point <= 0:
+            text = "0." + "0" * -point + text
+        elif len(text) <= point:
+            text += "0" * (point - len(text))
+        else:
+            text = f"{text[:point]}.{text[point:]}"
+    else:
+        fraction = f".{text[1:]}" if len(text) > 1 else ""
+        text = f"{text[0]}{fraction}e{point - 1:+d}"
+    return "-" * sign + text
+
+
+def _string(value: str) -> str:
+    """A JSON string as Spark writes it: only what must be escaped is, in upper case; halves of pairs are escaped too."""
+    text = _ESCAPE.sub(lambda m: f"\\u{m[1].upper()}" if m[1] else m[0], json.dumps(value, ensure_ascii=False))
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04X}", text)
+
+
+def canonical(value: object) -> str:
+    """JSON without blanks, keys in order of their code points, numbers by their exact value."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_string(k)}:{canonical(value[k])}" for k in sorted(value)) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(canonical, value)) + "]"
+    if isinstance(value, Decimal):
+        return _number(value)
+    return _string(value) if isinstance(value, str) else json.dumps(value)
+
+
+def _pairs(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("repeated key")
+    return found
+
+
+def _constant(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def _is_kind(value: object, kind: str) -> bool:
+    if kind == "integer":
+        exponent = value.as_tuple().exponent if isinstance(value, Decimal) else 0
+        return isinstance(value, Decimal) and (exponent >= 0 or not any(value.as_tuple().digits[exponent:]))
+    return isinstance(value, {"string": str, "number": Decimal, "boolean": bool, "array": list, "object": dict}[kind])
+
+
+def checked(name: str | None, arguments: str | None, schemas: Schemas) -> tuple[str, list[str]]:
+    """The arguments of a call as canonical JSON and what is wrong with them.
+
+    Text that is no JSON, repeats a key or nests too deep to be read is kept whole, as a JSON string.
+    """
+    if arguments is None:
+        return "null", ["arguments are no object"]
+    try:
+        value = json.loads(
+            arguments, object_pairs_hook=_pairs, parse_float=Decimal, parse_int=Decimal, parse_constant=_constant
+        )
+        text = canonical(value)
+    except (ValueError, ArithmeticError, RecursionError):
+        return _string(arguments), ["arguments are no object"]
+    if not isinstance(value, dict):
+        return text, ["arguments are no object"]
+    if name not in schemas:
+        return text, ["unknown tool"]
+    problems = []
+    for argument, (kind, required) in sorted(schemas[name].items()):
+        given = value.get(argument)
+        if given is None:
+            problems += [f"missing {argument}"] * required
+        elif not _is_kind(given, kind):
+            problems.append(f"{argument} is no {kind}")
+    return text, problems + [f"unknown {_string(a)[1:-1]}" for a in sorted(value.keys() - schemas[name].keys())]
+
+
+def _checks(schemas: Schemas) -> Callable[[Column, Column], Column]:
+    @F.pandas_udf("text string, problems array<string>")
+    def check(names: pd.Series, arguments: pd.Series) -> pd.DataFrame:
+        rows = [checked(n, a, schemas) for n, a in zip(names, arguments, strict=True)]
+        return pd.DataFrame(rows, columns=["text", "problems"])
 
+    return check
 
-def _problems(schemas: Schemas) -> Column:
-    """What is wrong with the arguments of a call, by its name; an empty list for none."""
-    value = F.col("parsed")
 
-    def kind(argument: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(value, f"$.{argument}", "variant"))
+def _depths_of(needs: dict[str, set[str]]) -> dict[str, int]:
+    """Depths of the calls off cycles, in rounds over the calls whose needs are settled."""
+    users, open_needs, done = defaultdict(list), {}, {}
+    for call, needed in needs.items():
+        open_needs[call] = len(needed)
+        for n in needed:
+            users[n].append(call)
+    ready, depth = [c for c in users if c not in needs], 0
+    while ready:
+        done.update(dict.fromkeys(ready, depth))
+        later = []
+        for call in ready:
+            for user in users[call]:
+                open_needs[user] -= 1
+                if not open_needs[user]:
+                    later.append(user)
+        ready, depth = later, depth + 1
+    return done
+
 
-    def of(arguments: dict[str, tuple[str, bool]]) -> Column:
-        found = []
-        for argument, (wanted, required) in sorted(arguments.items()):
-            missing = kind(argument).isNull() | (kind(argument) == "VOID")
-            if required:
-                found.append(F.when(missing, F.lit(f"missing {argument}")))
-            found.append(F.when(~missing & ~kind(argument).rlike(_KINDS[wanted]), F.lit(f"{argument} is no {wanted}")))
-        names = F.map_keys(F.coalesce(F.from_json("arguments", "map<string,string>"), F.create_map().cast("map<string,string>")))
-        extra = F.array_sort(F.array_except(names, F.array(*map(F.lit, arguments)).cast("array<string>")))
-        listed = F.filter(F.array(*found).cast("array<string>"), lambda p: p.isNotNull())
-        return F.concat(listed, F.transform(extra, lambda a: F.concat(F.lit("unknown "), a)))
+def _conversation(edges: pd.DataFrame) -> pd.DataFrame:
+    needs = defaultdict(set)
+    for call, needed in zip(edges["call_id"], edges["needed"], strict=True):
+        needs[call].add(needed)
+    found = [(edges["conv_id"].iloc[0], call, depth) for call, depth in _depths_of(needs).items() if call in needs]
+    return pd.DataFrame(found, columns=["conv_id", "call_id", "depth"])
 
-    problems = F.array(F.lit("unknown tool"))
-    for name, arguments in schemas.items():
-        problems = F.when(F.col("name") == name, of(arguments)).otherwise(problems)
-    return F.when(
-        F.coalesce(~F.schema_of_variant(value).startswith("OBJECT"), F.lit(True)), F.array(F.lit("arguments are no object"))
-    ).otherwise(problems)
 
+def _joined_depths(edges: DataFrame) -> DataFrame:
+    """Depths by joins, for conversations of any size.
 
-def depths(calls: DataFrame) -> DataFrame:
+    Chains of calls with a single need are first shortened to one link by path doubling, in as many rounds as the
+    length of the longest one has binary digits. Only the calls with several needs are then settled one
+    depth a round.
+    """
+    key = ["conv_id", "call_id"]
+    counted = edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("needed").alias("up"))
+    single = kept(counted.where("n = 1").select(*key, "up", F.lit(1).cast("long").alias("steps")), "links")
+    several = kept(counted.where("n > 1").select(*key, "n"), "open")
+    for _ in range(single.count().bit_length()):
+        above = single.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
+        longer = single.join(above, ["conv_id", "up"], "left").select(
+            *key, F.coalesce("next", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+            F.col("next").isNotNull().alias("moved"),
+        )
+        before, single = single, kept(longer, "links")
+        dropped(before)
+        if not single.where("moved").head(1):
+            break
+    # A link that still ends in a call with one need is on a cycle or behind one.
+    ends = single.join(single.select("conv_id", F.col("call_id").alias("up")), ["conv_id", "up"], "left_anti")
+    ends = kept(ends.select(*key, "up", "steps"), "ends")
+    needs = edges.join(several.select(*key), key)
+    to_single = ends.select("conv_id", F.col("call_id").alias("needed"), "up", "steps")
+    looped = single.join(ends.select(*key), key, "left_anti").select("conv_id", F.col("call_id").alias("needed"))
+    needs = needs.join(looped, ["conv_id", "needed"], "left_anti").join(to_single, ["conv_id", "needed"], "left")
+    needs = kept(
+        needs.select(*key, F.coalesce("up", "needed").alias("up"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")), "needs"
+    )
+    roots = needs.select("conv_id", "up").union(ends.select("conv_id", "up")).distinct()
+    roots = roots.join(several.select("conv_id", F.col("call_id").alias("up")), ["conv_id", "up"], "left_anti")
+    settled = done = kept(roots.select("conv_id", F.col("up").alias("call_id"), F.lit(0).cast("long").alias("depth")), "depth")
+    met = needs.limit(0).select(*key, F.lit(0).cast("long").alias("met"), F.lit(0).cast("long").alias("depth"))
+    while settled.head(1):
+        reached = needs.join(settled.select("conv_id", F.col("call_id").alias("up"), "depth"), ["conv_id", "up"])
+        reached = reached.groupBy(*key).agg(F.count("*").alias("met"), F.max(F.col("depth") + F.col("steps")).alias("depth"))
+        met = kept(met.unionByName(reached).groupBy(*key).agg(F.sum("met").alias("met"), F.max("depth").alias("depth")), "met")
+        settled = met.join(several, [*key]).where("met = n").select(*key, "depth")
+        settled = kept(settled, "depth")
+        met = met.join(settled.select(*key), key, "left_anti")
+        done = kept(done.unionByName(settled), "done")
+    along = ends.join(done.select("conv_id", F.col("call_id").alias("up"), "depth"), ["conv_id", "up"])
+    along = along.select(*key, (F.col("depth") + F.col("steps")).alias("depth"))
+    return done.join(several.select(*key), key, "left_semi").unionByName(along)
+
+
+def depths(calls: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """``conv_id``, ``call_id``, ``depth``: 0 without dependencies, else one more than the deepest of them.
 
-    Calls on a cycle, or behind one, are left out. Each round settles one more depth, so there are as many as the
-    longest chain of dependencies; references to calls that do not exist are ignored.
+    Calls on a cycle, or behind one, are left out; references to calls that do not exist are ignored. Conversations
+    of up to ``at_once`` dependencies are ordered by one task each, larger ones by joins, with one result.
     """
     nodes = calls.select("conv_id", "call_id", "needs")
     edges = nodes.select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("needed"))
     known = nodes.select("conv_id", F.col("call_id").alias("needed"))
-    edges = kept(edges.join(known, ["conv_id", "needed"]), "needs")
-    count = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"))
-    done = kept(
-        nodes.join(count, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("depth")), "depth"
+    edges = kept(edges.join(known, ["conv_id", "needed"]).select("conv_id", "call_id", "needed"), "needs")
+    large = kept(edges.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > at_once).select("conv_id"), "large")
+    result = nodes.join(edges.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").select(
+        "conv_id", "call_id", F.lit(0).cast("long").alias("depth")
     )
-    count = kept(count, "open")
-    while not count.isEmpty():
-        settled = done.select("conv_id", F.col("call_id").alias("needed"), "depth")
-        ready = (
-            edges.join(settled, ["conv_id", "needed"])
-            .groupBy("conv_id", "call_id")
-            .agg(F.count("*").alias("met"), (F.max("depth") + 1).alias("depth"))
-        )
-        ready = kept(count.join(ready, ["conv_id", "call_id"]).where("met = n").select("conv_id", "call_id", "depth"), "ready")
-        if ready.isEmpty():
-            break
-        count = kept(count.join(ready, ["conv_id", "call_id"], "left_anti"), "open")
-        done = done.unionByName(ready)
-    return done
+    schema = T.StructType([edges.schema["conv_id"], edges.schema["call_id"], T.StructField("depth", T.LongType())])
+    small = edges.join(large, "conv_id", "left_anti").groupBy("conv_id").applyInPandas(_conversation, schema)
+    result = result.unionByName(small)
+    if large.head(1):
+        result = result.unionByName(_joined_depths(kept(edges.join(large, "conv_id"), "large-needs")))
+    return result
 
 
 def formatted(messages: DataFrame, schemas: Schemas) -> DataFrame:
@@ -107,49 +240,54 @@ def formatted(messages: DataFrame, schemas: Schemas) -> DataFrame:
     and depth, then turn and place, is a topological order; ``depth`` is null on a cycle. ``status`` of a call is
     ``linked``, ``unanswered`` or ``early`` (its result stands before it); of results without a call ``orphan``. The first
     of several calls or results with one id counts, by turn and content; its problems then name
-    the ``repeated id``. Rows without a conversation or turn are left out; a null role or text is written as null; messages
-    that are no valid JSON are ordinary messages. An empty table gives no rows; further columns are ignored.
+    the ``repeated id``. Calls and results without an id are linked with nothing, each a row with the problem ``missing
+    id``. Arguments that cannot be read as JSON are written as a string of their text.
+
+    Equal rows are one message. Rows without a conversation or turn are left out; a null role or text is written as
+    null; messages that are no valid JSON are ordinary messages; texts of any length are written whole. An empty
+    table gives no rows; further columns are ignored, whatever their names.
     """
     messages = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "role", "text").distinct()
     first = ["conv_id", "call_id"]
-    every = calls_of(messages)
+    every, answers = calls_of(messages), results_of(messages)
     row = F.struct("turn", "place", "name", "arguments")
-    calls = every.groupBy(*first).agg(F.min(row).alias("row"), F.count("*").alias("uses")).select(*first, "row.*", "uses")
+    calls = every.where("call_id IS NOT NULL").groupBy(*first).agg(F.min(row).alias("row"), F.count("*").alias("uses")).select(*first, "row.*", "uses")
     calls = kept(
         calls.withColumn("needs", F.regexp_extract_all("arguments", F.lit(_REFERENCE), 1)), "calls"
     )
-    results = results_of(messages).groupBy(*first).agg(F.min(F.struct("result_turn", "content")).alias("result"))
+    results = answers.where("call_id IS NOT NULL").groupBy(*first).agg(F.min(F.struct("result_turn", "content")).alias("result"))
     results = results.select(*first, "result.*")
 
     linked = calls.join(results, first, "full_outer").join(depths(calls), first, "left")
-    linked = linked.withColumn("parsed", F.try_parse_json("arguments"))
+    for without_id in (every, answers):
+        linked = linked.unionByName(without_id.where("call_id IS NULL"), allowMissingColumns=True)
+    linked = linked.withColumn("checked", _checks(schemas)("name", "arguments"))
     status = (
         F.when(F.col("turn").isNull(), "orphan")
         .when(F.col("result_turn").isNull(), "unanswered")
         .when(F.col("result_turn") < F.col("turn"), "early")
         .otherwise("linked")
     )
-    line = F.to_json(
-        F.struct(
-            F.col("parsed").alias("arguments"),
-            F.col("call_id").alias("id"),
-            F.col("name").alias("name"),
-            F.col("content").alias("result"),
-        ),
+    others = F.to_json(
+        F.struct(F.col("call_id").alias("id"), F.col("name").alias("name"), F.col("content").alias("result")),
         {"ignoreNullFields": "false"},
     )
-    repeated = F.when(F.col("uses") > 1, F.array(F.lit("repeated id"))).otherwise(F.array().cast("array<string>"))
+    line = F.concat(F.lit('{"arguments":'), "checked.text", F.lit(","), F.substr(others, F.lit(2)))
+    no_problem = F.array().cast("array<string>")
+    problems = F.concat(
+        F.when(F.col("turn").isNull(), no_problem).otherwise(F.col("checked.problems")),
+        F.when(F.col("uses") > 1, F.array(F.lit("repeated id"))).otherwise(no_problem),
+        F.when(F.col("call_id").isNull(), F.array(F.lit("missing id"))).otherwise(no_problem),
+    )
     call_rows = linked.select(
         "conv_id",
         F.coalesce("turn", "result_turn").alias("turn"),
         F.coalesce("place", F.lit(0)).alias("place"),
         F.lit("call").alias("kind"),
         "call_id",
-        "depth",
+        F.col("depth").cast("int").alias("depth"),
         status.alias("status"),
-        F.concat_ws(
-            "; ", F.when(F.col("turn").isNull(), F.array().cast("array<string>")).otherwise(F.concat(_problems(schemas), repeated))
-        ).alias("problems"),
+        F.concat_ws("; ", problems).alias("problems"),
         line.alias("json"),
     )
     spoken = messages.select(
@@ -172,7 +310,7 @@ SEARCH: Schemas = {"search": {"query": ("string", True), "limit": ("integer", Tr
 def as_tool_chat(conversations: DataFrame) -> DataFrame:
     """Conversations told as tool use: every user turn is answered by a call, whose result is the next turn.
 
-    A call names the first call of its conversation as what it needs. Every seventh user turn leaves out an argument
+    A call names the one before it as what it needs, so calls form chains. Every seventh user turn leaves out an argument
     and every eleventh gives a number as a string, so that there is something to find.
     """
     rows = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "role", "text")
@@ -180,7 +318,8 @@ def as_tool_chat(conversations: DataFrame) -> DataFrame:
     key = F.col("conv_id") + F.col("turn")
     limit = F.when(key % 7 == 0, F.lit(None)).when(key % 11 == 0, F.lit('"5"')).otherwise(F.lit("5"))
     query = F.to_json(F.struct(F.col("text").alias("query")))
-    need = F.when(F.col("turn") > 0, F.concat(F.lit(',"after":"$ref:call-'), "conv_id", F.lit('-0"')))
+    before = F.concat_ws("-", F.lit("call"), "conv_id", F.col("turn") - 2)
+    need = F.when(F.col("turn") > 1, F.concat(F.lit(',"after":"$ref:'), before, F.lit('"')))
     arguments = F.concat(
         F.substring(query, F.lit(1), F.length(query) - 1),
         F.coalesce(F.concat(F.when(F.col("text").isNull(), "").otherwise(","), F.lit('"limit":'), limit), F.lit("")),

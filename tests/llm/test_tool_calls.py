@@ -1,0 +1,157 @@
+"""Tool calls against plain Python: depths of random graphs, canonical JSON, odd rows."""
+
+import json
+import random
+from collections import Counter
+
+import pytest
+
+from parcelwise.llm import tool_calls
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def _call(i, arguments, name="search"):
+    return {"id": i, "name": name, "arguments": arguments}
+
+
+def _said(*calls):
+    return json.dumps({"tool_calls": list(calls)})
+
+
+def _answer(i, content):
+    return json.dumps({"tool_call_id": i, "content": content})
+
+
+def _graphs():
+    rng = random.Random(5)
+    graphs = {0: {f"c{i}": [f"c{i - 1}"] for i in range(120)}, 1: {"a": ["b"], "b": ["a"], "c": ["b", "d"], "d": []}, 2: {"a": ["a"]}}
+    for k in range(3, 30):
+        n = rng.randint(1, 14)
+        names = [f"c{i}" for i in range(n)]
+        backward = k % 3 == 0
+        graphs[k] = {
+            name: rng.choices([*(names[:i] if not backward else names), "nobody"], k=rng.choice((0, 1, 1, 1, 2, 3)))
+            for i, name in enumerate(names)
+        }
+    return graphs
+
+
+@pytest.mark.parametrize("at_once", [0, 4, 10**6])
+def test_depths_equal_those_of_plain_python(spark, at_once):
+    graphs = _graphs()
+    rows = [(k, call, needs) for k, graph in graphs.items() for call, needs in graph.items()]
+    got = tool_calls.depths(spark.createDataFrame(rows, "conv_id long, call_id string, needs array<string>"), at_once).collect()
+    want = {}
+    for k, graph in graphs.items():
+        settled = {}
+        while True:
+            new = {
+                c: max((settled[n] for n in needs if n in graph), default=-1) + 1
+                for c, needs in graph.items() if c not in settled and all(n in settled for n in needs if n in graph)
+            }
+            if not new:
+                break
+            settled |= new
+        want |= {(k, c): d for c, d in settled.items()}
+    assert {(r["conv_id"], r["call_id"]): r["depth"] for r in got} == want and len(got) == len(want)
+
+
+def test_a_chain_takes_rounds_of_its_digits(spark, monkeypatch):
+    written = Counter()
+    real = tool_calls.kept
+    monkeypatch.setattr(tool_calls, "kept", lambda df, label, **o: (written.update([label]), real(df, label, **o))[1])
+    rows = [(1, f"c{i}", [f"c{i - 1}"]) for i in range(300)]
+    got = tool_calls.depths(spark.createDataFrame(rows, "conv_id long, call_id string, needs array<string>"), 10).collect()
+    assert {r["call_id"]: r["depth"] for r in got} == {f"c{i}": i for i in range(300)}
+    assert written["links"] <= 11 and written["met"] <= 2
+
+
+@pytest.mark.parametrize("text, want", [
+    ("5", "5"), ("5.0", "5"), ("5e0", "5"), ("1e2", "100"), ("-0.0", "0"), ("0.10", "0.1"), ("1e-7", "1e-7"),
+    ("123456789012345678901", "123456789012345678901"), ("1.50e30", "1.5e+30"), ("0.000001", "0.000001"), ("-12.5", "-12.5"),
+    ('{"b":1,"a":[1.0,true,null,"\u00e9\u001f"]}', '{"a":[1,true,null,"\u00e9\\u001F"],"b":1}'),
+    ('"\\ud800"', '"\\uD800"'),
+])
+def test_canonical_json(text, want):
+    assert tool_calls.checked("none", text.replace("\x1f", "\\u001f"), {})[0] == want
+
+
+def test_canonical_numbers_keep_their_value():
+    rng = random.Random(2)
+    for _ in range(2000):
+        text = f"{rng.choice(['', '-'])}{rng.randint(0, 10**rng.randint(0, 25))}.{rng.randint(0, 10**6)}e{rng.randint(-30, 30)}"
+        wanted = tool_calls.Decimal(text)
+        canonical = tool_calls.checked(None, text, {})[0]
+        assert tool_calls.Decimal(canonical) == wanted and tool_calls.checked(None, canonical, {})[0] == canonical
+
+
+@pytest.mark.parametrize("text", ['{"a":1,"a":2}', "{broken", "", "[" * 100_000, '{"a":NaN}'])
+def test_arguments_that_cannot_be_read_keep_their_text(text):
+    got, problems = tool_calls.checked("search", text, tool_calls.SEARCH)
+    assert json.loads(got) == text and problems == ["arguments are no object"]
+
+
+def test_integers_by_value():
+    ok = lambda n: tool_calls.checked("search", f'{{"query":"q","limit":{n}}}', tool_calls.SEARCH)[1]
+    assert ok("5.0") == ok("5e0") == ok("50e-1") == []
+    assert ok("5.5") == ok('"5"') == ok("true") == ok("5e-1") == ["limit is no integer"] and ok("null") == ["missing limit"]
+
+
+def _brute(rows):
+    """Rows of kind ``call`` by plain Python, for chats without repeated ids in a conversation."""
+    calls, results, out = {}, {}, []
+    for conv, turn, role, text in set(rows):
+        if conv is None or turn is None or text is None:
+            continue
+        try:
+            said = json.loads(text)
+        except ValueError:
+            continue
+        if role == "assistant" and isinstance(said, dict):
+            for call in said.get("tool_calls", []):
+                calls[conv, call.get("id")] = (turn, call)
+        if role == "tool" and isinstance(said, dict) and "tool_call_id" in said:
+            results[conv, said["tool_call_id"]] = (turn, said["content"])
+    for key in calls.keys() | results.keys():
+        turn, call = calls.get(key, (None, {}))
+        result_turn, content = results.get(key, (None, None))
+        status = "orphan" if turn is None else "unanswered" if result_turn is None else "early" if result_turn < turn else "linked"
+        wanted = {"arguments": call.get("arguments"), "id": key[1], "name": call.get("name"), "result": content}
+        out.append((*key, turn if turn is not None else result_turn, status, json.dumps(wanted, sort_keys=True, separators=(",", ":"))))
+    return sorted(out)
+
+
+def test_links_equal_plain_python(spark):
+    rng = random.Random(3)
+    rows = [(None, 0, "user", "a"), (1, None, "tool", "b"), (3, 0, None, None), (4, 1, "assistant", ""), (5, 0, "tool", "5")]
+    for conv in range(40):
+        ids = [f"k{i}" for i in range(rng.randint(1, 6))]
+        for turn, i in enumerate(ids):
+            if rng.random() < 0.8:
+                rows.append((conv, 2 * turn, "assistant", _said(_call(i, {"query": "x" * rng.choice((0, 3, 20_000)), "limit": turn}))))
+            if rng.random() < 0.8:
+                rows.append((conv, rng.randint(0, 2 * len(ids)), "tool", _answer(i, f"r {i} /\u00e9")))
+    table = spark.createDataFrame(rows + rows[:50], SCHEMA).selectExpr("*", "turn AS call_id", "text AS depth", "role AS arguments", "1 AS n")
+    got = tool_calls.formatted(table, tool_calls.SEARCH).where("kind = 'call'").collect()
+    found = sorted((r["conv_id"], r["call_id"], r["turn"], r["status"], json.dumps(json.loads(r["json"]), sort_keys=True, separators=(",", ":"))) for r in got)
+    assert found == _brute(rows)
+    assert all(r["json"] == json.dumps(json.loads(r["json"]), sort_keys=True, separators=(",", ":"), ensure_ascii=False) for r in got)
+
+
+def test_calls_and_results_without_an_id_are_rows(spark):
+    rows = [
+        (1, 0, "assistant", _said({"name": "search", "arguments": {"query": "q", "limit": 1}}, _call("a", "no json"))),
+        (1, 1, "tool", json.dumps({"content": "lost"})), (1, 2, "assistant", _said(_call("a", {"limit": 1, "query": "x"}))),
+    ]
+    got = tool_calls.formatted(spark.createDataFrame(rows, SCHEMA), tool_calls.SEARCH).where("kind = 'call'").collect()
+    found = {(r["turn"], r["call_id"]): (r["status"], r["problems"], json.loads(r["json"])["arguments"]) for r in got}
+    assert found == {
+        (0, None): ("unanswered", "missing id", {"query": "q", "limit": 1}),
+        (0, "a"): ("unanswered", "arguments are no object; repeated id", "no json"),
+        (1, None): ("orphan", "missing id", None),
+    }
+
+
+def test_empty_table(spark):
+    assert tool_calls.formatted(spark.createDataFrame([], SCHEMA), tool_calls.SEARCH).collect() == []
