@@ -252,23 +252,39 @@ def length_violations(tables: Tables) -> DataFrame:
     return _broken_rules(tables, _length_rules).drop("problem")
 
 
-def constraint_violations(tables: Tables) -> DataFrame:
-    """(check_name, issue_count) of every rule a load enforces, violated ones only.
+def _rule_pass(tables: Tables, table: str, rules: Sequence[ColumnRule]) -> DataFrame:
+    """(check_name, issue_count) of a table's key and column rules, from one scan and one grouping by the key.
 
-    Column rules take one pass per table and keys one grouping per table.
+    Each row is one entry with its key, and one more for each rule that it breaks; those have no key, so that
+    a map task sends one row for a rule, however many rows break it. A table without a key sends such rows only.
     """
+    key = TABLE_SPECS[table].key
+    names = [f"{table}: duplicate key", *(f"{table}: {rule.column} {rule.problem}" for rule in rules)]
+    own = [F.lit(0)] if key else []
+    of_all = F.array(*own).cast("array<int>")
+    broken = [F.coalesce(rule.broken(), F.lit(False)) for rule in rules]
+    of_broken = F.array_compact(F.array(*own, *(F.when(b, F.lit(i)) for i, b in enumerate(broken, 1))))
+    kinds = F.when(reduce(Column.__or__, broken), of_broken).otherwise(of_all) if rules else of_all
+    values = [F.col(c).alias(f"value_{i}") for i, c in enumerate(key)]
+    entries = tables[table].select(*values, F.explode(kinds).alias("kind"))
+    keys = [F.when(F.col("kind") == 0, F.col(f"value_{i}")).alias(f"key_{i}") for i in range(len(key))]
+    counted = entries.select("kind", *keys).groupBy("kind", *(f"key_{i}" for i in range(len(key)))).agg(F.count("*").alias("n"))
+    issues = F.when(F.col("kind") > 0, F.col("n")).otherwise((F.col("n") > 1).cast("long"))
+    return (
+        counted.groupBy("kind")
+        .agg(F.sum(issues).alias("issue_count"))
+        .select(F.element_at(F.array(*map(F.lit, names)), F.col("kind") + 1).alias("check_name"), "issue_count")
+    )
+
+
+def constraint_violations(tables: Tables) -> DataFrame:
+    """(check_name, issue_count) of every rule a load enforces, violated ones only, from one scan of each table."""
 
     def rules_of(table: str) -> list[ColumnRule]:
         scores = [ColumnRule("review_score", "is invalid", _invalid_score)] if table == "order_reviews" else []
         return _null_rules(table) + _length_rules(table) + scores
 
-    keys = [
-        _duplicates(f"{table}: duplicate key", table, *spec.key) for table, spec in TABLE_SPECS.items() if spec.key
-    ]
-    per_column = _broken_rules(tables, rules_of).select(
-        F.concat("table_name", F.lit(": "), "column_name", F.lit(" "), "problem").alias("check_name"), "issue_count"
-    )
-    return count_issues(tables, keys).unionAll(per_column).filter(F.col("issue_count") > 0)
+    return _union(_rule_pass(tables, table, rules_of(table)) for table in TABLE_SPECS).filter(F.col("issue_count") > 0)
 
 
 def require_constraints(tables: Tables) -> None:

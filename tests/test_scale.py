@@ -1,18 +1,26 @@
 """Plans and results under the skew and sizes a cluster would see."""
 
+import random
 import re
+import tempfile
+from collections import Counter
+from datetime import timedelta
+from decimal import Decimal
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
-from builders import PURCHASE
+from builders import PURCHASE, tables
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelwise.operators import latest_per_key
 from parcelwise.plans import quality as q
 from parcelwise.plans.findings import FINDINGS
 from parcelwise.plans.order_metrics import order_metrics
 from parcelwise.plans.views import Views
-from parcelwise.sources import Tables, load_tables, struct_type, write_tables
+from parcelwise.sources import TABLE_SPECS, Tables, load_tables, struct_type, write_tables
 
 
 @pytest.fixture(scope="module")
@@ -217,3 +225,72 @@ def test_latest_row_is_reduced_before_the_shuffle(stored_sample):
 def test_quartiles_of_hot_values(hot_tables, small_skew_limits):
     rows = FINDINGS["17_value_quartiles"](Views(hot_tables)).collect()
     assert [r.order_count for r in rows] == [7500] * 4
+
+
+def test_declared_rules_take_one_scan_of_each_table(stored_sample, no_broadcast):
+    text = plan(q.constraint_violations(stored_sample))
+    assert text.count("FileScan parquet") == 9
+    # Each table is grouped by its key where it has one, and by rule.
+    assert text.count("Exchange hashpartitioning") + text.count("Exchange SinglePartition") <= 18
+
+
+def test_rules_equal_their_single_counts(spark):
+    rng = random.Random(4)
+    rows = {
+        name: [
+            {f.name: _value(rng, f.dataType) for f in struct_type(name).fields} for _ in range(rng.choice((0, 1, 40)))
+        ]
+        for name in TABLE_SPECS
+    }
+    rows["order_reviews"] += [{"review_id": "r", "order_id": "o", "review_score": s} for s in (0, 6, 5, None, 5)]
+    loaded = tables(spark, **rows)
+    found = {r.check_name: r.issue_count for r in q.constraint_violations(loaded).collect()}
+    want = {}
+    for name, spec in TABLE_SPECS.items():
+        for field in spec.required:
+            want[f"{name}: {field} is NULL"] = sum(r.get(field) is None for r in rows[name])
+        for field in spec.bounded:
+            want[f"{name}: {field.name} is too long"] = sum(
+                len((r.get(field.name) or "").rstrip(" ")) > field.max_length for r in rows[name]
+            )
+        if spec.key:
+            keys = Counter(tuple(r.get(c) for c in spec.key) for r in rows[name])
+            want[f"{name}: duplicate key"] = sum(n > 1 for n in keys.values())
+    scores = [r.get("review_score") for r in rows["order_reviews"]]
+    want["order_reviews: review_score is invalid"] = sum(s is not None and not 1 <= s <= 5 for s in scores)
+    assert found == {check: n for check, n in want.items() if n}
+
+
+def _value(rng, kind):
+    if rng.random() < 0.3:
+        return None
+    if isinstance(kind, T.StringType):
+        return rng.choice(["a", "b ", "x" * rng.randint(1, 300)])
+    if isinstance(kind, T.DecimalType):
+        return Decimal(rng.randint(0, 9))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return PURCHASE
+    return float(rng.randint(0, 9)) if isinstance(kind, (T.DoubleType, T.FloatType)) else rng.randint(1, 5)
+
+
+def test_a_month_of_the_published_fact_reads_few_files(spark, stored_sample, tmp_path, conf):
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    fact = Views(stored_sample).order_metrics
+    # A third of all orders at one moment.
+    moment = F.when(F.abs(F.hash("order_id")) % 3 == 0, F.lit(PURCHASE).cast("timestamp_ntz")).otherwise(F.col("order_purchase_timestamp"))
+    for given in (fact, fact.withColumn("order_purchase_timestamp", moment)):
+        folder = tempfile.mkdtemp(dir=tmp_path)
+        views = Views(stored_sample, {"order_metrics": given}).publish(folder)
+        assert sorted(views.order_metrics.collect(), key=str) == sorted(given.collect(), key=str)
+        groups = []
+        for file in Path(folder, "vw_order_delivery_metrics").glob("*.parquet"):
+            stored = pq.ParquetFile(file)
+            at = stored.schema_arrow.get_field_index("order_purchase_timestamp")
+            for i in range(stored.num_row_groups):
+                group = stored.metadata.row_group(i)
+                groups.append((group.column(at).statistics.min, group.column(at).statistics.max, group.num_rows))
+        groups.sort()
+        assert len(groups) >= 6 and all(a[1] <= b[0] for a, b in zip(groups, groups[1:]))
+        assert max(n for *_, n in groups) <= 2 * sum(n for *_, n in groups) / len(groups)
+        first = groups[0][0]
+        assert sum(low < first + timedelta(days=31) for low, _, _ in groups) <= 2
