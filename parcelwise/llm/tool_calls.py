@@ -12,7 +12,6 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from parcelwise.llm.tables import dropped, kept
 
@@ -154,12 +153,20 @@ def _depths_of(needs: dict[str, set[str]]) -> dict[str, int]:
     return done
 
 
-def _conversation(edges: pd.DataFrame) -> pd.DataFrame:
-    needs = defaultdict(set)
-    for call, needed in zip(edges["call_id"], edges["needed"], strict=True):
-        needs[call].add(needed)
-    found = [(edges["conv_id"].iloc[0], call, depth) for call, depth in _depths_of(needs).items() if call in needs]
-    return pd.DataFrame(found, columns=["conv_id", "call_id", "depth"])
+def _ordered(needs: Column) -> Column:
+    """Depths of the calls with needs, for the list of a conversation's dependencies."""
+
+    def depths_of(pairs: list[dict[str, str]]) -> list[dict[str, object]]:
+        found = defaultdict(set)
+        for pair in pairs:
+            found[pair["call_id"]].add(pair["needed"])
+        return [{"call_id": call, "depth": depth} for call, depth in _depths_of(found).items() if call in found]
+
+    @F.pandas_udf("array<struct<call_id:string,depth:long>>")
+    def all_depths(conversations: pd.Series) -> pd.Series:
+        return conversations.map(depths_of)
+
+    return all_depths(needs)
 
 
 def _joined_depths(edges: DataFrame) -> DataFrame:
@@ -224,8 +231,8 @@ def depths(calls: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     result = nodes.join(edges.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").select(
         "conv_id", "call_id", F.lit(0).cast("long").alias("depth")
     )
-    schema = T.StructType([edges.schema["conv_id"], edges.schema["call_id"], T.StructField("depth", T.LongType())])
-    small = edges.join(large, "conv_id", "left_anti").groupBy("conv_id").applyInPandas(_conversation, schema)
+    listed = edges.join(large, "conv_id", "left_anti").groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "needed")).alias("needs"))
+    small = listed.select("conv_id", F.inline(_ordered("needs")))
     result = result.unionByName(small)
     if large.head(1):
         result = result.unionByName(_joined_depths(kept(edges.join(large, "conv_id"), "large-needs")))
