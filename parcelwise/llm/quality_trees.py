@@ -126,15 +126,17 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: np.ndarray) -> Trees:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for texts, labels in W.rows_of(batches):
+    for ids, texts, labels in W.rows_of(batches):
         rows = [stats.document(t)[1] for t in texts]
-        yield pa.record_batch(
-            [pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.int64())], names=["x", "label"]
-        )
+        columns = [pa.array(ids, pa.int64()), pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.int64())]
+        yield pa.record_batch(columns, names=["doc_id", "x", "label"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Trees:
-    """Trees for ``quality`` from at most ``MAX_TRAINING_ROWS`` labelled documents, the first by hash of their id."""
+    """Trees for ``quality`` from at most ``MAX_TRAINING_ROWS`` labelled documents, the first by hash of their id.
+
+    Of several rows with one id the one with the least statistics counts, so no id sends more than one row to the driver.
+    """
     labels = (
         labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
         .groupBy("doc_id")
@@ -145,8 +147,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Trees:
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(labels), "doc_id")  # at most MAX_TRAINING_ROWS rows
-        .select("text", "label")
-        .mapInArrow(_features, "x array<double>, label long")
+        .select(F.col("doc_id").cast("long"), "text", "label")
+        .mapInArrow(_features, "doc_id long, x array<double>, label long")
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("x", "label")).alias("row"))
+        .select("row.*")
         .toPandas()
     )
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(stats.FEATURES))
