@@ -241,14 +241,15 @@ def _linear_rows(lexicon: Lexicon, model: LabelModel) -> Callable:
     of, n = _votes(lexicon), len(lexicon) + N_PATTERNS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, labels in W.rows_of(batches):
+        for ids, texts, labels in W.rows_of(batches):
             entries = [_entries(t) for t in texts]
             votes = [of(t, e) for t, e in zip(texts, entries, strict=True)]
             known = np.array([np.nan if y is None else y for y in labels], float)
             target = model.posterior(_unpacked(np.array(votes, np.int64), n), known)
             columns = [_columns(e, v, n) for e, v in zip(entries, votes, strict=True)]
             yield pa.record_batch(
-                [pa.array(columns, pa.list_(pa.int64())), pa.array(target)], names=["columns", "target"]
+                [pa.array(ids, pa.int64()), pa.array(columns, pa.list_(pa.int64())), pa.array(target)],
+                names=["doc_id", "columns", "target"],
             )
 
     return run
@@ -308,8 +309,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Toxicity:
     )
     rows = (
         ours.join(F.broadcast(chosen), "doc_id")  # at most MAX_TRAINING_ROWS ids
-        .select("text", "label")
-        .mapInArrow(_linear_rows(lexicon, model), "columns array<long>, target double")
+        .select(F.col("doc_id").cast("long"), "text", "label")
+        .mapInArrow(_linear_rows(lexicon, model), "doc_id long, columns array<long>, target double")
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("columns", "target")).alias("row"))  # a repeated id sends one row, the least of its texts
+        .select("row.*")
         .toArrow()
     )
     lists, target = rows["columns"].combine_chunks(), rows["target"].to_numpy()
