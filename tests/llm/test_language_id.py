@@ -1,0 +1,145 @@
+"""Language identification against plain Python: fusion of the evidence on random rows, and evidence of web pages."""
+
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from parcelwise.llm import language_id as L
+
+SCHEMA = "k long, text string, declared string, suffix string, host string"
+TEXTS = [
+    "the house of the man and the sea", "der mann und das haus an der see", "la maison de la mer et les gens",
+    "el hombre y la casa del mar", "", None, "12 34", "x", "the man " * 4000,
+]
+
+
+def _rows():
+    rng = random.Random(8)
+    rows = []
+    for k in range(200):
+        host = rng.choice([None, "one.example.de", "two.example.de", "solo", "a.b.uk", *["hot.example.com"] * 4])
+        rows.append((k, rng.choice(TEXTS), rng.choice([None, "en", "de", "fr", "zz"]), rng.choice([None, "de", "uk"]), host))
+    return rows + rows[:20]
+
+
+def _softmax(values):
+    top = max(values)
+    parts = [math.exp(v - top) for v in values]
+    return [p / sum(parts) for p in parts]
+
+
+def _brute(rows, scores):
+    """Posterior of each row from the log likelihoods of its text and sums over all rows but itself."""
+    n = len(L.LANGUAGES)
+    own = [_softmax(scores[text][1]) for _, text, *_ in rows]
+    total = [sum(o[k] for o in own) for k in range(n)]
+    size = sum(total)
+
+    def domain(host):
+        return host and ".".join(host.split(".")[-2:])
+
+    keyed = [{"declared": r[2], "suffix": r[3], "host": r[4], "domain": domain(r[4])} for r in rows]
+    sums = {name: defaultdict(lambda: [0.0] * n) for name in keyed[0]}
+    for keys, o in zip(keyed, own):
+        for name, value in keys.items():
+            if value is not None:
+                sums[name][value] = [a + b for a, b in zip(sums[name][value], o)]
+    out = []
+    for (_, text, *_), keys, o in zip(rows, keyed, own):
+        n_trigrams, likelihood = scores[text]
+        rest = {name: [a - b for a, b in zip(sums[name][v], o)] for name, v in keys.items() if v is not None}
+        logs = []
+        for k in range(n):
+            value = likelihood[k]
+            for name in ("declared", "suffix"):
+                if name in rest:
+                    share = (sum(rest[name]) + L.TABLE_WEIGHT) / (size + L.TABLE_WEIGHT)
+                    here = (rest[name][k] + L.TABLE_WEIGHT * share) / (total[k] + L.TABLE_WEIGHT)
+                    value += math.log(max(here, 1e-9) / share)
+            prior = (total[k] + 1) / (size + n)
+            for name in ("domain", "host"):
+                if name in rest:
+                    seen = [max(s, 0.0) for s in rest[name]]
+                    prior = (seen[k] + L.HOST_WEIGHT * prior) / (sum(seen) + L.HOST_WEIGHT)
+            logs.append(value + math.log(prior))
+        post = _softmax([*(v + math.log1p(-L.UNKNOWN_PRIOR) for v in logs), math.log(L.UNKNOWN_PRIOR)])
+        best = max(post)
+        language = [*L.LANGUAGES, L.UNKNOWN][post.index(best)]
+        out.append((language, best, language != L.UNKNOWN and best >= L.MIN_POSTERIOR and n_trigrams > 0))
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_fusion_equals_plain_python(spark, partitions):
+    rows = _rows()
+    table = spark.createDataFrame(rows, SCHEMA).repartition(partitions)
+    model = L.text_model(table)
+    n = len(L.LANGUAGES)
+    fields = ", ".join(f"text_{k} double" for k in range(n))
+    scored = table.select("declared", "text").distinct().mapInArrow(
+        _text_scores(model), f"text string, n_trigrams long, {fields}"
+    ).collect()
+    scores = {r["text"]: (r["n_trigrams"], [r[f"text_{k}"] for k in range(n)]) for r in scored}
+    clashing = table.select("*", F.lit("de").alias("domain"), F.lit(1).alias("n_trigrams"), F.lit(2.0).alias("text_0"), F.lit(3).alias("own_0"))
+    got = L.identify(clashing, ["k"], model).collect()
+    want = _brute(rows, scores)
+    assert len(got) == len(rows)
+    found = defaultdict(list)
+    for r in got:
+        found[r["k"]].append((r["language"], r["posterior"], r["accepted"]))
+    assert Counter({k: len(v) for k, v in found.items()}) == Counter(r[0] for r in rows)
+    for (k, *_), (language, posterior, accepted) in zip(rows, want):
+        for one in found[k]:
+            assert one[0] == language and one[2] == accepted and one[1] == pytest.approx(posterior, abs=1e-6)
+    assert L.identify(table.limit(0), ["k"], model).collect() == []
+
+
+def _text_scores(model):
+    """Scores of the texts alone: the operator's own likelihoods without any other evidence."""
+    import pyarrow as pa
+
+    run = L._scores(model)
+
+    def each(batches):
+        def bare():
+            for batch in batches:
+                nothing = pa.nulls(batch.num_rows, pa.string())
+                text = batch.column(batch.schema.get_field_index("text"))
+                yield pa.record_batch([text, nothing, nothing, nothing, text], names=["text_id", "declared", "suffix", "host", "text"])
+
+        for out in run(bare()):
+            at = {name: out.column(i) for i, name in enumerate(out.schema.names)}
+            names = ["n_trigrams", *(c for c in at if c.startswith("text_") and c != "text_id")]
+            yield pa.record_batch([at["text_id"], *(at[c] for c in names)], names=["text", *names])
+
+    return each
+
+
+PAGES = [
+    (1, "https://user:pw@News.Example.DE:8080/a?b#c", '<HTML class="x" LANG=\'De-at\'><script>var x = "<p>no</p>";</script><p>Der&nbsp;Mann</p>'),
+    (2, "http://shop.example.uk", "<html><style>p {}</style><!-- gone <p>no</p> --><title>t</title><p>the <b>man</b></p>"),
+    (3, "no address", "plain"),
+    (4, None, None),
+    (5, "https://10.0.0.1/x", ""),
+    (6, "https://site.fr/", '<html lang="FR"><p>' + "la mer " * 20_000 + "</p>"),
+]
+WANTED = {
+    1: ("de", "de", "news.example.de", "Der Mann"), 2: (None, "uk", "shop.example.uk", "the man"), 3: (None, None, None, "plain"),
+    4: (None, None, None, None), 5: (None, None, "10.0.0.1", ""), 6: ("fr", "fr", "site.fr", "la mer " * 19_999 + "la mer"),
+}
+
+
+def test_evidence_of_pages(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("host", F.lit("other"))
+    got = {r["page_id"]: r for r in L.page_evidence(pages).collect()}
+    for page, (declared, suffix, host, text) in WANTED.items():
+        r = got[page]
+        assert (r["declared"], r["suffix"], r["host"]) == (declared, suffix, host)
+        assert (r["text"] and re.sub(r"\s+", " ", r["text"]).strip()) == text
+    found = L.page_languages(pages).collect()
+    assert len(found) == len(PAGES) and L.page_languages(pages.limit(0)).collect() == []
+    assert not {r["page_id"]: r["accepted"] for r in found}[4]
