@@ -577,3 +577,43 @@ def _links(docs: DataFrame, classes: DataFrame, order: TokenOrder, names: dict,
         links = links.unionByName(_verified(_remaining_pairs(rows, percent), sets, percent, "links"))
     dropped(sets, rows)
     return links
+
+
+# near_duplicates with four words and 85 in a hundred; equal sets are one class, as in the operator.
+ORACLE_SQL = r"""
+WITH RECURSIVE cut AS (
+    SELECT doc_id, regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), sets AS (
+    SELECT doc_id, list_sort(list_distinct(CASE
+               WHEN len(words) = 0 THEN []
+               WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+               ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END)) AS shingles
+    FROM cut
+), named AS (
+    SELECT doc_id, len(shingles) AS n, md5(array_to_string(shingles, chr(10))) AS name, shingles FROM sets
+), classes AS (
+    SELECT name, min(doc_id) AS first_id, any_value(n) AS n, any_value(shingles) AS shingles
+    FROM named WHERE n > 0 AND doc_id IS NOT NULL GROUP BY name
+), tokens AS (
+    SELECT first_id, n, unnest(shingles) AS token FROM classes
+), shared AS (
+    SELECT a.first_id AS x, b.first_id AS y, any_value(a.n + b.n) AS n, count(*) AS common
+    FROM tokens a JOIN tokens b ON a.token = b.token AND a.first_id < b.first_id GROUP BY a.first_id, b.first_id
+), links AS (
+    SELECT x, y FROM shared WHERE 100 * common >= 85 * (n - common)
+), ways AS (
+    SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached AS (
+    SELECT first_id AS x, first_id AS y FROM classes
+    UNION
+    SELECT reached.x, ways.y FROM reached JOIN ways ON reached.y = ways.x
+), smallest AS (
+    SELECT x, min(y) AS component FROM reached GROUP BY x
+)
+SELECT d.doc_id::BIGINT AS doc_id, d.n::BIGINT AS n_shingles,
+       CASE WHEN d.doc_id IS NOT NULL THEN coalesce(s.component, d.doc_id) END::BIGINT AS component_id
+FROM named d LEFT JOIN classes c ON d.name = c.name AND d.n > 0 LEFT JOIN smallest s ON s.x = c.first_id
+"""

@@ -103,4 +103,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_filter_audit": filter_audit.ORACLE_SQL}
+    return {
+        "op4_ngram_jaccard_join": ngram_join.ORACLE_SQL,
+        "op8_suffix_dedup": suffix_dedup.ORACLE_SQL,
+        "op12_filter_audit": filter_audit.ORACLE_SQL,
+    }

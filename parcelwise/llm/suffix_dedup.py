@@ -188,3 +188,29 @@ def passage_report(docs: DataFrame) -> DataFrame:
         length.alias("repeated_words"),
         F.concat_ws(",", listed).alias("spans"),
     )
+
+
+# passage_report; spans that touch are merged.
+ORACLE_SQL = r"""
+WITH cut AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents WHERE doc_id IS NOT NULL
+), starts AS (
+    SELECT doc_id, words, unnest(range(0, len(words) - 49)) AS start FROM cut WHERE len(words) >= 50
+), runs AS (
+    SELECT DISTINCT doc_id, start, md5(array_to_string(words[start + 1:start + 50], ' ')) AS run FROM starts
+), shared AS (
+    SELECT run FROM runs GROUP BY run HAVING min(doc_id) <> max(doc_id)
+), held AS (
+    SELECT DISTINCT doc_id, start FROM runs SEMI JOIN shared ON runs.run = shared.run
+), marked AS (
+    SELECT doc_id, start, CASE WHEN start <= lag(start) OVER (PARTITION BY doc_id ORDER BY start) + 50 THEN 0 ELSE 1 END AS opens
+    FROM held
+), numbered AS (
+    SELECT doc_id, start, sum(opens) OVER (PARTITION BY doc_id ORDER BY start) AS span FROM marked
+), spans AS (
+    SELECT doc_id, min(start) AS first, max(start) + 50 AS past FROM numbered GROUP BY doc_id, span
+)
+SELECT doc_id::BIGINT AS doc_id, count(*) AS n_spans, sum(past - first)::BIGINT AS repeated_words,
+       string_agg(first || ':' || past, ',' ORDER BY first) AS spans
+FROM spans GROUP BY doc_id
+"""
