@@ -1,10 +1,11 @@
-"""Repeated passages by an exact join of word windows around chosen positions.
+"""Repeated passages from a sparse suffix array: suffixes at chosen positions, sorted, compared and extended.
 
 A passage of ``MIN_WORDS`` has a minimiser, a position chosen by the content around it, among its first ``WINDOW``
-words, the same one in every document that holds it. Passages of one document with the same minimiser form a
-stretch; only stretches whose minimiser is followed by words that another document has behind one of its own are
-looked at. Equal stretches are one class. A class of several documents is repeated as a whole; where classes differ
-around equal words, their passages are hashed and joined one by one.
+words, the same one in every document that holds it. Only suffixes at minimisers are retained. Passages of one document
+with the same minimiser form a stretch; only stretches whose suffix starts like one of another document are
+looked at. Equal stretches are one class, and a class of several documents is repeated as a whole. The suffixes of the
+others are sorted, neighbours are compared, and their matches extended to the right and to the left. What neighbours
+leave unmatched is joined by the hash of each passage, because a sparse order hides matches that lie mostly to the left.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm import words as W
-from parcelwise.llm.tables import kept
+from parcelwise.llm.tables import dropped, kept
 
 MIN_WORDS = 50
 GRAM, WINDOW = 8, 24  # words hashed at a position, and neighbouring positions of which one is chosen
@@ -83,11 +84,15 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.record_batch([*columns, starts], names=["code", "context", "doc_id", "words", "starts"])
 
 
-_PASSAGES = "code long, context long, low long, high long, passages array<long>"
+_SUFFIX = "code long, context long, low long, high long, lead array<long>, behind array<long>"
+_MATCHED = f"{_SUFFIX}, from int, to int"
 
 
-def _passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all passages of each class, read at its place; other texts of that id do not hold the class."""
+def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffix of each class, read at its place as hashes of words; other texts of that id do not hold the class.
+
+    ``lead`` is the suffix from the minimiser to the end of the stretch, ``behind`` the words before it, the nearest first.
+    """
     for texts, places in W.rows_of(batches, 64):
         rows = []
         for text, own in zip(texts, places, strict=True):
@@ -99,34 +104,127 @@ def _passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     continue
                 if int(W.signed(ranges(np.array([start]), words))[0]) != p["context"]:
                     continue
-                each = W.signed(ranges(np.arange(start, start + words - MIN_WORDS + 1), MIN_WORDS))
-                rows.append((p["code"], p["context"], p["low"], p["high"], each))
+                part = hashes[start : start + words]
+                at = int(stretches(part)[0][0])
+                part = W.signed(part).tolist()
+                rows.append((p["code"], p["context"], p["low"], p["high"], part[at:], part[:at][::-1]))
         if rows:
-            *columns, each = zip(*rows, strict=True)
-            columns = [pa.array(c, pa.int64()) for c in columns]
-            yield pa.record_batch(
-                [*columns, pa.array(each, pa.list_(pa.int64()))], names=["code", "context", "low", "high", "passages"]
-            )
+            yield _batch(rows, ["code", "context", "low", "high"], ["lead", "behind"])
 
 
-def _held_parts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """For each class of one document the part that other classes hold: ``code``, ``context``, ``from`` and ``to``.
+def _batch(rows: list, longs: list[str], lists: list[str], ints: list[str] = []) -> pa.RecordBatch:  # noqa: B006
+    kinds = [pa.int64()] * len(longs) + [pa.list_(pa.int64())] * len(lists) + [pa.int32()] * len(ints)
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.record_batch(columns, names=[*longs, *lists, *ints])
 
-    The passages of a class overlap all, so those from the first to the last one held are one part.
+
+def _common(x: list[int], y: list[int]) -> int:
+    """Length of the common prefix."""
+    return next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+
+
+class _Suffix:
+    """A row of the sorted suffixes with the part of its stretch that neighbours hold."""
+
+    def __init__(self, row: tuple):
+        self.row = row
+        self.code, _, self.low, self.high, self.lead, self.behind = row
+        self.start, self.end = len(self.lead) + len(self.behind), 0
+
+    def of_others(self, other: _Suffix) -> bool:
+        return not self.low == self.high == other.low == other.high
+
+    def extend(self, other: _Suffix) -> None:
+        """Compares with a neighbour: right along the suffixes, then left from the minimisers."""
+        if self.code != other.code:
+            return
+        right, left = _common(self.lead, other.lead), _common(self.behind, other.behind)
+        if left + right >= MIN_WORDS:
+            for s in (self, other):
+                s.start, s.end = min(s.start, len(s.behind) - left), max(s.end, len(s.behind) + right)
+
+    def matched(self) -> tuple:
+        return (*self.row, self.start if self.end else 0, self.end)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted suffixes, each compared with the nearest before it of another document and with the next."""
+    last = other = None
+    names = (["code", "context", "low", "high"], ["lead", "behind"], ["from", "to"])
+    for columns in W.rows_of(batches, 1024):
+        out = []
+        for row in zip(*columns, strict=True):
+            suffix = _Suffix(row)
+            if last is not None:
+                if suffix.of_others(last):
+                    other = last
+                if other is not None:
+                    suffix.extend(other)
+                out.append(last.matched())
+            last = suffix
+        if out:
+            yield _batch(out, *names)
+    if last is not None:
+        yield _batch([last.matched()], *names)
+
+
+_PASSAGES = "code long, context long, low long, high long, from int, to int, passages array<long>"
+
+
+def _passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of all passages of each class."""
+    for columns in W.rows_of(batches, 1024):
+        rows = []
+        for code, context, low, high, lead, behind, start, end in zip(*columns, strict=True):
+            part = np.array(behind[::-1] + lead, np.int64).view(np.uint64)
+            each = W.signed(W.window_hashes(part, MIN_WORDS)).tolist()
+            rows.append((code, context, low, high, each, start, end))
+        if rows:
+            table = _batch(rows, ["code", "context", "low", "high"], ["passages"], ["from", "to"])
+            yield table.select(["code", "context", "low", "high", "from", "to", "passages"])
+
+
+def _sorted_suffixes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Suffixes of the classes that share a code with others, some of one document, with what their neighbours hold.
+
+    Sorted by code, then by the words of the suffix and those before it, and cut into ranges anywhere, so that a frequent
+    code fills no task.
     """
     mixed = classes.groupBy("code").agg(F.count("*").alias("n"), F.max(F.expr("low = high")).alias("alone"))
     opened = classes.join(mixed.where("n > 1 AND alone").select("code"), "code")
     place = F.struct("code", "context", "words", "low", "high", F.col("first.start").alias("start"))
     places = opened.groupBy(F.col("low").alias("doc_id")).agg(F.collect_list(place).alias("places"))
-    rows = docs.join(places, "doc_id").select("text", "places").mapInArrow(_passage_rows, _PASSAGES)
-    passages = kept(rows, "passages").select("code", "context", "low", "high", F.posexplode("passages").alias("k", "passage"))
+    rows = kept(docs.join(places, "doc_id").select("text", "places").mapInArrow(_suffix_rows, _SUFFIX), "suffixes")
+    by = ("code", "lead", "behind")
+    matched = rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_neighbours, _MATCHED)
+    matched = kept(matched, "neighbours")
+    dropped(rows)
+    return matched
+
+
+def _held_parts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """For each class of one document the part that other classes hold: ``code``, ``context``, ``from`` and ``to``.
+
+    Neighbours give the longest match to the right, but a class may share more words to the left with one farther off, or
+    with one in the next range. So passages outside the matched part are joined with those of all classes of their code.
+
+    The passages of a class overlap all, so those from the first to the last one held are one part.
+    """
+    matched = _sorted_suffixes(docs, classes)
+    unmatched = matched.where("low = high AND to - from < size(lead) + size(behind)").select("code").distinct()
+    rows = matched.join(unmatched, "code", "left_semi").mapInArrow(_passage_rows, _PASSAGES)
+    passages = kept(rows, "passages").select(
+        "code", "context", "low", "high", "from", "to", F.posexplode("passages").alias("k", "passage")
+    )
     held = passages.groupBy("code", "passage").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x != y")
-    return (
-        passages.where("low = high")
+    exact = (
+        passages.where(f"low = high AND NOT (k >= from AND k + {MIN_WORDS} <= to)")
         .join(held.select("code", "passage"), ["code", "passage"])
-        .groupBy("code", "context")
-        .agg(F.min("k").alias("from"), (F.max("k") + MIN_WORDS).alias("to"))
+        .select("code", "context", F.col("k").alias("from"), (F.col("k") + MIN_WORDS).alias("to"))
     )
+    near = matched.where("low = high AND to > 0").select("code", "context", "from", "to")
+    parts = near.unionByName(exact).groupBy("code", "context")
+    return parts.agg(F.min("from").alias("from"), F.max("to").alias("to"))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
