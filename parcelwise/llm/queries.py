@@ -104,6 +104,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_chat_formatting": tool_calls.ORACLE_SQL,
         "op4_ngram_jaccard_join": ngram_join.ORACLE_SQL,
         "op8_suffix_dedup": suffix_dedup.ORACLE_SQL,
         "op12_filter_audit": filter_audit.ORACLE_SQL,

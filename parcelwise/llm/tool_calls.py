@@ -344,3 +344,46 @@ def as_tool_chat(conversations: DataFrame) -> DataFrame:
     )
     answered = rows.where("role = 'assistant'").select("conv_id", "turn", F.lit("tool").alias("role"), answer.alias("text"))
     return rows.where("role IS NULL OR role != 'assistant'").unionByName(asked).unionByName(answered)
+
+
+# formatted(as_tool_chat(conversations), SEARCH), for turns that hold one text each.
+ORACLE_SQL = r"""
+WITH said AS (
+    SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), asked AS (
+    SELECT conv_id, turn, 'call-' || conv_id || '-' || turn AS call_id, to_json(text)::VARCHAR AS query,
+           CASE WHEN (conv_id + turn) % 7 = 0 THEN NULL WHEN (conv_id + turn) % 11 = 0 THEN '"5"' ELSE '5' END AS most,
+           CASE WHEN turn > 1 THEN '"$ref:call-' || conv_id || '-' || (turn - 2) || '"' END AS need
+    FROM said WHERE role = 'user'
+), chained AS (
+    SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS chain FROM asked
+), calls AS (
+    SELECT a.*, row_number() OVER (PARTITION BY a.conv_id, a.turn % 2, c.chain ORDER BY a.turn) - 1 AS depth
+    FROM asked a JOIN chained c ON a.conv_id = c.conv_id AND a.turn = c.turn
+), results AS (
+    SELECT conv_id, turn, 'call-' || conv_id || '-' || (turn - 1) AS call_id, to_json(text)::VARCHAR AS content
+    FROM said WHERE role = 'assistant'
+), messages AS (
+    SELECT conv_id, turn, role, text FROM said WHERE role IS DISTINCT FROM 'assistant'
+    UNION ALL
+    SELECT conv_id, turn, 'assistant', '{"tool_calls":[{"id":"' || call_id || '","name":"search","arguments":{"query":' || query
+           || coalesce(',"limit":' || most, '') || coalesce(',"after":' || need, '') || '}}]}'
+    FROM asked
+    UNION ALL
+    SELECT conv_id, turn, 'tool', '{"tool_call_id":"' || call_id || '","content":' || content || '}' FROM results
+)
+SELECT conv_id, turn, -1 AS place, 'message' AS kind, NULL::VARCHAR AS call_id, NULL::INTEGER AS depth, NULL::VARCHAR AS status,
+       '' AS problems,
+       '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"conv_id":' || conv_id
+       || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || ',"turn":' || turn || '}' AS json
+FROM messages
+UNION ALL
+SELECT coalesce(c.conv_id, r.conv_id), coalesce(c.turn, r.turn), 0, 'call', coalesce(c.call_id, r.call_id), c.depth::INTEGER,
+       CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'linked' END,
+       CASE WHEN c.turn IS NULL THEN '' WHEN c.most IS NULL THEN 'missing limit' WHEN c.most = '"5"' THEN 'limit is no integer' ELSE '' END,
+       '{"arguments":' || CASE WHEN c.turn IS NULL THEN 'null' ELSE
+           '{' || coalesce('"after":' || c.need || ',', '') || coalesce('"limit":' || c.most || ',', '') || '"query":' || c.query || '}' END
+       || ',"id":"' || coalesce(c.call_id, r.call_id) || '","name":' || CASE WHEN c.turn IS NULL THEN 'null' ELSE '"search"' END
+       || ',"result":' || coalesce(r.content, 'null') || '}'
+FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+"""

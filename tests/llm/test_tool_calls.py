@@ -5,7 +5,9 @@ import random
 from collections import Counter
 
 import pytest
+from oracle_check import compare, connect
 
+from parcelwise.llm import queries as corpus
 from parcelwise.llm import tool_calls
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -155,3 +157,8 @@ def test_calls_and_results_without_an_id_are_rows(spark):
 
 def test_empty_table(spark):
     assert tool_calls.formatted(spark.createDataFrame([], SCHEMA), tool_calls.SEARCH).collect() == []
+
+
+def test_query_equals_its_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    assert compare(corpus.op3_chat_formatting(spark, folder), connect(folder), tool_calls.ORACLE_SQL) is None
