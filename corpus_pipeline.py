@@ -14,7 +14,10 @@ SIMILAR_PERCENT = 80
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is rejected go; null and empty texts have none. Repeated rows are decided alike."""
+    """Documents whose language is rejected go; null and empty texts have none. Repeated rows are decided alike.
+
+    Languages are learned from the rows that declare one; where none does, no language is known and all rows go.
+    """
     return language_id.with_known_language(docs)
 
 
