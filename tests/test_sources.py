@@ -1,7 +1,9 @@
 import csv
+import gzip
 import random
 from datetime import datetime
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from builders import customer, item, order, review, tables
@@ -388,3 +390,18 @@ def test_a_failed_save_leaves_the_names(spark):
 
 def test_scratch_folder_is_the_one_the_session_names(spark):
     assert scratch_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_a_raw_delivery_is_written_compressed(spark, sample, tmp_path):
+    """Plain CSV of the nine tables, several times the size of the Parquet it is loaded into, was most of what a reload wrote."""
+    import __spark_entry__ as entry
+
+    broken = entry._with_breaks(sample)
+    raw = Path(entry._written_csv(broken).removeprefix("file:"))
+    written = {name: list((raw / TABLE_SPECS[name].csv_suffix).glob("part-*")) for name in TABLE_SPECS}
+    assert all(p.name.endswith(".csv.gz") for parts in written.values() for p in parts)
+    plain = sum(len(gzip.decompress(p.read_bytes())) for parts in written.values() for p in parts)
+    assert sum(p.stat().st_size for parts in written.values() for p in parts) * 2 < plain
+    loaded = ingest(spark, str(raw), str(tmp_path / "loaded"), strict=False)
+    for name in ("sellers", "order_reviews"):
+        assert sorted(map(tuple, loaded[name].collect()), key=str) == sorted(map(tuple, broken[name].collect()), key=str)
