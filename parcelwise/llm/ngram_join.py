@@ -277,20 +277,25 @@ def _ends(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _enough(rows: DataFrame, least: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
-    """The rows of tokens that several sets hold, or several components if rows have a ``part``, and the sets with
-    at least ``least(n)`` of them."""
-    part = "part" if "part" in rows.columns else "set_id"
-    mixed = rows.groupBy("token").agg(F.min(part).alias("low"), F.max(part).alias("high")).where("low != high")
-    shared = rows.join(mixed.select("token"), "token")
-    counted = shared.groupBy("set_id").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
-    return shared, counted.where(F.col("shared") >= least(F.col("n"))).select("set_id")
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows of tokens that several sets hold, or several components if rows have a ``part``, in one shuffle of all rows."""
+    part, bucket = "part" if "part" in rows.columns else "set_id", Window.partitionBy("token")
+    ends = rows.withColumn("low", F.min(part).over(bucket)).withColumn("high", F.max(part).over(bucket))
+    return ends.where("low != high").drop("low", "high")
+
+
+def _enough(shared: DataFrame, least: Callable[[Column], Column]) -> DataFrame:
+    """The sets with at least ``least(n)`` of the rows, and their number, ``held``."""
+    counted = shared.groupBy("set_id").agg(F.count("*").alias("held"), F.max("n").alias("n"))
+    return counted.where(F.col("held") >= least(F.col("n"))).select("set_id", "held")
 
 
 def _peeled(rows: DataFrame, least: Callable[[Column], Column], label: str) -> DataFrame:
-    """The shared rows of the sets that have enough of them."""
-    shared, enough = _enough(rows, least)
-    return kept(shared.join(enough, "set_id"), label)
+    """The shared rows of the sets that have enough of them, with the number of the set's, ``held``."""
+    shared = kept(_shared(rows), f"{label}-all")
+    enough = kept(shared.join(_enough(shared, least), "set_id"), label)
+    dropped(shared)
+    return enough
 
 
 def _class_of(n: Column) -> Column:
@@ -353,10 +358,11 @@ def _head_pairs(rows: DataFrame, seed: int) -> DataFrame:
     The head of a bucket is the set with the fewest tokens that no other set holds, the likeliest to be similar to the
     others; of equal ones a seeded choice.
     """
-    own = rows.groupBy("set_id").agg((F.max("n") - F.count("*")).alias("own"), F.first("part").alias("head_part"))
-    rank = F.struct("own", F.xxhash64(F.lit(seed), "set_id").alias("draw"), F.col("set_id").alias("head"), "head_part")
-    heads = rows.join(own, "set_id").groupBy("token").agg(F.min(rank).alias("best")).select("token", "best.head", "best.head_part")
-    met = rows.join(heads, "token").where("part != head_part")
+    own, draw = (F.col("n") - F.col("held")).alias("own"), F.xxhash64(F.lit(seed), "set_id").alias("draw")
+    rank = F.struct(own, draw, F.col("set_id").alias("head"), F.col("part").alias("head_part"))
+    dealt = rows.select("token", "set_id", "n", "held", "part").repartition("token")  # before ranks are built, which are longer
+    best = dealt.withColumn("best", F.min(rank).over(Window.partitionBy("token")))
+    met = best.select("set_id", "part", "best.head", "best.head_part").where("part != head_part")
     counted = met.groupBy("set_id", "head").agg(F.count("*").alias("shared"))
     best = counted.groupBy("set_id").agg(F.max(F.struct("shared", "head")).alias("best"))
     return best.select(*_ends("set_id", F.col("best.head"))).distinct()
@@ -536,12 +542,12 @@ def _survivors(docs: DataFrame, classes: DataFrame, rows_of: Callable[[int], Cal
     """The names of the sets that pass the filters of all orders."""
     texts = docs.where("doc_id IS NOT NULL").select("text")
     rows = kept(_maybe_shared(texts.mapInArrow(rows_of(0), _ROWS_SQL)).distinct(), "prefixes")
-    for number, share in enumerate(SHARES):
-        if number:
-            rows = _texts_of(docs, wanted, classes).select("text").mapInArrow(rows_of(number), _ROWS_SQL)
-            rows = kept(rows.drop("deal").distinct(), f"order-{number}")
-        wanted = kept(_enough(rows, _fewest(percent, share))[1], "passed")
-        dropped(rows)
+    wanted = kept(_enough(_shared(rows), _fewest(percent, SHARES[0])).select("set_id"), "passed")
+    dropped(rows)
+    for number, share in enumerate(SHARES[1:], 1):
+        rows = _texts_of(docs, wanted, classes).select("text").mapInArrow(rows_of(number), _ROWS_SQL).drop("deal")
+        # Repeated rows of a token are in one partition already.
+        wanted = kept(_enough(_shared(rows).distinct(), _fewest(percent, share)).select("set_id"), "passed")
     return wanted
 
 

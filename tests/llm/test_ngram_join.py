@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parcelwise.llm import graph, ngram_join
 
@@ -124,3 +125,20 @@ def test_one_row_of_each_group_stays(spark):
     kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
     assert kept == sorted([(1, a), (2, b), (4, c), (4, d), (5, None), (5, None), (None, a), (6, "")], key=str)
     assert ngram_join.one_of_each_group(docs.where("false"), 5, 80).collect() == []
+
+
+def test_tokens_are_shuffled_once(spark, conf):
+    """Rows of shared tokens and the heads of buckets each came from a grouping and a join, two shuffles of all rows or three."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    held = [(1, [1, 2, 3]), (2, [2, 3, 4]), (3, [9]), (4, [1, 2, 9, 10])]
+    rows = spark.createDataFrame([(t, s, 5) for s, tokens in held for t in tokens], "token long, set_id long, n int")
+    shared = ngram_join._shared(rows.unionAll(rows.limit(4)))
+    enough = ngram_join._enough(shared.distinct(), lambda n: n - 3)
+    heads = ngram_join._head_pairs(rows.withColumn("part", F.col("set_id")).withColumn("held", F.lit(3)), 0)
+    for df in (enough, heads):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(token") == 1 and "Join" not in plan
+    assert sorted(map(tuple, enough.collect())) == [(1, 3), (2, 2), (4, 3)]
+    assert sorted(map(tuple, shared.distinct().select("token").distinct().collect())) == [(1,), (2,), (3,), (9,)]
+    parts = rows.withColumn("part", F.when(F.col("set_id") < 3, 1).otherwise(F.col("set_id")))
+    assert sorted(map(tuple, ngram_join._shared(parts).select("token", "set_id").collect())) == [(1, 1), (1, 4), (2, 1), (2, 2), (2, 4), (9, 3), (9, 4)]
