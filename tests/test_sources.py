@@ -405,3 +405,19 @@ def test_a_raw_delivery_is_written_compressed(spark, sample, tmp_path):
     loaded = ingest(spark, str(raw), str(tmp_path / "loaded"), strict=False)
     for name in ("sellers", "order_reviews"):
         assert sorted(map(tuple, loaded[name].collect()), key=str) == sorted(map(tuple, broken[name].collect()), key=str)
+
+
+def test_loaded_tables_are_written_with_zstd(spark, tmp_path):
+    """Keys with too many values for a dictionary made loaded tables grow faster than the delivery."""
+    r = random.Random(5)
+    key = lambda n: f'"{(k := r.randrange(n))}, {k}"'
+    lines = [f"{key(10**7)},1,{key(10**6)},{key(10**6)},2018-03-01 10:00:00,{r.randrange(10**6) / 100},1.00" for _ in range(60_000)]
+    (tmp_path / "raw").mkdir()
+    loaded = ingest(spark, raw(tmp_path / "raw", order_items=lines, sellers=["s1,1,a,SP"]), str(tmp_path / "loaded"), strict=False)
+    size = lambda folder: sum(p.stat().st_size for p in folder.rglob("order_items/part-*.parquet"))
+    for name in ("order_items", "sellers"):
+        files = list((tmp_path / "loaded").rglob(f"{name}/part-*.parquet"))
+        assert files and all(p.name.endswith(".zstd.parquet") for p in files)
+    loaded.order_items.write.option("compression", "snappy").parquet(str(tmp_path / "usual" / "order_items"))
+    assert size(tmp_path / "loaded") * 1.25 < size(tmp_path / "usual")
+    assert loaded.order_items.count() == 60_000
