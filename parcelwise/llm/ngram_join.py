@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.llm import words as W
-from parcelwise.llm.graph import components
-from parcelwise.llm.tables import dropped, kept
+from parcelwise.llm.graph import components, extended
+from parcelwise.llm.tables import by_shuffle, dropped, kept
 
 TOKEN_CELLS = 1 << 19  # counters of shingles: half a MB for each task; a hundredth of the corpus' words is a good size
 WORD_CELLS = 1 << 16  # counters of words, behind them
@@ -293,7 +293,7 @@ def _enough(shared: DataFrame, least: Callable[[Column], Column]) -> DataFrame:
 def _peeled(rows: DataFrame, least: Callable[[Column], Column], label: str) -> DataFrame:
     """The shared rows of the sets that have enough of them, with the number of the set's, ``held``."""
     shared = kept(_shared(rows), f"{label}-all")
-    enough = kept(shared.join(_enough(shared, least), "set_id"), label)
+    enough = kept(shared.join(by_shuffle(_enough(shared, least)), "set_id"), label)
     dropped(shared)
     return enough
 
@@ -321,7 +321,7 @@ def _peeled_by_size(rows: DataFrame, percent: int, label: str) -> DataFrame:
         )
         n, partner = F.col("n"), F.greatest(F.min("small"), F.ceil(F.first("n") * percent / 100 - 1e-9))
         met = (
-            rows.join(held, "token")
+            rows.join(by_shuffle(held), "token")
             .where("low != part OR high != part")
             .where((F.col("large") * 100 >= n * percent) & (F.col("small") * percent <= n * 100))
             .groupBy("set_id", "class")
@@ -329,7 +329,7 @@ def _peeled_by_size(rows: DataFrame, percent: int, label: str) -> DataFrame:
             .where("shared >= least")
         )
         enough = met.groupBy("set_id").agg(F.min("least").alias("least"))
-        fewer = kept(rows.drop("least").join(enough, "set_id"), label)
+        fewer = kept(rows.drop("least").join(by_shuffle(enough), "set_id"), label)
         if written is not None:
             dropped(written[0])
         left = fewer.count()
@@ -378,11 +378,11 @@ def _rare(rows: DataFrame) -> DataFrame:
     main = sizes.groupBy("token").agg(F.max(F.struct("own", "part")).alias("main"), F.sum("own").alias("all"))
     cell = F.pmod(F.xxhash64("token"), F.lit(PAIR_CELLS))
     cells = rows.groupBy("set_id").agg(F.array(*(F.count_if(cell == i).cast("int") for i in range(PAIR_CELLS))).alias("cells"))
-    rows = rows.join(main.select("token", "all", F.col("main.part").alias("main")), "token")
+    rows = rows.join(by_shuffle(main.select("token", "all", F.col("main.part").alias("main"))), "token")
     total = F.count("*").over(Window.partitionBy("set_id"))
     place = F.row_number().over(Window.partitionBy("set_id").orderBy("all", "token"))
     rows = rows.withColumn("place", place).withColumn("total", total).where("place <= total - least + 1")
-    return rows.select("token", "set_id", "part", "n", "main", "place", "total").join(cells, "set_id")
+    return rows.select("token", "set_id", "part", "n", "main", "place", "total").join(by_shuffle(cells), "set_id")
 
 
 def _remaining_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -488,7 +488,7 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     classes = kept(classes.agg(F.min("doc_id").alias("first_id")), "classes")
     names = _renamed(classes)
     members, classes = _with_names(members, names), _with_names(classes, names)
-    labels = components(_links(docs, classes, order, names, width, percent))
+    labels = _labels(docs, classes, order, names, width, percent)
 
     named = classes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
         "group_id", F.coalesce("label", "set_id")
@@ -551,8 +551,8 @@ def _survivors(docs: DataFrame, classes: DataFrame, rows_of: Callable[[int], Cal
     return wanted
 
 
-def _links(docs: DataFrame, classes: DataFrame, order: TokenOrder, names: dict, width: int, percent: int) -> DataFrame:
-    """Similar pairs (``a``, ``b``) of sets, enough of them to connect every component."""
+def _labels(docs: DataFrame, classes: DataFrame, order: TokenOrder, names: dict, width: int, percent: int) -> DataFrame:
+    """``node`` and ``label`` of every set that is similar to another: its component, from enough pairs to connect each."""
     wanted = _survivors(docs, classes, lambda number: _prefix_rows(width, percent, order, number, names), percent)
     last = len(SHARES) - 1
     sets = kept(
@@ -564,10 +564,10 @@ def _links(docs: DataFrame, classes: DataFrame, order: TokenOrder, names: dict,
     tokens = sets.select("set_id", "n", F.explode(F.concat("lead", "rest")).alias("token"))
     rows = _peeled(tokens, _fewest(percent), "shared")
     alone = rows.withColumn("part", F.col("set_id"))
-    links = _verified(_head_pairs(alone, 0), sets, percent, "links")
+    labels = components(_verified(_head_pairs(alone, 0), sets, percent, "links"))
     before = float("inf")
     for turn in range(1, MORE_ROUNDS + 2):
-        open_ = _peeled(_labelled(rows.select("token", "set_id", "n"), components(links)), _fewest(percent), "open")
+        open_ = _peeled(_labelled(rows.select("token", "set_id", "n"), labels), _fewest(percent), "open")
         dropped(rows)
         rows = _peeled_by_size(open_, percent, "open")
         dropped(open_)
@@ -578,11 +578,11 @@ def _links(docs: DataFrame, classes: DataFrame, order: TokenOrder, names: dict,
         more = _verified(_head_pairs(rows, turn), sets, percent, "links")
         if more.isEmpty():
             break
-        links = links.unionByName(more)
+        labels = extended(labels, more)
     if n_pairs:
-        links = links.unionByName(_verified(_remaining_pairs(rows, percent), sets, percent, "links"))
+        labels = extended(labels, _verified(_remaining_pairs(rows, percent), sets, percent, "links"))
     dropped(sets, rows)
-    return links
+    return labels
 
 
 # near_duplicates with four words and 85 in a hundred; equal sets are one class, as in the operator.

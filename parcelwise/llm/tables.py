@@ -40,6 +40,14 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join by sorted shuffles: for aggregates of the other side, which is shuffled before their size is known.
+
+    Else those that turn out small are gathered on the driver, in a job and a broadcast of their own, and no shuffle is saved.
+    """
+    return df.hint("merge")
+
+
 def word_count(text):
     """Number of words of a text column, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -77,6 +77,26 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    """No round is made that changes nothing, nor one for no more links."""
+    written = []
+    monkeypatch.setattr(graph, "kept", lambda df, label: written.append(label) or df.localCheckpoint())
+    stars = graph.components(spark.createDataFrame([(5, 1), (1, 7), (9, 2), (5, 1), (None, 3), (4, 4)], "a long, b long"))
+    assert sorted(map(tuple, stars.collect())) == [(1, 1), (2, 2), (5, 1), (7, 1), (9, 2)]
+    assert len(written) == 1
+    more = spark.createDataFrame([(7, 9), (11, 10)], "a long, b long")
+    assert graph.extended(stars, more.limit(0)) is stars and len(written) == 1
+    got = graph.extended(stars, more)
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (5, 1), (7, 1), (9, 1), (10, 10), (11, 10)]
+
+
+def test_rounds_send_nothing_through_the_driver(spark):
+    edges = spark.createDataFrame([(3, 2), (2, 1), (5, 4)], "u long, v long")
+    moved = graph._small_star(graph._large_star(edges))
+    assert sorted(map(tuple, moved.collect())) == [(2, 1), (3, 1), (5, 4)]
+    assert "Broadcast" not in moved._jdf.queryExecution().executedPlan().toString()
+
+
 def near_threshold(seed):
     """One large group of copies with a few edits each, most pairs of which are close to the threshold."""
     rng = np.random.default_rng(seed)
