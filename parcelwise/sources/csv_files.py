@@ -96,9 +96,13 @@ def bad_records(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 
 def unclosed_quotes(spark: SparkSession, path: str) -> list[str]:
-    """Files with an odd number of quotes, whose last quoted field takes in the rest of the file. One short row a file."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    """Files with an odd number of quotes, whose last quoted field takes in the rest of the file. One short row a file.
+
+    Quotes are counted as bytes, and only lines that hold one are taken apart: a count by characters was a quarter of a load's time.
+    """
+    quote = F.lit('"')
+    lines = spark.read.option("lineSep", "\n").text(path).where(F.contains("value", quote))
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", quote, F.lit("")))
     odd = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg((F.sum(quotes) % 2).alias("odd")).where("odd = 1")
     return sorted(r.file for r in odd.limit(PLACES).collect())
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from parcelwise.sources import catalog
@@ -39,6 +41,25 @@ class Tables:
         return ((name, self[name]) for name in TABLE_SPECS)
 
 
+def each_at_once(spark: SparkSession, work: Callable[[str], None], most: int = 4) -> None:
+    """``work`` of the name of every table, up to ``most`` at a time, so that a table of few files leaves no core idle.
+
+    After an error no further table is begun and those at work are waited for; of several errors the one of the first table in
+    declared order is raised, which is the one that table after table would end with.
+    """
+    inherits = inheritable_thread_target(spark)  # the session itself where threads are not pinned
+    run = work if inherits is spark else inherits(work)
+    pool = ThreadPoolExecutor(most)
+    try:
+        tasks = [pool.submit(run, name) for name in TABLE_SPECS]
+        wait(tasks, return_when=FIRST_EXCEPTION)
+    finally:
+        pool.shutdown(cancel_futures=True)
+    for task in tasks:
+        if not task.cancelled():
+            task.result()
+
+
 def load_tables(spark: SparkSession, folder: str) -> Tables:
     """Parquet scan of all nine tables with their declared schemas.
 

@@ -1,6 +1,9 @@
 import csv
 import gzip
 import random
+import threading
+import time
+import zlib
 from datetime import datetime
 from decimal import Decimal
 from pathlib import Path
@@ -25,7 +28,8 @@ from parcelwise.sources import (
     struct_type,
     write_tables,
 )
-from parcelwise.sources.tables import save_tables
+from parcelwise.sources.csv_files import unclosed_quotes
+from parcelwise.sources.tables import each_at_once, save_tables
 
 
 def raw(folder, **lines):
@@ -421,3 +425,73 @@ def test_loaded_tables_are_written_with_zstd(spark, tmp_path):
     loaded.order_items.write.option("compression", "snappy").parquet(str(tmp_path / "usual" / "order_items"))
     assert size(tmp_path / "loaded") * 1.25 < size(tmp_path / "usual")
     assert loaded.order_items.count() == 60_000
+
+
+def test_quotes_are_counted_as_bytes(spark, tmp_path):
+    """Also where a file is not UTF-8, and where most lines hold none."""
+    files = {
+        "closed": 'a,"é ""x"" 漢",b\r\n"two\nlines",\n'.encode(),
+        "latin_closed": 'a\n"caf\xe9",b\n'.encode("latin-1"),
+        "open": 'a,"é ""x"",b\n"two\nlines",\n'.encode(),
+        "latin_open": 'a\n"caf\xe9" "\n'.encode("latin-1"),
+        "none": b"a,b\nc,d\n",
+        "empty": b"",
+    }
+    for name, body in files.items():
+        (tmp_path / f"{name}.csv").write_bytes(body)
+    assert [Path(p).stem for p in unclosed_quotes(spark, str(tmp_path))] == ["latin_open", "open"]
+
+
+def test_tables_are_loaded_side_by_side(spark, tmp_path, monkeypatch):
+    """A table of few files left cores idle while the others waited for it."""
+    both = threading.Barrier(2)
+    write = DataFrameWriter.parquet
+
+    def meets(self, path, *args):
+        if path.endswith(("/customers", "/geolocation")):
+            both.wait(60)
+        write(self, path, *args)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", meets)
+    (tmp_path / "raw").mkdir()
+    loaded = ingest(spark, raw(tmp_path / "raw", sellers=["s1,1,a,SP"], customers=["c1,u1,,,"]), str(tmp_path / "out"))
+    assert loaded.sellers.count() == 1 and loaded.customers.count() == 1
+
+
+def test_side_by_side_work_ends_with_the_first_tables_error(spark):
+    done, names, group = [], list(TABLE_SPECS), "spark.jobGroup.id"
+    before = spark.sparkContext.getLocalProperty(group)
+
+    def work(name):
+        assert spark.sparkContext.getLocalProperty(group) == "the caller's"
+        if name == names[2]:
+            raise ValueError(name)
+        time.sleep(1)
+        done.append(name)
+        if name == names[1]:
+            raise ValueError(name)
+
+    spark.sparkContext.setLocalProperty(group, "the caller's")
+    try:
+        with pytest.raises(ValueError, match=f"^{names[1]}$"):
+            each_at_once(spark, work, most=3)
+    finally:
+        spark.sparkContext.setLocalProperty(group, before)
+    assert set(names[:2]) <= set(done) and len(done) < 6
+
+
+def test_a_raw_delivery_takes_a_fast_level_of_gzip(spark, tmp_path):
+    """Its usual level was most of the time of writing. Moments lose no digit."""
+    import __spark_entry__ as entry
+
+    r = random.Random(7)
+    moments = [datetime(2018, 3, 1, 10), datetime(2018, 3, 1, 10, 0, 0, 120_000), datetime(1899, 12, 31, 23, 59, 59, 1), None]
+    rows = [order(f"{r.randrange(10**12)}", order_purchase_timestamp=r.choice(moments)) for _ in range(5_000)]
+    given = tables(spark, orders=rows)
+    folder = entry._written_csv(given)
+    packed = [p.read_bytes() for p in (Path(folder.removeprefix("file:")) / TABLE_SPECS["orders"].csv_suffix).glob("part-*.gz")]
+    texts = [gzip.decompress(b) for b in packed]
+    assert b"2018-03-01 10:00:00," in b"".join(texts) and b":59.000001," in b"".join(texts)
+    assert sum(map(len, packed)) > 1.02 * sum(len(zlib.compress(t, 6)) for t in texts)
+    loaded = ingest(spark, folder, str(tmp_path / "loaded"), strict=False)
+    assert sorted(map(tuple, loaded.orders.collect()), key=str) == sorted(map(tuple, given.orders.collect()), key=str)
